@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factline.llm import line_dedup, mixing, piece_codec, quality_rules, token_counts
+from factline.llm import line_dedup, mixing, piece_codec, quality_rules, simhash, token_counts
 from factline.llm.text import whole
 
 
@@ -81,12 +81,18 @@ FROM j GROUP BY doc_id
 """
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_groups(documents(spark, sf_dir), shingle=3, radius=2)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_mixing": op2_mixing,
     "op3_quality_rules": op3_quality_rules,
     "op5_line_dedup": op5_line_dedup,
     "op6_piece_codec": op6_piece_codec,
+    "op9_simhash": op9_simhash,
 }
 
 ORACLE_SQL: dict[str, str] = {"op2_mixing": OP2_SQL, "op5_line_dedup": OP5_SQL}
