@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factline.llm import line_dedup, mixing, piece_codec, quality_rules, simhash, token_counts
+from factline.llm import line_dedup, mixing, order_minhash, piece_codec, quality_rules, simhash, token_counts
 from factline.llm.text import whole
 
 
@@ -81,6 +81,10 @@ FROM j GROUP BY doc_id
 """
 
 
+def op8_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.compare_edited(documents(spark, sf_dir))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_groups(documents(spark, sf_dir), shingle=3, radius=2)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
@@ -92,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": op3_quality_rules,
     "op5_line_dedup": op5_line_dedup,
     "op6_piece_codec": op6_piece_codec,
+    "op8_order_minhash": op8_order_minhash,
     "op9_simhash": op9_simhash,
 }
 
