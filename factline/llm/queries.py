@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factline.llm import line_dedup, mixing, order_minhash, piece_codec, quality_rules, simhash, token_counts
+from factline.llm import line_dedup, lm_scores, mixing, order_minhash, piece_codec, quality_rules, simhash, token_counts
 from factline.llm.text import whole
 
 
@@ -90,6 +90,11 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lm_scores.score(documents(spark, sf_dir), order=2)
+    return found.select("doc_id", "n_words", F.round("log_score", 9).alias("log_score"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_mixing": op2_mixing,
@@ -98,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_piece_codec": op6_piece_codec,
     "op8_order_minhash": op8_order_minhash,
     "op9_simhash": op9_simhash,
+    "op10_lm_scores": op10_lm_scores,
 }
 
 ORACLE_SQL: dict[str, str] = {"op2_mixing": OP2_SQL, "op5_line_dedup": OP5_SQL}
