@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factline.llm import line_dedup, lm_scores, mixing, order_minhash, piece_codec, quality_rules, simhash, token_counts
+from factline.llm import line_dedup, lm_scores, mixing, order_minhash, piece_codec, quality_classifier, quality_rules, simhash, token_counts
 from factline.llm.text import whole
 
 
@@ -63,6 +63,11 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(documents(spark, sf_dir)).select(*base, F.round("p_good", 6).alias("p_good"))
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality_classifier.classify(documents(spark, sf_dir))
+    return found.select("doc_id", F.round("quality", 6).alias("quality"), "kept")
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup.drop_repeated_lines(documents(spark, sf_dir), min_chars=40, min_docs=5)
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2(whole("text"), 256).alias("kept_sha256"))
@@ -99,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_mixing": op2_mixing,
     "op3_quality_rules": op3_quality_rules,
+    "op4_quality_classifier": op4_quality_classifier,
     "op5_line_dedup": op5_line_dedup,
     "op6_piece_codec": op6_piece_codec,
     "op8_order_minhash": op8_order_minhash,
