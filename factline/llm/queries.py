@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factline.llm import line_dedup, lm_scores, mixing, order_minhash, piece_codec, quality_classifier, quality_rules, simhash, token_counts
+from factline.llm import line_dedup, lm_scores, mixing, order_minhash, piece_codec, quality_classifier, quality_rules, simhash, substring_dedup, token_counts
 from factline.llm.text import whole
 
 
@@ -86,6 +86,11 @@ FROM j GROUP BY doc_id
 """
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.drop_repeats(documents(spark, sf_dir), width=100)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.compare_edited(documents(spark, sf_dir))
 
@@ -107,6 +112,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_classifier": op4_quality_classifier,
     "op5_line_dedup": op5_line_dedup,
     "op6_piece_codec": op6_piece_codec,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_order_minhash": op8_order_minhash,
     "op9_simhash": op9_simhash,
     "op10_lm_scores": op10_lm_scores,
