@@ -46,7 +46,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> Da
         order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
     )
     out = sizes.withColumn("weight", w).withColumn("_level", level).withColumn("_full", full / F.col("weight") <= F.col("_level"))
-    share = F.min(F.when(~F.col("_full"), F.col("_level"))).over(whole_table)
+    share = F.max(F.when(~F.col("_full"), F.col("_level"))).over(whole_table)
     return out.withColumn("target", F.when(F.col("_full"), full.cast("double")).otherwise(share * F.col("weight"))).drop("_level", "_full", "weight")
 
 
