@@ -1,19 +1,62 @@
-"""A corpus pipeline from raw documents to token ids, made of the operators in factline.llm."""
+"""A corpus pipeline from raw documents to token ids, made of the operators in factline.llm.
+
+Each stage takes all that the one before kept, is written as Parquet in the shared folder, and is read again.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from factline.llm import storage
+from factline.llm import line_dedup, mixing, piece_codec, quality_rules, queries, simhash, storage
 
-STAGES: list = []
+#: One stage is not SQL (suffixes of a merge order, near copies by sketches): the pipeline is tested stage by stage.
 ORACLE_SQL = None
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
+    return quality_rules.judge(docs, with_text=True).filter("kept").select(*docs.columns)
+
+
+def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the lines that many share; ``n_chars`` follows the text."""
+    out = line_dedup.drop_repeated_lines(docs)
+    return out.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of smallest id, of each group of near copies (five-word shingles, similarity 0.8 or more)."""
+    first = simhash.near_copies(docs).select("component_id").distinct()
+    return docs.join(first, docs["doc_id"].eqNullSafe(first["component_id"]), "left_semi").dropDuplicates(["doc_id"])
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mix takes it; those it doesn't take go."""
+    copies = mixing.mix(docs).filter("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("_copies"))
+    taken = docs.join(copies.withColumnRenamed("doc_id", "_doc"), F.col("doc_id").eqNullSafe(F.col("_doc")))
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every copy, and whether decoding them gives its text again."""
+    found = piece_codec.encode_checked(docs, queries.vocabulary("piece_bpe_32k.model"))
+    return found.select("doc_id", "source", "n_tokens", "exact", "ids")
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("line dedup", repeated_lines),
+    ("near-dedup", near_duplicates),
+    ("mixing", mixture),
+    ("piece encoding", encoding),
+]
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = queries.documents(spark, sf_dir)
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = storage.cut(docs, f"stage{k}")
+            docs = storage.cut(docs, name.replace(" ", "-"))
     return docs

@@ -360,6 +360,26 @@ def encode_pieces(docs: DataFrame, path: str, text: str = "text", into: str = "i
     return docs.withColumn(into, encode(whole(text)))
 
 
+def encode_checked(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
+    """Add ``ids``, ``n_tokens`` and ``exact``: whether decoding the ids gives the text again."""
+    pieces = load_pieces(path)
+    kind = pa.struct([("ids", pa.list_(pa.int32())), ("n_tokens", pa.int64()), ("exact", pa.bool_())])
+
+    @F.arrow_udf("ids array<int>, n_tokens long, exact boolean")
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        codec = Codec(pieces)
+        for texts in batches:
+            parts = []
+            for part in slices(texts):
+                found = codec.encode(part)
+                exact = [codec.decode(x) == (t or "").replace(BLANK, " ") for t, x in zip(part, found, strict=True)]
+                columns = [pa.array(found, pa.list_(pa.int32())), pa.array([len(x) for x in found], pa.int64()), pa.array(exact, pa.bool_())]
+                parts.append(pa.StructArray.from_arrays(columns, fields=list(kind)))
+            yield pa.concat_arrays(parts) if parts else pa.array([], kind)
+
+    return docs.withColumn("_coded", encode(whole(text))).select("*", "_coded.*").drop("_coded")
+
+
 def decode_pieces(docs: DataFrame, path: str, ids: str = "ids", into: str = "text") -> DataFrame:
     """Add ``into``: the text of ``ids``; null or no ids give an empty text."""
     pieces = load_pieces(path)

@@ -79,15 +79,15 @@ def votes() -> dict[str, Column]:
     }
 
 
-def judge(docs: DataFrame, text: str = "text", keep_at: float = 0.5) -> DataFrame:
-    """``docs`` without its text column, with the measures, ``base_failed``, ``p_good`` and ``kept`` added.
+def judge(docs: DataFrame, text: str = "text", keep_at: float = 0.5, with_text: bool = False) -> DataFrame:
+    """``docs`` with the measures, ``base_failed``, ``p_good`` and ``kept`` added; its text column only ``with_text``.
 
     A null or empty text has no words and fails the base rules; repeated rows are judged alike; an empty table gives an
     empty one.  Names of added columns are replaced where ``docs`` has them.  No shuffle but the counts of vote patterns,
     at most 3^6 rows a task; the measures are written once, so the text is read once.
     """
-    rows = measures(docs, text).drop(text).withColumns(votes())
-    rows = cut(rows, "votes")
+    rows = measures(docs, text).withColumns(votes())
+    rows = cut(rows if with_text else rows.drop(text), "votes")
     model = weak_labels.fit(weak_labels.pattern_counts(rows, RULES), len(RULES))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return rows.withColumn("base_failed", failed).withColumn("p_good", weak_labels.probability(model, RULES)).withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= keep_at))

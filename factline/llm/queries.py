@@ -47,7 +47,7 @@ f AS (SELECT *, ((sum(source_size) OVER ())::DOUBLE - coalesce((sum(3 * source_s
       FROM w WINDOW o AS (ORDER BY 3 * source_size / weight::DOUBLE, source IS NULL, source)),
 g AS (SELECT *, 3 * source_size / weight::DOUBLE <= level AS is_full FROM f),
 t AS (SELECT source, source_size, CASE WHEN is_full THEN (3 * source_size)::DOUBLE
-        ELSE (SELECT min(level) FROM g WHERE NOT is_full) * weight END AS target FROM g),
+        ELSE (SELECT max(level) FROM g WHERE NOT is_full) * weight END AS target FROM g),
 p AS (SELECT k.doc_id, k.size, t.source_size, t.target,
         CASE WHEN t.source_size > 0 THEN floor(t.target / t.source_size) ELSE 0 END AS epochs,
         sum(k.size) OVER (PARTITION BY k.source ORDER BY k.k, k.doc_id, k.size ROWS UNBOUNDED PRECEDING) * 2 - k.size AS middle
