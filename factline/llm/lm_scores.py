@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from factline.llm.text import whole
 
 #: Bytes of text in a block; text whose n-grams a hash partition counts.
-BLOCK, PART = 16_000_000, 24_000_000
+BLOCK, PART = 7_000_000, 16_000_000
 BACKOFF = 0.4
 MIX = np.uint64(0x9E3779B97F4A7C15)
 REQUEST = "part long, block long, hashes binary, counts binary"
@@ -46,8 +46,9 @@ class Grams:
         word = np.fromiter((digest(w) for w in known), dtype=np.uint64, count=len(known))
         del known
         self.sizes = np.array(sizes, dtype=np.int64)
-        self.doc = np.repeat(np.arange(len(sizes), dtype=np.int64), self.sizes)
+        self.doc = np.repeat(np.arange(len(sizes), dtype=np.int32), self.sizes)
         token = word[np.concatenate(ids)] if ids else word
+        del ids
         n = len(token)
         place = np.arange(n) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
         #: By order: the first token it starts to hold for, the n-gram of every token (-1: too near the start).
@@ -63,20 +64,21 @@ class Grams:
                 gram = _mixed(shifted * MIX + token + np.uint64(k))
             there = place >= k - 1
             found, inverse, count = np.unique(gram[there], return_inverse=True, return_counts=True)
-            at = np.full(n, -1, dtype=np.int64)
+            at = np.full(n, -1, dtype=np.int32)
             at[there] = inverse + base
+            del inverse
             self.rows.append(at)
             hashes.append(found ^ np.uint64(k))
             counts.append(count)
             base += len(found)
         self.hashes, self.counts = np.concatenate(hashes), np.concatenate(counts)
-        self.part = (self.hashes % np.uint64(parts)).astype(np.int64)
-        self.order = np.argsort(self.part, kind="stable")
-        self.bounds = np.searchsorted(self.part[self.order], np.arange(parts + 1))
+        part = (self.hashes % np.uint64(parts)).astype(np.int32)
+        self.order = np.argsort(part, kind="stable").astype(np.int32)
+        self.bounds = np.searchsorted(part[self.order], np.arange(parts + 1))
 
     def own(self, k: int) -> np.ndarray:
         """For every token, how often its document holds its n-gram of order k."""
-        pair = self.rows[k - 1] * (len(self.sizes) + 1) + self.doc
+        pair = self.rows[k - 1].astype(np.int64) * (len(self.sizes) + 1) + self.doc
         _, inverse, count = np.unique(pair, return_inverse=True, return_counts=True)
         return count[inverse]
 
