@@ -27,9 +27,9 @@ from factline.llm.text import whole
 
 GRAM = 32
 #: Bytes of text in a block, text whose anchors a hash partition sees, text whose stretches a shard may get.
-BLOCK, PART, SHARD = 16_000_000, 32_000_000, 8_000_000
+BLOCK, PART, SHARD = 10_000_000, 32_000_000, 8_000_000
 #: Windows worked on at once in a block; bytes sorted at once in a shard.
-STEP, SORTED = 1_000_000, 4_000_000
+STEP, SORTED = 1_000_000, 2_000_000
 MULTIPLIER = 0x9E3779B97F4A7C15
 MASK = (1 << 64) - 1
 ASKED = "part long, block long, anchors binary, again binary"
@@ -304,7 +304,7 @@ def _cut(width: int):
             row, first, last = (np.frombuffer(x.as_py(), dtype="<i8") for x in (r, a, b))
             np.add.at(depth, block.begin[row] + first, 1)
             np.add.at(depth, block.begin[row] + last + width, -1)
-        removed = np.cumsum(depth[:-1]) > 0
+        removed = np.cumsum(depth[:-1], dtype=np.int32) > 0
         rows = []
         for doc, begin, size in zip(block.table.column("_id").to_pylist(), block.begin.tolist(), block.size.tolist(), strict=True):
             off = removed[begin : begin + size]
