@@ -74,7 +74,7 @@ class Reader:
             known[w] = self.word(w)
         return np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words))
 
-    def read(self, text: str | None) -> tuple[list[int], int, np.ndarray]:
+    def read(self, text: str | None, featured: bool = True) -> tuple[list[int], int, np.ndarray | None]:
         words = (text or "").split()
         n = len(words)
         if not n:
@@ -92,6 +92,8 @@ class Reader:
             1 if clean and stuck < 0.02 else 0,
             (1 if share[3] > 0.12 else -1 if share[3] < 0.02 else 0) if n >= 30 else 0,
         ]
+        if not featured:
+            return votes, n, None
         x = np.bincount(code >> 20, minlength=DIMS) + 0.5 * np.bincount(code >> 8 & 0xFFF, minlength=DIMS)
         x = np.sqrt(x / n)
         for k, v in enumerate([*share, stuck, 1 - kinds if n >= 30 else 0.0]):
@@ -109,7 +111,7 @@ def _votes():
             out = []
             for part in slices(texts):
                 for text in part:
-                    votes, n, _ = reader.read(text)
+                    votes, n, _ = reader.read(text, featured=False)
                     out.append({"n_words": n, **dict(zip(LABELLERS, votes, strict=True))})
             yield pa.array(out, kind)
 
@@ -127,16 +129,16 @@ def _features():
 
 
 def train(x: np.ndarray, y: np.ndarray, rounds: int = 400, rate: float = 2.0, decay: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Logistic regression on soft labels, by gradient steps over all rows; classes weigh alike."""
+    """Logistic regression on soft labels, by gradient steps over all rows; it starts from the share of good ones, so a
+    text that tells little is judged by that share."""
     w, b = np.zeros(x.shape[1]), 0.0
     if not len(x):
         return w, b
     x = x.astype(np.float64)
-    good = y.sum()
-    balance = np.where(y >= 0.5, 0.5 * len(y) / max(good, 1.0), 0.5 * len(y) / max(len(y) - good, 1.0))
-    balance /= balance.sum()
+    good = np.clip(y.mean(), 1e-3, 1 - 1e-3)
+    b = float(np.log(good / (1 - good)))
     for _ in range(rounds):
-        miss = (1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30))) - y) * balance
+        miss = (1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30))) - y) / len(y)
         w -= rate * (x.T @ miss + decay * w)
         b -= rate * miss.sum()
     return w, b
