@@ -34,7 +34,7 @@ MULTIPLIER = 0x9E3779B97F4A7C15
 MASK = (1 << 64) - 1
 ASKED = "part long, block long, anchors binary, again binary"
 ANSWER = "block long, part long, again binary"
-STRETCHES = "shard long, block long, row binary, start binary, windows binary, bytes binary, gone binary"
+STRETCHES = "shard long, block long, row binary, start binary, windows binary, anchors binary, bytes binary, gone binary"
 GONE = "block long, row binary, first binary, last binary"
 
 
@@ -149,7 +149,7 @@ def _answer(table: pa.Table) -> pa.Table:
 
 def _send(width: int, parts: int, shards: int):
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
-        fields = (("shard", pa.int64()), ("block", pa.int64()), *((x, pa.binary()) for x in ("row", "start", "windows", "bytes", "gone")))
+        fields = (("shard", pa.int64()), ("block", pa.int64()), *((x, pa.binary()) for x in ("row", "start", "windows", "anchors", "bytes", "gone")))
         if not table.num_rows:
             return _table([], fields)
         number = table.column("_block")[0].as_py()
@@ -184,11 +184,11 @@ def _send(width: int, parts: int, shards: int):
             if keep:
                 k = np.array(keep)
                 ids = np.stack((block.docs[row[k]], row[k]), axis=1).astype("<i8")
-                rows.append((s, number, ids.tobytes(), start[k].astype("<i8").tobytes(), count[k].astype("<i8").tobytes(), b"".join(text), b""))
+                rows.append((s, number, ids.tobytes(), start[k].astype("<i8").tobytes(), count[k].astype("<i8").tobytes(), key[k].tobytes(), b"".join(text), b""))
         if local:
             k = np.array(local)
             gone = np.stack((row[k], start[k], start[k] + count[k] - 1)).astype("<i8")
-            rows.append((number % shards, number, b"", b"", b"", b"", gone.tobytes()))
+            rows.append((number % shards, number, b"", b"", b"", b"", b"", gone.tobytes()))
         return _table(rows, fields)
 
     return run
@@ -219,8 +219,8 @@ def _sort_group(texts: list[bytes], first: np.ndarray, width: int) -> list[np.nd
 def _judge(width: int):
     def run(table: pa.Table) -> pa.Table:
         out: dict[int, list[np.ndarray]] = {}
-        block, rows, start, windows, texts, forwarded = [], [], [], [], [], []
-        for b, r, s, w, raw, gone in zip(*(table.column(x).to_pylist() for x in ("block", "row", "start", "windows", "bytes", "gone")), strict=True):
+        block, rows, start, windows, anchors, texts, forwarded = [], [], [], [], [], [], []
+        for b, r, s, w, h, raw, gone in zip(*(table.column(x).to_pylist() for x in ("block", "row", "start", "windows", "anchors", "bytes", "gone")), strict=True):
             if gone:
                 forwarded.append((b, np.frombuffer(gone, dtype="<i8").reshape(3, -1)))
                 continue
@@ -232,6 +232,7 @@ def _judge(width: int):
             rows.append(ids)
             start.append(np.frombuffer(s, dtype="<i8"))
             windows.append(count)
+            anchors.append(np.frombuffer(h, dtype=np.uint64))
         for b, x in forwarded:
             out.setdefault(b, []).append(x)
         if texts:
@@ -250,9 +251,9 @@ def _judge(width: int):
                     distinct.append(i)
                     earliest.append((rank, begin[i]))
             gone = [(block_[i], ids[i, 1], begin[i], begin[i] + count[i] - 1) for i in copies]
-            # anchors of one hash stay together; other stretches can be sorted in turn
-            first = np.array(earliest, dtype=np.int64)
-            for group in _turns([texts[i] for i in distinct], width):
+            # equal windows have equal anchors, and no stretch holds a window twice: one alone with its anchor is done
+            first, anchor = np.array(earliest, dtype=np.int64), np.concatenate(anchors)[distinct]
+            for group in _turns(anchor, np.array([len(texts[i]) for i in distinct])):
                 for k, goes in zip(group, _sort_group([texts[distinct[k]] for k in group], first[group], width), strict=True):
                     if not goes.any():
                         continue
@@ -274,22 +275,13 @@ def _judge(width: int):
     return run
 
 
-def _turns(texts: list[bytes], width: int) -> list[list[int]]:
-    """Stretches to sort together, within ``SORTED`` bytes if there is more than one anchor: all of an anchor at once."""
-    if sum(map(len, texts)) <= SORTED:
-        return [list(range(len(texts)))]
-    joined = np.frombuffer(b"".join(texts), dtype=np.uint8)
-    size = np.array([len(t) for t in texts])
-    begin = np.cumsum(size) - size
-    turns = 1 + len(joined) // SORTED
-    # the anchor of a stretch is that of its first window
-    anchor = np.empty(len(texts), dtype=np.uint64)
-    for k in range(0, len(texts), 4096):
-        head = np.stack([joined[b : b + width] for b in begin[k : k + 4096]])
-        h = np.stack([_gram_hashes(x) for x in head])
-        anchor[k : k + 4096] = h[np.arange(len(h)), np.argmin(h >> np.uint64(32), axis=1)]
-    turn = (anchor >> np.uint64(40)) % np.uint64(turns)
-    return [np.flatnonzero(turn == t).tolist() for t in range(turns) if (turn == t).any()]
+def _turns(anchor: np.ndarray, size: np.ndarray) -> list[list[int]]:
+    """Stretches to sort together: all of an anchor with several, about ``SORTED`` bytes at once."""
+    _, inverse, count = np.unique(anchor, return_inverse=True, return_counts=True)
+    several = count[inverse] > 1
+    turns = np.uint64(1 + int(size[several].sum()) // SORTED)
+    turn = (anchor >> np.uint64(40)) % turns
+    return [found for t in range(int(turns)) if (found := np.flatnonzero(several & (turn == t)).tolist())]
 
 
 def _cut(width: int):
