@@ -17,6 +17,8 @@ from factline.llm.text import n_words, whole
 MOST = 3
 #: Rows of a source that are summed in one task.
 BUCKET = 20_000
+#: So many sources at most are broadcast; their number is counted first, and more are joined by shuffle.
+FEW = 50_000
 
 
 def quality_weight(size: Column, chars: Column) -> Column:
@@ -66,11 +68,14 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     sized = sized.withColumn("_key", -F.ln(uniform(F.col("doc_id"), seed)) / quality_weight(F.col("size"), F.col("_chars")))
     sized = cut(sized.drop("_chars"), "sizes")
     sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_docs"))
-    targets = source_targets(sizes, weights).withColumn("_source", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("null"))).drop("source")
-    rows = sized.withColumn("_source", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("null"))).join(targets, "_source")
+    named = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("null"))
+    targets = cut(source_targets(sizes, weights).withColumn("_source", named).drop("source"), "targets")
+    rows = sized.withColumn("_source", named).join(F.broadcast(targets) if targets.count() <= FEW else targets, "_source")
     rows = rows.withColumn("_buckets", F.ceil(F.col("_docs") / BUCKET)).withColumn(
         "_bucket", F.least(F.floor((1 - F.exp(-F.col("_key"))) * F.col("_buckets")), F.col("_buckets") - 1)
     )
+    # dealt by source and bucket: what a join by source alone has dealt would leave a hot source in one task
+    rows = rows.repartition("_source", "_bucket")
     sums = rows.groupBy("_source", "_bucket").agg(F.sum("size").alias("_sum"))
     ahead = Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("_source", "_bucket", F.coalesce(F.sum("_sum").over(ahead), F.lit(0)).alias("_ahead"))
