@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factline.llm.text import whole
+from factline.llm.text import packed, unpacked
 from factline.llm.token_counts import slices
 
 BLANK = "▁"
@@ -357,7 +357,7 @@ def encode_pieces(docs: DataFrame, path: str, text: str = "text", into: str = "i
             parts = [pa.array(codec.encode(part), pa.list_(pa.int32())) for part in slices(texts)]
             yield pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
 
-    return docs.withColumn(into, encode(whole(text)))
+    return unpacked(packed(docs, text).withColumn("_ids", encode("_text")), docs, {into: F.col("_ids")})
 
 
 def encode_checked(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
@@ -377,7 +377,8 @@ def encode_checked(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
                 parts.append(pa.StructArray.from_arrays(columns, fields=list(kind)))
             yield pa.concat_arrays(parts) if parts else pa.array([], kind)
 
-    return docs.withColumn("_coded", encode(whole(text))).select("*", "_coded.*").drop("_coded")
+    rows = packed(docs, text).withColumn("_coded", encode("_text"))
+    return unpacked(rows, docs, {c: F.col("_coded").getField(c) for c in ("ids", "n_tokens", "exact")})
 
 
 def decode_pieces(docs: DataFrame, path: str, ids: str = "ids", into: str = "text") -> DataFrame:
@@ -410,4 +411,5 @@ def check_pieces(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
                     out.append({"n_tokens": len(ids), "ids_sha256": sha, "exact": codec.decode(ids) == (text or "").replace(BLANK, " ")})
             yield pa.array(out, kind)
 
-    return docs.withColumn("_digest", digest(whole(text))).select("*", "_digest.*").drop("_digest")
+    rows = packed(docs, text).withColumn("_digest", digest("_text"))
+    return unpacked(rows, docs, {c: F.col("_digest").getField(c) for c in ("n_tokens", "ids_sha256", "exact")})

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from factline.llm import weak_labels
 from factline.llm.quality_rules import COMMON
 from factline.llm.storage import cut
-from factline.llm.text import whole
+from factline.llm.text import packed, unpacked
 from factline.llm.token_counts import slices
 
 LABELLERS = ["marked", "shouted", "barred", "stuck", "plain", "worded"]
@@ -155,22 +155,23 @@ def _scorer(w: np.ndarray, b: float):
     return run
 
 
-def classify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: int = SAMPLE, keep_at: float = 0.5) -> DataFrame:
+def classify(docs: DataFrame, text: str = "text", sample: int = SAMPLE, keep_at: float = 0.5) -> DataFrame:
     """``docs`` without its text, with ``quality`` (probability of being good) and ``kept`` added.
 
     A null or empty text has no features and gets the scorer's constant.  Repeated rows score alike; an empty table gives
     an empty one and trains nothing.  ``sample`` bounds the training rows (DIMS 4-byte features each) that reach the
     driver; label counts cover all documents.  No shuffle but of pattern counts and of the sample's smallest hashes.
     """
-    body = whole(text)
-    voted = docs.select(F.col(doc_id).alias("_doc"), F.xxhash64(body).alias("_hash"), _votes()(body).alias("_v")).select("_doc", "_hash", "_v.*")
+    rows = packed(docs, text, text)
+    voted = rows.select(F.xxhash64("_text").alias("_hash"), _votes()("_text").alias("_v")).select("_hash", "_v.*")
     voted = cut(voted, "label-votes")
     model = weak_labels.fit(weak_labels.pattern_counts(voted, LABELLERS), len(LABELLERS))
     judged = voted.withColumn("p", weak_labels.probability(model, LABELLERS)).filter("n_words > 0")
     chosen = judged.groupBy("_hash").agg(F.min("p").alias("p")).orderBy("_hash").limit(sample)  # texts, each once
-    found = docs.withColumn("_hash", F.xxhash64(body)).join(F.broadcast(chosen), "_hash").select("_hash", "p", body.alias("_text"))
+    found = rows.select(F.xxhash64("_text").alias("_hash"), "_text").join(F.broadcast(chosen), "_hash")  # ``sample`` rows
     found = found.groupBy("_hash").agg(F.first("_text").alias("_text"), F.first("p").alias("p"))
-    rows = sorted(found.select("_hash", "p", _features()(F.col("_text")).alias("x")).collect())
-    x = np.array([np.frombuffer(r["x"], dtype=np.float32) for r in rows]) if rows else np.zeros((0, DIMS), dtype=np.float32)
-    w, b = train(x, np.array([r["p"] for r in rows]))
-    return docs.withColumn("quality", _scorer(w, b)(body)).withColumn("kept", F.col("quality") >= keep_at).drop(text)
+    sampled = sorted(found.select("_hash", "p", _features()(F.col("_text")).alias("x")).collect())
+    x = np.array([np.frombuffer(r["x"], dtype=np.float32) for r in sampled]) if sampled else np.zeros((0, DIMS), dtype=np.float32)
+    w, b = train(x, np.array([r["p"] for r in sampled]))
+    scored = rows.withColumn("_quality", _scorer(w, b)("_text"))
+    return unpacked(scored, docs, {"quality": F.col("_quality"), "kept": F.col("_quality") >= keep_at}, text)

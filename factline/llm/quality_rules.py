@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from factline.llm import weak_labels
 from factline.llm.storage import cut
-from factline.llm.text import BLANK, BLANK_CHARS, strip_blank, whole, words
+from factline.llm.text import BLANK, BLANK_CHARS, packed, strip_blank, unpacked, words
 
 SYMBOLS = "#*$%&|<>"
 #: Frequent function words of the four languages, as whole words.
@@ -21,14 +21,17 @@ COMMON = (
 RULES = ["symbols", "repeats", "lines", "length", "shouting", "common"]
 
 
-def measures(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Add the counts the rules go by; all in one pass over the text, within the row.
+MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_text_lines", "n_shouted", "n_common"]
+
+
+def measures(rows: DataFrame) -> DataFrame:
+    """Add the counts the rules go by to rows with a ``_text``; all in one pass over it, within the row.
 
     Repeated three-word windows are found by sorting their hashes with their positions: equal neighbours repeat, and the
     words they cover are the lengths of their union.
     """
-    body = whole(text)
-    out = docs.withColumn("_words", words(body))
+    body = F.col("_text")
+    out = rows.withColumn("_words", words(body))
     n = F.size("_words")
     at = lambda i: F.get(F.col("_words"), i)
     grams = F.transform(
@@ -79,6 +82,15 @@ def votes() -> dict[str, Column]:
     }
 
 
+def verdicts(rows: DataFrame, keep_at: float) -> DataFrame:
+    """Packed rows with measures and verdicts; measured once, as votes are counted before they are weighed."""
+    rows = cut(measures(rows).withColumns(votes()).drop("_text"), "votes")
+    model = weak_labels.fit(weak_labels.pattern_counts(rows, RULES), len(RULES))
+    rows = rows.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
+    rows = rows.withColumn("p_good", weak_labels.probability(model, RULES))
+    return rows.withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= keep_at))
+
+
 def judge(docs: DataFrame, text: str = "text", keep_at: float = 0.5, with_text: bool = False) -> DataFrame:
     """``docs`` with the measures, ``base_failed``, ``p_good`` and ``kept`` added; its text column only ``with_text``.
 
@@ -86,8 +98,11 @@ def judge(docs: DataFrame, text: str = "text", keep_at: float = 0.5, with_text:
     empty one.  Names of added columns are replaced where ``docs`` has them.  No shuffle but the counts of vote patterns,
     at most 3^6 rows a task; the measures are written once, so the text is read once.
     """
-    rows = measures(docs, text).withColumns(votes())
-    rows = cut(rows if with_text else rows.drop(text), "votes")
-    model = weak_labels.fit(weak_labels.pattern_counts(rows, RULES), len(RULES))
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return rows.withColumn("base_failed", failed).withColumn("p_good", weak_labels.probability(model, RULES)).withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= keep_at))
+    without = () if with_text else (text,)
+    rows = verdicts(packed(docs, text, *without), keep_at)
+    return unpacked(rows, docs, {c: F.col(c) for c in (*MEASURES, "base_failed", "p_good", "kept")}, *without)
+
+
+def kept_only(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that ``judge`` keeps, with just its columns."""
+    return unpacked(verdicts(packed(docs, text), 0.5).filter("kept"), docs, {})

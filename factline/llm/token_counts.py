@@ -14,10 +14,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factline.llm.text import whole
+from factline.llm.text import packed, unpacked
 
 #: Fixed value: the splitting pattern of the vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -224,10 +224,6 @@ def count_tokens(docs: DataFrame, path: str, text: str = "text", limit: int = 10
     of the same names in ``docs`` are replaced.  No shuffle; memory per task is bounded by ``REMEMBERED`` chunks, the
     slice of a batch at work, and the longest text.
     """
-    count = token_count_udf(path)
-    body: Column = whole(text)
-    return (
-        docs.withColumn("n_bytes", F.octet_length(body).cast("long"))
-        .withColumn(into, count(body))
-        .withColumn("over_limit", F.col(into) > limit)
-    )
+    rows = packed(docs, text).withColumn("_n", token_count_udf(path)("_text"))
+    added = {"n_bytes": F.octet_length("_text").cast("long"), into: F.col("_n"), "over_limit": F.col("_n") > limit}
+    return unpacked(rows, docs, added)
