@@ -29,7 +29,7 @@ BLANK = "▁"
 #: Runs longer than this are searched by ``stream``.
 LONG = 48
 #: Runs that a task remembers; beyond it the memory starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 #: Runs searched side by side.
 BESIDE = 40_000
 CACHE = 1 << 20
@@ -106,6 +106,7 @@ def load_pieces(path: str) -> dict:
         "pair_to": np.array([pairs[k] for k in keys.tolist()], dtype=np.int64),
         "edge_keys": edge,
         "edge_to": np.array([edges[k] for k in edge.tolist()], dtype=np.int64),
+        "first": np.array([edges.get(c, -1) for c in range(width)], dtype=np.int64),
         "ends": np.array(ends, dtype=np.int64),
         "chars": points[:0x10000].copy() if (points[0x10000:] < 0).all() else points,
         "width": width,
@@ -161,21 +162,23 @@ class Steps:
 
 
 def follow(pieces: dict, node: np.ndarray, char: np.ndarray) -> np.ndarray:
+    """Trie nodes one character on, or -1."""
     key = node * pieces["width"] + char
     k = np.minimum(np.searchsorted(pieces["edge_keys"], key), len(pieces["edge_keys"]) - 1)
     return np.where(pieces["edge_keys"][k] == key, pieces["edge_to"][k], -1)
 
 
-def search(pieces: dict, steps: Steps, runs: list[np.ndarray]) -> list[np.ndarray]:
-    """Pieces of runs of known characters, all searched side by side, boundary by boundary."""
-    size = np.array([len(r) for r in runs], dtype=np.int64)
-    order = np.argsort(-size, kind="stable")
-    most, count = int(size.max()), len(runs)
+def search(pieces: dict, steps: Steps, chars: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pieces of runs of known characters, and their number by run; all searched side by side, boundary by boundary.
+
+    The runs lie one after another in ``chars``; longer ones get the first columns of the grid."""
+    order = np.argsort(-sizes, kind="stable")
+    most, count = int(sizes.max()), len(sizes)
+    rank = np.empty(count, dtype=np.int64)
+    rank[order] = np.arange(count)
     grid = np.zeros((most, count), dtype=np.int64)
-    flat = np.concatenate([runs[k] for k in order])
-    size = size[order]
-    column = np.repeat(np.arange(count), size)
-    grid[np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size), column] = flat
+    grid[np.arange(len(chars)) - np.repeat(np.cumsum(sizes) - sizes, sizes), np.repeat(rank, sizes)] = chars
+    size = sizes[order]
     back = np.full((most + 1, count), -1, dtype=np.int64)
     for begin in range(most):
         row = np.arange(np.searchsorted(-size, -begin, side="left"))  # runs longer than begin
@@ -185,7 +188,8 @@ def search(pieces: dict, steps: Steps, runs: list[np.ndarray]) -> list[np.ndarra
             row, node = row[on], node[on]
             if not len(row):
                 break
-            node = follow(pieces, node, grid[end - 1][row])
+            char = grid[end - 1][row]
+            node = pieces["first"][char] if end == begin + 1 else follow(pieces, node, char)
             on = node >= 0
             row, node = row[on], node[on]
             piece = pieces["ends"][node]
@@ -197,7 +201,6 @@ def search(pieces: dict, steps: Steps, runs: list[np.ndarray]) -> list[np.ndarra
                 good[good] = steps(before[good], p[good])
                 r, p = r[good], p[good]
             back[end][r] = p
-    out: list = [None] * count
     at, cols, found = size.copy(), np.arange(count), []
     while len(cols):
         p = back[at, cols]
@@ -205,12 +208,9 @@ def search(pieces: dict, steps: Steps, runs: list[np.ndarray]) -> list[np.ndarra
         at = at - pieces["length"][p]
         on = at > 0
         at, cols = at[on], cols[on]
-    where = np.concatenate([c for c, _ in found])
-    what = np.concatenate([p for _, p in found])
-    by = np.argsort(where[::-1], kind="stable")
-    for k, part in zip(order.tolist(), np.split(what[::-1][by], np.cumsum(np.bincount(where, minlength=count))[:-1]), strict=True):
-        out[k] = part
-    return out
+    where = order[np.concatenate([c for c, _ in found])][::-1]
+    what = np.concatenate([p for _, p in found])[::-1]
+    return what[np.argsort(where, kind="stable")], np.bincount(where, minlength=count)
 
 
 def stream(pieces: dict, chars: Iterator[int]) -> Iterator[int]:
@@ -289,13 +289,16 @@ class Codec:
         size = np.array([len(u) for u in units])
         begin = np.cumsum(size) - size
         strange = np.add.reduceat(char < 0, begin) > 0
-        easy = [k for k in np.flatnonzero(~strange & (size <= LONG)).tolist()]
-        ids = self.pieces["ids"]
+        easy = np.flatnonzero(~strange & (size <= LONG))
         for k in range(0, len(easy), BESIDE):
             part = easy[k : k + BESIDE]
-            runs = [char[begin[u] : begin[u] + size[u]] for u in part]
-            for u, found in zip(part, search(self.pieces, self.steps, runs), strict=True):
-                self.seen[units[u]] = tuple(ids[found].tolist())
+            of_part = np.zeros(len(size), dtype=bool)
+            of_part[part] = True
+            found, counts = search(self.pieces, self.steps, char[np.repeat(of_part, size)], size[part])
+            ids = self.pieces["ids"][found].tolist()
+            end = np.cumsum(counts)
+            for u, a, b in zip(part.tolist(), (end - counts).tolist(), end.tolist(), strict=True):
+                self.seen[units[u]] = tuple(ids[a:b])
         for u in np.flatnonzero(strange | (size > LONG)).tolist():
             self.seen[units[u]] = tuple(self.one_by_one(units[u], char[begin[u] : begin[u] + size[u]]))
 

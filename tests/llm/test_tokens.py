@@ -44,7 +44,7 @@ def test_pieces_agree_with_the_library(texts):
 def test_stream_commits_what_the_whole_search_finds(text):
     pieces = piece_codec.load_pieces(PIECES)
     chars = pieces["chars"][np.array([ord(c) for c in text])].astype(np.int64)
-    assert list(piece_codec.stream(pieces, iter(chars.tolist()))) == piece_codec.search(pieces, piece_codec.Steps(pieces), [chars])[0].tolist()
+    assert list(piece_codec.stream(pieces, iter(chars.tolist()))) == piece_codec.search(pieces, piece_codec.Steps(pieces), chars, np.array([len(chars)]))[0].tolist()
 
 
 def test_piece_rows(odd, empty, odd_rows):
