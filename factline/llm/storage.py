@@ -8,15 +8,19 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 SHARED = "spark.checkpoint.dir"
+#: Folders made for sessions that name none, as in tests, by application.
+_OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder; a local one is made only where the session names none."""
     found = spark.conf.get(SHARED, None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="factline-")
-        spark.conf.set(SHARED, found)
-    return found
+    if found:
+        return found
+    app = spark.sparkContext.applicationId
+    if app not in _OWN:
+        _OWN[app] = "file://" + tempfile.mkdtemp(prefix="factline-")
+    return _OWN[app]
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
