@@ -16,7 +16,7 @@ from factline.llm.text import n_words, whole
 #: No source, and so no document, is taken more often.
 MOST = 3
 #: Rows of a source that are summed in one task.
-BUCKET = 20_000
+BUCKET = 4_000
 #: So many sources at most are broadcast; their number is counted first, and more are joined by shuffle.
 FEW = 50_000
 
