@@ -34,9 +34,9 @@ def basename(path: Column) -> Column:
 
 #: File extensions and their language ids.
 LANGUAGES = {
-    ".py": "python", ".js": "javascript", ".jsx": "javascript", ".mjs": "javascript", ".cjs": "javascript",
-    ".ts": "typescript", ".tsx": "tsx", ".go": "go", ".rs": "rust", ".java": "java", ".php": "php", ".rb": "ruby",
-    ".c": "c", ".h": "c", ".cpp": "cpp", ".cc": "cpp", ".cxx": "cpp", ".hpp": "cpp", ".cs": "csharp", ".kt": "kotlin", ".lua": "lua",
+    ".py": "python", ".js": "javascript", ".jsx": "javascript", ".ts": "typescript", ".tsx": "tsx", ".go": "go", ".rs": "rust",
+    ".java": "java", ".php": "php", ".c": "c", ".h": "c", ".cpp": "cpp", ".cc": "cpp", ".cxx": "cpp", ".hpp": "cpp", ".hh": "cpp",
+    ".rb": "ruby", ".kt": "kotlin", ".kts": "kotlin", ".swift": "swift", ".lua": "lua",
 }
 
 

@@ -62,6 +62,16 @@ def sides_fit(caller: Column, provider: Column) -> Column:
     return F.when(caller == "client", provider.isin("client", "shared")).when(caller == "server", provider.isin("server", "shared")).when(caller == "shared", provider == "shared").otherwise(False)
 
 
+def sides_local(expected: Column, actual: Column) -> Column:
+    """Within a resource: equal, or either is shared; unknown fits only unknown."""
+    return F.when((expected == "unknown") | (actual == "unknown"), expected == actual).otherwise((expected == actual) | (expected == "shared") | (actual == "shared"))
+
+
+def sides_callback(call: Column, registration: Column) -> Column:
+    """Callbacks cross from client to server or back; shared code registers for both."""
+    return F.when(call == "client", registration.isin("server", "shared")).when(call == "server", registration.isin("client", "shared")).otherwise(False)
+
+
 def authority(registered: Column, fitting: Column, has_registry: Column) -> Column:
     """What stands behind a call, by the entries of its target's name and the providers with a fitting side."""
     known = F.when(registered > 1, "local_ambiguous").when(registered == 1, F.when(fitting == 1, "local_verified").when(fitting > 1, "local_ambiguous").otherwise("local_api_missing"))

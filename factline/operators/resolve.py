@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factline.functions.scalar import dirname, stable_id
-from factline.operators.joins import longest_prefix, only_match, sides_fit
+from factline.operators.joins import longest_prefix, only_match, sides_callback, sides_fit, sides_local
 
 #: What an import may leave off, in order.
 SUFFIXES = ("", ".ts", ".tsx", ".js", ".jsx", ".mjs", ".lua", "/index.ts", "/index.tsx", "/index.js", "/init.lua")
@@ -64,13 +64,21 @@ def event_edges(facts: DataFrame) -> DataFrame:
     h = fixed.filter("kind = 'event_handler'").select("name", F.col("path").alias("to_path"), F.col("side").alias("to_side"))
     registered = fixed.filter("kind = 'net_event_registration'").select("name", F.col("side").alias("to_side")).distinct().withColumn("registered", F.lit(True))
     pairs = t.join(h, "name").join(registered, ["name", "to_side"], "left")
-    local = (F.col("kind") == "event_trigger") & sides_fit(F.col("from_side"), F.col("to_side"))
+    local = (F.col("kind") == "event_trigger") & sides_local(F.col("from_side"), F.col("to_side"))
     remote = (F.col("kind") == "server_event_trigger") & F.col("to_side").isin("server", "shared") & F.col("registered")
     remote |= (F.col("kind") == "client_event_trigger") & F.col("to_side").isin("client", "shared") & F.col("registered")
     out = pairs.filter(local | remote).select("name", "from_path", "to_path", "kind").distinct()
     return out.withColumn("edge_id", stable_id("edge", F.col("kind"), F.col("name"), F.col("from_path"), F.col("to_path")))
 
 
+def callback_edges(facts: DataFrame) -> DataFrame:
+    """Edges from callback calls to the definitions of the same literal name on the other side: (name, from_path, to_path)."""
+    fixed = facts.filter("NOT dynamic AND name <> ''")
+    calls = fixed.filter("kind = 'callback_call'").select("name", F.col("path").alias("from_path"), F.col("side").alias("from_side"))
+    made = fixed.filter("kind = 'callback_definition'").select("name", F.col("path").alias("to_path"), F.col("side").alias("to_side"))
+    return calls.join(made, "name").filter(sides_callback(F.col("from_side"), F.col("to_side"))).select("name", "from_path", "to_path").distinct()
+
+
 def export_edges(facts: DataFrame, resources: DataFrame) -> DataFrame:
     """Export calls with their resource and providers: (path, line, name, target, resource_path, providers, status).
 

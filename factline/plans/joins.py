@@ -98,6 +98,16 @@ def side_matrix(spark, d):
     return both.withColumn("fits", joins.sides_fit(F.col("caller"), F.col("provider")))
 
 
+@query("local_and_callback_sides", """SELECT c.s AS expected, p.s AS actual, CASE WHEN c.s = 'unknown' OR p.s = 'unknown' THEN c.s = p.s ELSE c.s = p.s OR c.s = 'shared' OR p.s = 'shared' END AS local,
+    (c.s = 'client' AND p.s IN ('server', 'shared')) OR (c.s = 'server' AND p.s IN ('client', 'shared')) AS callback
+    FROM (SELECT unnest(['client', 'server', 'shared', 'unknown']) AS s) c, (SELECT unnest(['client', 'server', 'shared', 'unknown']) AS s) p""")
+def local_and_callback_sides(spark, d):
+    sides = F.array(*map(F.lit, ("client", "server", "shared", "unknown")))
+    both = spark.range(1).select(F.explode(sides).alias("expected")).select("expected", F.explode(sides).alias("actual"))
+    e, a = F.col("expected"), F.col("actual")
+    return both.withColumn("local", joins.sides_local(e, a)).withColumn("callback", joins.sides_callback(e, a))
+
+
 @query("provider_authority", f"""WITH calls AS (SELECT l_orderkey, l_linenumber, n_name AS target, {SIDE} AS side FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey),
     reg AS (SELECT n_name AS target, count(*) AS registered FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey % 4 <> 0 GROUP BY 1),
     prov AS (SELECT n_name AS target, CASE WHEN s_suppkey % 2 = 0 THEN 'server' ELSE 'shared' END AS pside, count(*) AS n FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey % 4 <> 0 GROUP BY ALL)

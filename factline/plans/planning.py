@@ -9,30 +9,70 @@ from factline import corpus
 from factline.catalog import query
 from factline.operators import ranking
 
-#: Keywords of task classes, in order; the first that occurs decides.
+#: Keywords of task classes, in order, with trace direction and depth; the first that occurs decides.
 CLASSES = (
-    ("relationship_trace", ("caller", "who calls", "what does", "callees", "calls", "trace", "flow", "relationship")),
-    ("cross_resource", ("cross-resource", "cross resource", "between")),
-    ("localized_change", ("fix", "change", "modify", "implement", "refactor", "perbaiki", "ubah")),
-    ("exact_symbol", ("find", "locate", "where is", "cari")),
+    ("relationship_trace", "incoming", 1, ("caller", "who calls")),
+    ("relationship_trace", "outgoing", 1, ("what does", "callees", "calls")),
+    ("relationship_trace", "both", 2, ("trace", "flow", "relationship")),
+    ("cross_resource", "both", 1, ("cross-resource", "cross resource", "between")),
+    ("localized_change", "both", 1, ("fix", "change", "modify", "implement", "refactor", "perbaiki", "ubah")),
+    ("exact_symbol", "", 1, ("find", "locate", "where is", "cari")),
 )
-STOPWORDS = ("the", "and", "for", "with", "this", "that", "from", "into")
-TERM = r"[a-z_][a-z0-9_.]*"
+#: Words that no search term is made of, and words that mark a broad task.
+STOPWORDS = (
+    "a", "an", "and", "are", "as", "at", "buat", "because", "by", "di", "dengan", "find", "fix", "for", "from", "in", "into", "is",
+    "ke", "of", "on", "review", "the", "this", "locate", "to", "ubah", "untuk", "where", "who", "yang", "dan",
+)
+BROAD = (
+    "architecture", "system", "subsystem", "whole", "overall", "review", "audit", "redesign", "migration", "arsitektur", "sistem",
+    "keseluruhan", "redesain", "migrasi",
+)
+TERM = r"[A-Za-z_][A-Za-z0-9_.]*"
+MOST_TERMS = 32
 
 
-def task_class(text: Column) -> Column:
+def _words(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(TERM), F.lit(0))
+
+
+def _decided(text: Column, pick, broad, other) -> Column:
     low = F.lower(text)
-    out = None
-    for name, words in CLASSES:
-        hit = low.rlike("|".join(w.replace("-", r"\-") for w in words))
-        out = F.when(hit, name) if out is None else out.when(hit, name)
-    return out.otherwise("broad_unknown")
+    out = F.when(F.exists(_words(low), lambda x: x.isin(*BROAD)), broad)
+    for rule in CLASSES:
+        out = out.when(low.rlike("|".join(rule[3])), pick(rule))
+    return out.otherwise(other)
+
+
+def task_class(text: Column) -> Column:
+    return _decided(text, lambda r: r[0], "broad_unknown", "broad_unknown")
+
+
+def trace_direction(text: Column) -> Column:
+    return _decided(text, lambda r: r[1], "", "")
+
+
+def expansion_depth(text: Column) -> Column:
+    return _decided(text, lambda r: r[2], 1, 1)
+
+
+def confidence(text: Column) -> Column:
+    return _decided(text, lambda r: "medium", "medium", "low")
+
+
+def task_terms(text: Column, most: int = MOST_TERMS) -> Column:
+    """Distinct identifier-like terms of three characters or more that are no stopwords, the first ``most``."""
+    kept = F.filter(_words(text), lambda x: (F.length(x) >= 3) & ~F.lower(x).isin(*STOPWORDS))
+    return F.slice(F.array_distinct(kept), 1, most)
+
+
+def quoted(text: Column) -> Column:
+    """Identifiers in quotes or backticks."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit("[`'\"]([^`'\"\n]+)[`'\"]"), F.lit(1)))
 
 
-def task_terms(text: Column, most: int | None = None) -> Column:
-    """Distinct identifier-like terms of three characters or more."""
-    found = F.array_distinct(F.filter(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)), lambda x: F.length(x) >= 3))
-    return F.slice(found, 1, most) if most else found
+def strong_terms(text: Column) -> Column:
+    """Terms that look like code: punctuation, capitals inside or digits."""
+    return F.filter(task_terms(text), lambda x: x.rlike(r"[.:/\[\]_-]|[a-z][A-Z]|[0-9]"))
 
 
 def evidence(spark, d) -> DataFrame:

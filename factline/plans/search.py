@@ -117,15 +117,28 @@ def benchmark_hits(spark, d):
     return hits.groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("interpreted_tasks", r"""SELECT conv_id, turn, CASE WHEN t LIKE '%trace%' OR t LIKE '%flow%' OR t LIKE '%relationship%' THEN 'relationship_trace'
-    WHEN t LIKE '%between%' THEN 'cross_resource' WHEN regexp_matches(t, 'fix|change|modify|implement|refactor') THEN 'localized_change'
-    WHEN regexp_matches(t, 'find|locate|where is') THEN 'exact_symbol' ELSE 'broad_unknown' END AS task_class,
-    len(list_distinct(list_filter(regexp_extract_all(t, '[a-z_][a-z0-9_.]*'), lambda x: length(x) >= 3)))::INT AS n_terms FROM (SELECT conv_id, turn, lower(text) AS t FROM conversations WHERE role = 'user')""")
+def _task_sql() -> str:
+    from factline.plans.planning import BROAD, CLASSES, STOPWORDS
+
+    def names(xs):
+        return ", ".join(f"'{x}'" for x in xs)
+
+    def rule(k, other, quote):
+        shown = (lambda x: f"'{x}'") if quote else str
+        return " ".join(f"WHEN regexp_matches(t, '{'|'.join(c[3])}') THEN {shown(c[k])}" for c in CLASSES) + f" ELSE {shown(other)} END"
+
+    broad = f"list_has_any(regexp_extract_all(t, '[A-Za-z_][A-Za-z0-9_.]*'), [{names(BROAD)}])"
+    terms = f"list_distinct(list_filter(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_.]*'), lambda x: length(x) >= 3 AND lower(x) NOT IN ({names(STOPWORDS)})))"
+    return f"""SELECT conv_id, turn, CASE WHEN {broad} THEN 'broad_unknown' {rule(0, "broad_unknown", True)} AS task_class, CASE WHEN {broad} THEN '' {rule(1, "", True)} AS direction,
+      CASE WHEN {broad} THEN 1 {rule(2, 1, False)} AS depth, least(32, len({terms}))::INT AS n_terms FROM (SELECT conv_id, turn, text, lower(text) AS t FROM conversations WHERE role = 'user')"""
+
+
+@query("interpreted_tasks", _task_sql())
 def interpreted_tasks(spark, d):
-    from factline.plans.planning import task_class, task_terms
+    from factline.plans import planning as p
 
-    c = corpus.table(spark, d, "conversations").filter("role = 'user'")
-    return c.select("conv_id", "turn", task_class(F.col("text")).alias("task_class"), F.size(task_terms(F.col("text"))).alias("n_terms"))
+    c, t = corpus.table(spark, d, "conversations").filter("role = 'user'"), F.col("text")
+    return c.select("conv_id", "turn", p.task_class(t).alias("task_class"), p.trace_direction(t).alias("direction"), p.expansion_depth(t).alias("depth"), F.size(p.task_terms(t)).alias("n_terms"))
 
 
 @query("token_savings", """SELECT repo, sum(greatest(0, (strlen(content) - 800) // 4))::BIGINT AS saved, (sum(greatest(0, (strlen(content) - 800) // 4)) * 25 + 50)::BIGINT // 100 / 10000.0::DOUBLE AS avoided

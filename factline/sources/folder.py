@@ -19,7 +19,7 @@ def scan(spark: SparkSession, root: str, ignore: list[str] | None = None, most_f
     path = F.substring_index(F.regexp_replace("path", "^[a-z]+:/*", "/"), base, -1)
     files = raw.filter(F.col("length") <= most_bytes).select(path.alias("path"), F.col("length").alias("size_bytes"), "content")
     p = F.col("path")
-    files = files.withColumn("language", language(p)).filter((F.col("language") != "") & ~predicates.skipped_dir(p) & ~predicates.secret(p) & ~predicates.ignored(p, ignore or []))
+    files = files.withColumn("language", language(p)).filter((F.col("language") != "") & ~predicates.skipped_dir(p) & ~predicates.skipped_file(p) & ~predicates.secret(p) & ~predicates.ignored(p, ignore or []))
     files = files.filter(~F.contains(F.substring("content", 1, 8192), F.lit(bytearray(b"\0"))))
     files = files.select("path", "language", F.make_valid_utf8(F.col("content").cast("string")).alias("content"), F.sha2("content", 256).alias("hash"), "size_bytes")
     return predicates.prioritize(files, most_files).drop("rank")

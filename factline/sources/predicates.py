@@ -9,11 +9,21 @@ from pyspark.sql import functions as F
 
 from factline.functions.scalar import basename, extension, glob_regex
 
-#: Directories that come first under a cap, directories and files never taken, binary extensions, secrets.
+#: Directories that come first under a cap; directories and files never taken; binary extensions; secrets.
 FIRST_DIRS = ("src", "lib", "pkg", "cmd", "internal")
-SKIPPED_DIRS = ("node_modules", "vendor", ".git", "dist", "build", "target", "__pycache__", ".venv", "venv", ".next", "coverage", ".idea", ".vscode")
-BINARY = (".exe", ".dll", ".so", ".dylib", ".png", ".jpg", ".jpeg", ".gif", ".ico", ".pdf", ".zip", ".gz", ".tar", ".jar", ".class", ".o", ".a", ".woff", ".woff2", ".mp3", ".mp4", ".db", ".sqlite")
-SECRETS = (".env", ".env.*", "*.pem", "*.key", "*.p12", "*.pfx", "*.jks", "id_rsa*", "id_dsa*", "id_ecdsa*", "id_ed25519*", "*.keystore", "credentials.json", "secrets.*", "*.secret", ".netrc", ".npmrc", ".pypirc", ".htpasswd")
+SKIPPED_DIRS = ("node_modules", "vendor", ".git", "build", "dist", "__pycache__", ".tox", ".mypy_cache", ".pytest_cache", ".venv", "venv", ".eggs", "target")
+SKIPPED_FILES = ("package-lock.json", "yarn.lock", "pnpm-lock.yaml", "poetry.lock", "Cargo.lock", "go.sum", "composer.lock")
+BINARY = (
+    ".exe", ".dll", ".so", ".dylib", ".bin", ".out", ".o", ".obj", ".a", ".lib", ".zip", ".tar", ".gz", ".bz2", ".xz", ".7z", ".rar",
+    ".png", ".jpg", ".jpeg", ".gif", ".bmp", ".ico", ".svg", ".webp", ".tiff", ".tif", ".mp3", ".mp4", ".avi", ".mov", ".mkv", ".wav",
+    ".flac", ".ogg", ".webm", ".pdf", ".doc", ".docx", ".xls", ".xlsx", ".ppt", ".pptx", ".pyc", ".pyo", ".class", ".wasm", ".db",
+    ".sqlite", ".sqlite3", ".ttf", ".otf", ".woff", ".woff2", ".eot", ".jar", ".war", ".ear",
+)
+SECRETS = (
+    "*.env", ".env", ".env.*", "*.pem", "*.key", "*.p12", "*.pfx", "*.credentials", "*.keystore", "*.jks", "*.token", "*secret*",
+    "id_rsa", "id_rsa.*", "id_ed25519", "id_ed25519.*", "id_dsa", "id_ecdsa", ".htpasswd", ".netrc", ".npmrc", ".pypirc",
+    "credentials.json", "service-account*.json", "*.secrets",
+)
 MOST_BYTES = 500 * 1024
 
 
@@ -45,6 +55,10 @@ def skipped_dir(path: Column) -> Column:
     return F.arrays_overlap(F.split(path, "/"), F.array(*map(F.lit, SKIPPED_DIRS)))
 
 
+def skipped_file(path: Column) -> Column:
+    return basename(path).isin(*SKIPPED_FILES)
+
+
 def binary_content(content: Column) -> Column:
     return F.contains(F.substring(content, 1, 8192), F.lit("\0"))
 

@@ -21,7 +21,7 @@ DECLARATIONS = {
     "rust": [("function", r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:async\s+)?fn\s+(\w+)"), ("type", r"^\s*(?:pub\s+)?(?:struct|enum|trait)\s+(\w+)")],
     "ruby": [("method", r"^\s*def\s+([\w.?!]+)"), ("class", r"^\s*(?:class|module)\s+(\w+)")],
     "php": [("function", r"^\s*(?:public\s+|private\s+|protected\s+|static\s+)*function\s+(\w+)"), ("class", r"^\s*(?:final\s+|abstract\s+)?(?:class|interface|trait)\s+(\w+)")],
-    "csharp": [("class", r"^\s*(?:public\s+|internal\s+|abstract\s+|sealed\s+|static\s+)*(?:class|interface|struct|enum)\s+(\w+)"), ("method", r"^\s+(?:public|private|protected|internal)\s+[\w<>\[\], ]+\s+(\w+)\s*\(")],
+    "swift": [("function", r"^\s*(?:\w+\s+)*func\s+(\w+)"), ("class", r"^\s*(?:\w+\s+)*(?:class|struct|enum|protocol)\s+(\w+)")],
     "kotlin": [("function", r"^\s*(?:\w+\s+)*fun\s+(\w+)"), ("class", r"^\s*(?:data\s+|sealed\s+|open\s+)*(?:class|interface|object)\s+(\w+)")],
     "c": [("function", r"^[A-Za-z_][\w\s*]*\s\*?(\w+)\s*\([^;]*\)\s*\{?$"), ("type", r"^(?:typedef\s+)?(?:struct|enum|union)\s+(\w+)")],
 }

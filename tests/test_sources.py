@@ -108,6 +108,24 @@ def test_exports_need_a_fitting_provider(spark):
     assert ("bank", "Pay", "local_ambiguous") in values(resolve.export_edges(found, twice), "target", "name", "status")
 
 
+def test_callbacks_cross_sides(spark):
+    rows = [("a", "client", "callback_call", "cb", False), ("b", "server", "callback_definition", "cb", False), ("c", "client", "callback_definition", "cb", False)]
+    f = spark.createDataFrame(rows, "path string, side string, kind string, name string, dynamic boolean")
+    assert values(resolve.callback_edges(f), "from_path", "to_path") == [("a", "b")]
+
+
+def test_tasks(spark):
+    from factline.plans import planning
+
+    def read(text, *columns):
+        return tuple(spark.range(1).select(*[c(F.lit(text)).alias(str(i)) for i, c in enumerate(columns)]).first())
+
+    assert read("who calls `openFile`?", planning.task_class, planning.trace_direction, planning.quoted) == ("relationship_trace", "incoming", ["openFile"])
+    assert read("review the architecture and fix it", planning.task_class, planning.confidence) == ("broad_unknown", "medium")
+    assert read("fix user.save in the store", planning.task_class, planning.task_terms, planning.strong_terms) == ("localized_change", ["user.save", "store"], ["user.save"])
+    assert read("hello there", planning.task_class, planning.confidence, planning.expansion_depth) == ("broad_unknown", "low", 1)
+
+
 def test_imports_and_calls_resolve_once(spark):
     code = {"a/x.ts": "import { save } from './store'\nimport { no } from './absent'\nfunction f() { save(); twice(); mine(); }\nfunction mine() {}\n", "a/store.ts": "export function save() {}\n", "a/p.ts": "function twice() {}\n", "a/q.ts": "function twice() {}\n"}
     files = spark.createDataFrame(list(code.items()), "path string, content string")
