@@ -5,11 +5,14 @@ the place of its least-hashed ``GRAM`` bytes (the leftmost of equals), which dep
 windows have equal anchors, and windows that follow each other mostly share one: a stretch.
 
 1. Blocks of documents send the hashes of their anchors, each once, to hash partitions, which answer with those that
-   occur again.  Only stretches of such anchors can hold repeats.
-2. Blocks send the bytes of those stretches to shards by anchor; a stretch that a block holds several times goes once.
-3. A shard builds the suffix array of its distinct stretches by induced sorting; common prefixes with the neighbour in
+   occur again, and those that very many blocks hold.  Only stretches of such anchors can hold repeats.
+2. For anchors in very many blocks, blocks ask once more, by window: where a common passage begins or ends, every
+   document has surroundings of its own, which would meet in one shard.  Only windows that occur again stay in such a
+   stretch, and what is left of it is the same in most documents.
+3. Blocks send the bytes of those stretches to shards by anchor; a stretch that a block holds several times goes once.
+4. A shard builds the suffix array of its distinct stretches by induced sorting; common prefixes with the neighbour in
    order tell the windows that are equal, the first in (document, place) stays, and the others go back to their blocks.
-4. Blocks cut the bytes that windows cover.
+5. Blocks cut the bytes that windows cover.
 
 Texts move once (the exchange by block is reused), and what a step returns is packed arrays.
 """
@@ -32,8 +35,10 @@ BLOCK, PART, SHARD = 10_000_000, 32_000_000, 8_000_000
 STEP, SORTED = 1_000_000, 2_000_000
 MULTIPLIER = 0x9E3779B97F4A7C15
 MASK = (1 << 64) - 1
+#: An anchor that more blocks hold is asked for by window.
+HOT_BLOCKS = 32
 ASKED = "part long, block long, anchors binary, again binary"
-ANSWER = "block long, part long, again binary"
+ANSWER = "block long, part long, again binary, hot binary"
 STRETCHES = "shard long, block long, row binary, start binary, windows binary, anchors binary, bytes binary, gone binary"
 GONE = "block long, row binary, first binary, last binary"
 
@@ -138,13 +143,81 @@ def _table(rows: list[tuple], fields: tuple) -> pa.Table:
     return pa.table({name: pa.array(list(c), kind) for (name, kind), c in zip(fields, columns, strict=True)})
 
 
-def _answer(table: pa.Table) -> pa.Table:
+def _answer(hot_blocks: int):
+    def run(table: pa.Table) -> pa.Table:
+        return _answered(table, hot_blocks)
+
+    return run
+
+
+def _answered(table: pa.Table, hot_blocks: int) -> pa.Table:
     sent = [np.frombuffer(x.as_py(), dtype=np.uint64) for x in table.column("anchors")]
     again = np.concatenate([np.frombuffer(x.as_py(), dtype=bool) for x in table.column("again")])
     _, inverse, count = np.unique(np.concatenate(sent), return_inverse=True, return_counts=True)
-    flag = again | (count > 1)[inverse]
-    out = [np.packbits(x).tobytes() for x in np.split(flag, np.cumsum([len(s) for s in sent])[:-1])]
-    return pa.table({"block": table.column("block"), "part": table.column("part"), "again": pa.array(out, pa.binary())})
+    cuts = np.cumsum([len(s) for s in sent])[:-1]
+    flags = [again | (count > 1)[inverse], (count > hot_blocks)[inverse]]
+    out = [pa.array([np.packbits(x).tobytes() for x in np.split(f, cuts)], pa.binary()) for f in flags]
+    return pa.table({"block": table.column("block"), "part": table.column("part"), "again": out[0], "hot": out[1]})
+
+
+class Asked:
+    """A block's keys with the answers: which of them occur again, which are in very many blocks."""
+
+    def __init__(self, keys: np.ndarray, parts: int, answers: pa.Table):
+        _, again, place, bounds = _by_part(keys, parts)
+        hot = np.zeros(len(again), dtype=bool)
+        for p, a, h in zip(answers.column("part").to_pylist(), answers.column("again"), answers.column("hot"), strict=True):
+            b, e = bounds[p], bounds[p + 1]
+            again[b:e] |= np.unpackbits(np.frombuffer(a.as_py(), dtype=np.uint8), count=e - b).astype(bool)
+            hot[b:e] = np.unpackbits(np.frombuffer(h.as_py(), dtype=np.uint8), count=e - b).astype(bool)
+        self.again, self.hot = again[place], hot[place]
+
+
+def _windows(data: np.ndarray, first: np.ndarray, count: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of stretches, one row a window: its stretch, its place, a hash of its bytes."""
+    owner = np.repeat(np.arange(len(first)), count)
+    place = first[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+    powers = np.array([pow(MULTIPLIER, k, 1 << 64) for k in range(width)], dtype=np.uint64)
+    key = np.empty(len(place), dtype=np.uint64)
+    for k in range(0, len(place), 20_000):
+        some = data[place[k : k + 20_000, None] + np.arange(width)].astype(np.uint64) + np.uint64(1)
+        key[k : k + 20_000] = (some * powers).sum(axis=1, dtype=np.uint64)
+    key ^= key >> np.uint64(31)
+    key *= np.uint64(0xBF58476D1CE4E5B9)
+    return owner, place, key ^ (key >> np.uint64(29))
+
+
+def _ask_hot(width: int, parts: int):
+    def run(table: pa.Table, answers: pa.Table) -> pa.Table:
+        fields = (("part", pa.int64()), ("block", pa.int64()), ("anchors", pa.binary()), ("again", pa.binary()))
+        if not table.num_rows:
+            return _table([], fields)
+        block, number = Block(table, width), table.column("_block")[0].as_py()
+        first, count, key = block.stretches()
+        hot = Asked(key, parts, answers).hot
+        keys, again, _, bounds = _by_part(_windows(block.data, first[hot], count[hot], width)[2], parts)
+        return _table([(p, number, keys[a:b].tobytes(), again[a:b].tobytes()) for p, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if b > a], fields)
+
+    return run
+
+
+def _trimmed(block: Block, width: int, parts: int, answers: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Stretches that can hold repeats; those of anchors in very many blocks cut down to windows that occur again."""
+    first, count, key = block.stretches()
+    rounds = np.array(answers.column("round").to_pylist(), dtype=np.int64)
+    asked = Asked(key, parts, answers.filter(pa.array(rounds == 1)))
+    plain = asked.again & ~asked.hot
+    out = [(first[plain], count[plain], key[plain])]
+    first, count, key = first[asked.hot], count[asked.hot], key[asked.hot]
+    if len(first):
+        owner, place, window = _windows(block.data, first, count, width)
+        on = Asked(window, parts, answers.filter(pa.array(rounds == 2))).again
+        owner, place = owner[on], place[on]
+        if len(place):
+            new = np.flatnonzero((np.diff(place) != 1) | (np.diff(owner) != 0)) + 1
+            begin = np.concatenate(([0], new))
+            out.append((place[begin], np.diff(np.concatenate((begin, [len(place)]))), key[owner[begin]]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def _send(width: int, parts: int, shards: int):
@@ -154,13 +227,7 @@ def _send(width: int, parts: int, shards: int):
             return _table([], fields)
         number = table.column("_block")[0].as_py()
         block = Block(table, width)
-        first, count, key = block.stretches()
-        keys, again, place, bounds = _by_part(key, parts)
-        for p, x in zip(answers.column("part").to_pylist(), answers.column("again"), strict=True):
-            a, b = bounds[p], bounds[p + 1]
-            again[a:b] |= np.unpackbits(np.frombuffer(x.as_py(), dtype=np.uint8), count=b - a).astype(bool)
-        on = again[place]
-        first, count, key = first[on], count[on], key[on]
+        first, count, key = _trimmed(block, width, parts, answers)
         row = np.searchsorted(block.begin, first, side="right") - 1
         start = first - block.begin[row]
         shard = ((key >> np.uint64(17)) % np.uint64(shards)).astype(np.int64)
@@ -323,7 +390,12 @@ def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
     blocks, parts, shards = (1 + size // x for x in (BLOCK, PART, SHARD))
     rows = rows.withColumn("_block", F.pmod(F.xxhash64("_doc"), F.lit(blocks)))
     held = rows.groupBy("_block")
-    answers = held.applyInArrow(_ask(width, parts), ASKED).groupBy("part").applyInArrow(_answer, ANSWER)
+    answer = _answer(HOT_BLOCKS)
+    anchors = held.applyInArrow(_ask(width, parts), ASKED).groupBy("part").applyInArrow(answer, ANSWER)
+    anchors = cut(anchors.withColumn("round", F.lit(1)), "anchors")
+    windows = held.cogroup(anchors.groupBy("block")).applyInArrow(_ask_hot(width, parts), ASKED)
+    windows = windows.groupBy("part").applyInArrow(answer, ANSWER).withColumn("round", F.lit(2))
+    answers = anchors.unionByName(windows)
     sent = held.cogroup(answers.groupBy("block")).applyInArrow(_send(width, parts, shards), STRETCHES)
     gone = cut(sent.groupBy("shard").applyInArrow(_judge(width), GONE), "gone")
     return held.cogroup(gone.groupBy("block")).applyInArrow(_cut(width), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")

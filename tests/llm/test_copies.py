@@ -71,7 +71,9 @@ def test_repeats_of_odd_rows(odd, odd_rows, empty, monkeypatch):
     assert substring_dedup.drop_repeats(empty).count() == 0
 
 
-def test_repeats_of_planted_passages(spark, monkeypatch):
+@pytest.mark.parametrize("hot", [0, 3, 32])
+def test_repeats_of_planted_passages(spark, monkeypatch, hot):
+    monkeypatch.setattr(substring_dedup, "HOT_BLOCKS", hot)
     monkeypatch.setattr(substring_dedup, "BLOCK", 3_000)
     monkeypatch.setattr(substring_dedup, "SHARD", 2_000)
     r = random.Random(4)
