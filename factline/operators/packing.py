@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -84,6 +86,56 @@ def count_tokens(text: str) -> int:
     return -(-len(text.encode()) // 4)
 
 
+def enforce_ceiling(package: dict, most: int, count=count_tokens, attempts: int = 128) -> dict:
+    """A package whose serialised form is within ``most`` tokens: the last section gives way first, by half its text, then
+    goes whole; what is left out is named."""
+    for _ in range(attempts):
+        size = count(json.dumps(package, ensure_ascii=False))
+        if size <= most:
+            break
+        sections = package["sections"]
+        if not sections:
+            package["omitted"] = package["omitted"][: len(package["omitted"]) // 2]
+            continue
+        last = sections[-1]
+        room = count(last["text"]) - max(size - most, 1) - 8
+        if room >= LEAST_ROOM:
+            last["text"], last["complete"] = slice_to_tokens(last["text"], room, count), False
+        else:
+            package["omitted"].append(sections.pop()["candidate"])
+    return package
+
+
+def assemble(candidates: DataFrame, request: str = "request") -> DataFrame:
+    """(request, tokens, complete, package): one JSON package a request, within its budget as serialised.
+
+    Rows: (request, budget, candidate, stage, score, tokens, text).  Critical supports (stage 1) hold a reserve of at most
+    a third of the room, for three of them; it is given back to later stages when they need less."""
+    kind = dict(candidates.dtypes)[request]
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        budget = int(rows["budget"].iloc[0])
+        room = budget - min(max(budget // 20, 256), 1024)
+        order = sorted(rows.itertuples(index=False), key=lambda r: (r.stage, -(r.score / max(r.tokens, 1)), -r.score, r.tokens, r.candidate))
+        reserve = min(room // 3, sum(sorted(r.tokens for r in order if r.stage == 1)[:3]))
+        sections, omitted, used, read = [], [], 0, 0
+        for r in order:
+            free = room - used - (reserve if r.stage == 0 else 0)
+            raw = len(r.text.encode())
+            if free < LEAST_ROOM or len(sections) >= MOST_READS or read + raw > MOST_BYTES:
+                omitted.append(r.candidate)
+                continue
+            text = slice_to_tokens(r.text, free, count_tokens)
+            sections.append({"candidate": r.candidate, "stage": STAGES[r.stage], "complete": text == r.text, "text": text})
+            used, read = used + count_tokens(text), read + raw
+        package = enforce_ceiling({"sections": sections, "omitted": omitted[:32], "budget": budget, "exact": False}, budget)
+        shown = json.dumps(package, ensure_ascii=False)
+        complete = bool(package["sections"]) and all(x["complete"] for x in package["sections"]) and not package["omitted"]
+        return pd.DataFrame([(key[0], count_tokens(shown), complete, shown)], columns=[request, "tokens", "complete", "package"])
+
+    return candidates.groupBy(request).applyInPandas(run, f"{request} {kind}, tokens long, complete boolean, package string")
+
+
 def sufficiency(i: dict[str, Column]) -> Column:
     """Decision of a package from flags, first rule that holds."""
     exact = i["task_class"].isin("exact_symbol", "exact_semantic")

@@ -90,3 +90,22 @@ def required_candidates(spark, d):
 def cross_resource_coverage(spark, d):
     l, s = corpus.table(spark, d, "lineitem"), corpus.table(spark, d, "supplier")
     return l.join(s, l["l_suppkey"] == s["s_suppkey"]).groupBy("l_orderkey").agg(F.bool_and(F.col("s_acctbal") > 0).alias("covered"), F.count_distinct("l_suppkey").alias("peers"))
+
+
+@query("assembled_packages")
+def assembled_packages(spark, d):
+    """One JSON package a source, of its documents by size: rows only (sequential, with serialised ceilings)."""
+    from pyspark.sql import Window
+
+    ranked = Window.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id")
+    f = corpus.table(spark, d, "documents").withColumn("_n", F.row_number().over(ranked)).filter("_n <= 100")  # a plan's most
+    rows = f.select(
+        F.col("source").alias("request"),
+        F.lit(4000).cast("long").alias("budget"),
+        F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("candidate"),
+        (F.col("doc_id") % 4).cast("int").alias("stage"),
+        (F.col("n_chars") % 1000).alias("score"),
+        packing.estimate(F.octet_length("text").cast("long"), F.lit(0)).alias("tokens"),
+        "text",
+    )
+    return packing.assemble(rows)

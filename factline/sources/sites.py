@@ -48,6 +48,56 @@ def _blank(pattern: re.Pattern, text: str) -> str:
     return pattern.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), text)
 
 
+ASSIGNED = re.compile(r"(?:^|;|\bthen\b|\bdo\b|\belse\b)[ \t]*(?:local[ \t]+)?([A-Za-z_]\w*)[ \t]*=[ \t]*(?!=)([^\n]*)", re.M)
+FUNCTION = re.compile(r"\bfunction\b[^(\n]*\(([^)]*)\)")
+BLOCK = re.compile(r"\b(function|do|then|repeat|end|until|elseif)\b")
+MEMBER_CALL = re.compile(r"\b([A-Za-z_]\w*)((?:[.:][A-Za-z_]\w*)+)\s*\(")
+
+
+def _functions(text: str) -> list[tuple[int, int, set[str]]]:
+    """Begin, end and parameters of every function body, by matching block words."""
+    out, open_blocks = [], []
+    for m in BLOCK.finditer(text):
+        if m[1] == "function":
+            f = FUNCTION.match(text, m.start())
+            open_blocks.append((m.start(), {x.strip() for x in f[1].split(",")} if f else set()))
+        elif m[1] in ("do", "then", "repeat"):
+            open_blocks.append((m.start(), None))
+        elif m[1] == "elseif" and open_blocks:
+            open_blocks.pop()  # its ``then`` opens the next branch
+        elif m[1] in ("end", "until") and open_blocks:
+            begin, names = open_blocks.pop()
+            if names is not None:
+                out.append((begin, m.end(), names))
+    return out
+
+
+def object_calls(text: str) -> Iterator[tuple]:
+    """Calls on an object that an export gave: ``local x = exports.res:Api()`` ... ``x.Functions.Name(``.
+
+    All assignments of the name before the call, in functions that hold the call or outside any, must agree on their
+    origin; a parameter of that name or a second origin leaves the call ambiguous."""
+    functions = _functions(text)
+
+    def holds(at: int, place: int) -> bool:
+        return all(b <= place < e for b, e, _ in functions if b <= at < e)
+
+    origins = [(m.start(), m[1], (x[1] or x[3], x[4]) if (x := LUA_EXPORT.match(m[2])) else None) for m in ASSIGNED.finditer(text)]
+    known = {name for _, name, origin in origins if origin}
+    for m in MEMBER_CALL.finditer(text):
+        if m[1] not in known:
+            continue
+        earlier = [o for at, name, o in origins if name == m[1] and at < m.start() and holds(at, m.start())]
+        shadowed = any(b <= m.start() < e and m[1] in names for b, e, names in functions)
+        api, line = re.split("[.:]", m[2])[-1], _line(text, m.start())
+        if earlier and earlier[-1] and len(set(earlier)) == 1 and not shadowed:
+            resource = earlier[0][0]
+            operation = OPERATIONS.get(RESOURCE_FRAMEWORK.get(resource, ""), {}).get(api)
+            yield "framework_object_call", operation or api, resource, line, False
+        elif earlier or shadowed:
+            yield "framework_object_call", api, "", line, True
+
+
 def lua_sites(content: str) -> Iterator[tuple]:
     text = _blank(LUA_STRIP, content)
     for m in LUA_REQUIRE.finditer(text):
@@ -60,6 +110,7 @@ def lua_sites(content: str) -> Iterator[tuple]:
         operation = OPERATIONS.get(RESOURCE_FRAMEWORK.get(resource, ""), {}).get(m[4])
         if operation:
             yield "framework_call", operation, resource, _line(text, m.start()), False
+    yield from object_calls(text)
     for m in LUA_CALL.finditer(text):
         before = text[max(0, m.start() - 12) : m.start()]
         if m[1] in WORDS or m[1] == "exports" or m[1] == "require" or re.search(r"function\s+$", before):

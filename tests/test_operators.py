@@ -152,6 +152,20 @@ def test_packing_keeps_its_ceiling_and_grows_with_the_budget(spark):
     assert used == sorted(used)
 
 
+def test_packages_keep_their_serialised_ceiling(spark):
+    import json
+
+    rows = [("q", b, f"c{i}", i % 4, 100 + i, 400, "\n".join(f"line {i} {j}" for j in range(150))) for b in (600,) for i in range(12)]
+    schema = "request string, budget long, candidate string, stage int, score long, tokens long, text string"
+    shown = []
+    for budget in (600, 3000, 20_000):
+        r = packing.assemble(spark.createDataFrame([(q, budget, *x) for q, _, *x in rows], schema)).first()
+        package = json.loads(r["package"])
+        assert r["tokens"] <= budget and len(package["sections"]) + len(package["omitted"]) <= 12
+        shown.append(len(package["sections"]))
+    assert shown == sorted(shown) and shown[-1] == 12 and r["complete"]
+
+
 def test_skipping_greedy(spark):
     df = spark.createDataFrame([("r", 1, 60), ("r", 2, 50), ("r", 3, 40)], "request string, n int, size long")
     assert values(packing.fits_skipping(df, "request", ["n"], "size", 100), "n", "used") == [(1, 100), (3, 100)]

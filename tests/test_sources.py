@@ -108,6 +108,25 @@ def test_exports_need_a_fitting_provider(spark):
     assert ("bank", "Pay", "local_ambiguous") in values(resolve.export_edges(found, twice), "target", "name", "status")
 
 
+LINEAGE = """
+local Core = exports['qb-core']:GetCoreObject()
+local other = exports.es_extended:getSharedObject()
+function a()
+  Core.Functions.GetPlayer(1)
+end
+function b(Core)
+  Core.Functions.GetPlayer(1)
+end
+if x then other = nil elseif y then z() end
+other.getPlayer()
+"""
+
+
+def test_objects_keep_their_origin():
+    got = [(s[1], s[2], s[4]) for s in sites.object_calls(LINEAGE)]
+    assert got == [("player_lookup", "qb-core", False), ("GetPlayer", "", True), ("getPlayer", "", True)]
+
+
 def test_callbacks_cross_sides(spark):
     rows = [("a", "client", "callback_call", "cb", False), ("b", "server", "callback_definition", "cb", False), ("c", "client", "callback_definition", "cb", False)]
     f = spark.createDataFrame(rows, "path string, side string, kind string, name string, dynamic boolean")
