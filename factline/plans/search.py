@@ -57,7 +57,7 @@ def edit_distances(spark, d):
     f AS (SELECT symbol_id, row_number() OVER (ORDER BY levenshtein(lower(name), 'cold widget'), file_path, line, symbol_id) AS place FROM symbols WHERE levenshtein(lower(name), 'cold widget') <= 2),
     t3 AS (SELECT symbol_id, 3 AS tier, place FROM f WHERE place <= 500 AND place <= 500 - (SELECT count(*) FROM t1) - (SELECT count(*) FROM t2)
       AND symbol_id NOT IN (SELECT symbol_id FROM t1 UNION ALL SELECT symbol_id FROM t2))
-    SELECT * FROM t1 UNION ALL SELECT * FROM t2 UNION ALL SELECT * FROM t3""", "symbols")
+    SELECT symbol_id, tier, place::INT AS place FROM (SELECT * FROM t1 UNION ALL SELECT * FROM t2 UNION ALL SELECT * FROM t3)""", "symbols")
 def layered_search(spark, d):
     return search.layered_search(corpus.symbols(spark, d), "cold widget", 500).select("symbol_id", "tier", "place")
 
