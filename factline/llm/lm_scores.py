@@ -30,6 +30,29 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def pack_hashes(h: np.ndarray) -> bytes:
+    """Differences, byte by byte of equal weight: ascending hashes leave the first bytes zero for the shuffle's compression."""
+    return np.diff(h, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unpack_hashes(raw: bytes) -> np.ndarray:
+    d = np.frombuffer(raw, dtype=np.uint8).reshape(8, -1).T
+    return np.cumsum(np.ascontiguousarray(d).view("<u8").ravel(), dtype=np.uint64)
+
+
+def pack_counts(c: np.ndarray) -> bytes:
+    """A byte each, and the places and values of those that need more."""
+    large = np.flatnonzero(c >= 255)
+    return np.minimum(c, 255).astype(np.uint8).tobytes() + large.astype("<u4").tobytes() + c[large].astype("<u8").tobytes()
+
+
+def unpack_counts(raw: bytes, n: int) -> np.ndarray:
+    out = np.frombuffer(raw, dtype=np.uint8, count=n).astype(np.int64)
+    m = (len(raw) - n) // 12
+    out[np.frombuffer(raw, dtype="<u4", count=m, offset=n)] = np.frombuffer(raw, dtype="<u8", count=m, offset=n + 4 * m)
+    return out
+
+
 class Grams:
     """The n-grams of a block's documents, up to ``order``: distinct hashes by partition, and where each token's are."""
 
@@ -91,7 +114,7 @@ def _requests(order: int, parts: int):
         for p in range(parts):
             pick = g.order[g.bounds[p] : g.bounds[p + 1]]
             if len(pick):
-                rows.append((p, block, g.hashes[pick].tobytes(), g.counts[pick].astype("<u4").tobytes()))
+                rows.append((p, block, pack_hashes(g.hashes[pick]), pack_counts(g.counts[pick])))
         cols = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
         return pa.table({"part": pa.array(cols[0], pa.int64()), "block": pa.array(cols[1], pa.int64()), "hashes": pa.array(cols[2], pa.binary()), "counts": pa.array(cols[3], pa.binary())})
 
@@ -100,11 +123,13 @@ def _requests(order: int, parts: int):
 
 def _replies(table: pa.Table) -> pa.Table:
     """Totals of one hash partition, given back to every block for the n-grams that it sent."""
-    asked = [np.frombuffer(x.as_py(), dtype="<u8") for x in table.column("hashes")]
-    counts = np.concatenate([np.frombuffer(x.as_py(), dtype="<u4") for x in table.column("counts")]).astype(np.float64)
-    _, inverse = np.unique(np.concatenate(asked), return_inverse=True)
-    totals = np.bincount(inverse, weights=counts).astype("<u8")[inverse]
-    out = [x.tobytes() for x in np.split(totals, np.cumsum([len(a) for a in asked])[:-1])]
+    asked = [unpack_hashes(x.as_py()) for x in table.column("hashes")]
+    counts = np.concatenate([unpack_counts(x.as_py(), len(a)) for x, a in zip(table.column("counts"), asked, strict=True)])
+    found, inverse = np.unique(np.concatenate(asked), return_inverse=True)
+    totals = np.zeros(len(found), dtype=np.int64)
+    np.add.at(totals, inverse, counts)
+    totals = totals[inverse]
+    out = [pack_counts(x) for x in np.split(totals, np.cumsum([len(a) for a in asked])[:-1])]
     return pa.table({"block": table.column("block"), "part": table.column("part"), "totals": pa.array(out, pa.binary())})
 
 
@@ -113,7 +138,8 @@ def _scores(order: int, parts: int, held_out: bool):
         g = Grams(docs.column("_text"), order, parts)
         total = np.zeros(len(g.hashes), dtype=np.float64)
         for p, found in zip(replies.column("part").to_pylist(), replies.column("totals"), strict=True):
-            total[g.order[g.bounds[p] : g.bounds[p + 1]]] = np.frombuffer(found.as_py(), dtype="<u8")
+            pick = g.order[g.bounds[p] : g.bounds[p + 1]]
+            total[pick] = unpack_counts(found.as_py(), len(pick))
         n = len(g.doc)
         less = np.repeat(g.sizes, g.sizes).astype(np.float64) if held_out else np.zeros(n)
         everything = np.maximum(total[0] - less, 1.0)

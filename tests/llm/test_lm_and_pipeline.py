@@ -2,6 +2,7 @@ import collections
 import math
 import random
 
+import numpy as np
 import public_tokenizers
 import sentencepiece
 
@@ -47,6 +48,15 @@ def test_scores_against_brute_force(docs, texts, monkeypatch):
     same(lm_scores.score(docs).collect(), brute_scores(list(texts.items())))
 
 
+def test_packing_round_trips():
+    r = np.random.default_rng(3)
+    for n in (0, 1, 500):
+        h = np.concatenate([np.sort(r.integers(0, 2**64, n, dtype=np.uint64)), np.sort(r.integers(0, 2**64, n, dtype=np.uint64))])
+        assert (lm_scores.unpack_hashes(lm_scores.pack_hashes(h)) == h).all()
+        c = np.where(r.random(n) < 0.1, r.integers(200, 2**40, n), r.integers(1, 9, n))
+        assert (lm_scores.unpack_counts(lm_scores.pack_counts(c), n) == c).all()
+
+
 def test_scores_of_odd_rows(odd, odd_rows, empty):
     same(lm_scores.score(odd).collect(), brute_scores([r[:2] for r in odd_rows]))
     assert lm_scores.score(empty).count() == 0
