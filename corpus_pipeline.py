@@ -27,8 +27,7 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of smallest id, of each group of near copies (five-word shingles, similarity 0.8 or more)."""
-    first = simhash.near_copies(docs).select("component_id").distinct()
-    return docs.join(first, docs["doc_id"].eqNullSafe(first["component_id"]), "left_semi").dropDuplicates(["doc_id"])
+    return simhash.first_of_copies(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from factline.llm.components import components
 from factline.llm.storage import cut
-from factline.llm.text import whole
+from factline.llm.text import packed, unpacked, whole
 from factline.llm.token_counts import slices
 
 #: A bucket beyond this many rows is compared in parts, every part with every other.
@@ -303,6 +303,22 @@ def sketches(text: Column, shingle: int) -> Column:
     return run(whole(text))
 
 
+def _grouped(docs: DataFrame, doc_id: str, text: str, shingle: int, least: float) -> DataFrame:
+    """(doc_id, row, keep): rows by id and hash of their text, with the first of their group (nulls come last)."""
+    body = docs[f"`{text}`"]
+    marked = docs.select(docs[f"`{doc_id}`"].cast("long").alias("doc_id"), F.xxhash64(whole(body)).alias("row"), sketches(body, shingle).alias("s")).select("doc_id", "row", "s.*")
+    marked = cut(marked.withColumn("node", F.xxhash64("p", "sketch")), "sketches")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")).alias("first")
+    nodes = cut(marked.groupBy("node").agg(first, F.first("p").alias("p"), F.first("sketch").alias("sketch")), "distinct-sketches")
+    width = 4 * BAND
+    keys = [F.struct(F.lit(t).alias("t"), F.substring(F.col("sketch"), 1 + t * width, width).alias("key")) for t in range(BANDS)]
+    roots = components(compared(nodes.select("node", "p", "sketch"), F.array(*keys), FAR_RADIUS, least))
+    labelled = nodes.select("node", "first").join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
+    labelled = cut(labelled, "labels")
+    named = labelled.join(labelled.groupBy("root").agg(F.min("first").alias("keep")), "root").select("node", "keep")
+    return marked.select("doc_id", "row", "node").join(named, "node").select("doc_id", "row", "keep")
+
+
 def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, least: float = 0.75) -> DataFrame:
     """(doc_id, component_id) by similarity of word shingles, for edits that flip more bits than a small radius holds.
 
@@ -311,17 +327,16 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shi
     tables compare most of them), and texts of 0.6 do not.  Nulls, repeated rows and empty tables are as in
     ``near_groups``; texts without words are one group.
     """
-    marked = docs.select(F.col(doc_id).cast("long").alias("doc_id"), sketches(F.col(text), shingle).alias("s")).select("doc_id", "s.*")
-    marked = cut(marked.withColumn("node", F.xxhash64("p", "sketch")), "sketches")
-    nodes = marked.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("p").alias("p"), F.first("sketch").alias("sketch"))
-    nodes = cut(nodes, "distinct-sketches")
-    width = 4 * BAND
-    keys = [F.struct(F.lit(t).alias("t"), F.substring(F.col("sketch"), 1 + t * width, width).alias("key")) for t in range(BANDS)]
-    roots = components(compared(nodes.select("node", "p", "sketch"), F.array(*keys), FAR_RADIUS, least))
-    labelled = nodes.select("node", "first").join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
-    labelled = cut(labelled, "labels")
-    named = labelled.join(labelled.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("node", "component_id")
-    return marked.select("doc_id", "node").join(named, "node").select("doc_id", "component_id")
+    return _grouped(docs, doc_id, text, shingle, least).select("doc_id", F.col("keep.doc_id").alias("component_id"))
+
+
+def first_of_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, least: float = 0.75) -> DataFrame:
+    """``docs`` with one row of each group of ``near_copies``: that of smallest id; among equal or null ids one by hash."""
+    first = _grouped(docs, doc_id, text, shingle, least).select("keep.doc_id", "keep.row").distinct()
+    rows = packed(docs, text)
+    same = F.col("_in").getField(doc_id).cast("long").eqNullSafe(first["doc_id"]) & (F.xxhash64("_text") == first["row"])
+    left = rows.join(first, same, "left_semi").select("_in", F.col("_in").getField(doc_id).alias("_id"), F.xxhash64("_text").alias("_row"))
+    return unpacked(left.dropDuplicates(["_id", "_row"]), docs, {})
 
 
 def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:

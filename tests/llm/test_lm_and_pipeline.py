@@ -100,6 +100,19 @@ def test_each_stage_against_brute_force(spark, docs):
     assert whole == sorted((r["doc_id"], r["n_tokens"]) for r in coded)
 
 
+def test_one_of_each_group_stays_whatever_its_ids(spark, odd, odd_rows):
+    from conftest import SCHEMA
+
+    left = corpus_pipeline.near_duplicates(spark, odd, D).collect()
+    got = collections.Counter(r["text"] or "" for r in left)
+    blank = [t for t in got if not t.split()]
+    assert len(blank) == 1 and max(got.values()) == 1
+    assert {t for t in got if t.split()} <= {r[1] for r in odd_rows}
+    assert {r[0] for r in odd_rows[:12]} <= {r["doc_id"] for r in left}
+    twins = spark.createDataFrame([r for r in odd_rows if r[0] is None], SCHEMA)
+    assert corpus_pipeline.near_duplicates(spark, twins, D).count() == 2
+
+
 def test_stages_take_odd_rows(spark, odd, empty):
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, odd, D)
