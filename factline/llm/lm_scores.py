@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factline.llm.packing import pack_counts, pack_hashes, unpack_counts, unpack_hashes
 from factline.llm.text import whole
 
 #: Bytes of text in a block; text whose n-grams a hash partition counts.
@@ -30,29 +31,6 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def pack_hashes(h: np.ndarray) -> bytes:
-    """Differences, byte by byte of equal weight: ascending hashes leave the first bytes zero for the shuffle's compression."""
-    return np.diff(h, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
-
-
-def unpack_hashes(raw: bytes) -> np.ndarray:
-    d = np.frombuffer(raw, dtype=np.uint8).reshape(8, -1).T
-    return np.cumsum(np.ascontiguousarray(d).view("<u8").ravel(), dtype=np.uint64)
-
-
-def pack_counts(c: np.ndarray) -> bytes:
-    """A byte each, and the places and values of those that need more."""
-    large = np.flatnonzero(c >= 255)
-    return np.minimum(c, 255).astype(np.uint8).tobytes() + large.astype("<u4").tobytes() + c[large].astype("<u8").tobytes()
-
-
-def unpack_counts(raw: bytes, n: int) -> np.ndarray:
-    out = np.frombuffer(raw, dtype=np.uint8, count=n).astype(np.int64)
-    m = (len(raw) - n) // 12
-    out[np.frombuffer(raw, dtype="<u4", count=m, offset=n)] = np.frombuffer(raw, dtype="<u8", count=m, offset=n + 4 * m)
-    return out
-
-
 class Grams:
     """The n-grams of a block's documents, up to ``order``: distinct hashes by partition, and where each token's are."""
 

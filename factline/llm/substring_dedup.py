@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factline.llm.packing import pack_hashes, unpack_hashes
 from factline.llm.storage import cut
 from factline.llm.suffix_array import equal_windows, suffix_array
 from factline.llm.text import whole
@@ -132,7 +133,7 @@ def _ask(width: int, parts: int):
     def run(table: pa.Table) -> pa.Table:
         block = table.column("_block")[0].as_py()
         keys, again, _, bounds = _by_part(Block(table, width).stretches()[2], parts)
-        rows = [(p, block, keys[a:b].tobytes(), again[a:b].tobytes()) for p, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if b > a]
+        rows = [(p, block, pack_hashes(keys[a:b]), np.packbits(again[a:b]).tobytes()) for p, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if b > a]
         return _table(rows, (("part", pa.int64()), ("block", pa.int64()), ("anchors", pa.binary()), ("again", pa.binary())))
 
     return run
@@ -151,8 +152,9 @@ def _answer(hot_blocks: int):
 
 
 def _answered(table: pa.Table, hot_blocks: int) -> pa.Table:
-    sent = [np.frombuffer(x.as_py(), dtype=np.uint64) for x in table.column("anchors")]
-    again = np.concatenate([np.frombuffer(x.as_py(), dtype=bool) for x in table.column("again")])
+    sent = [unpack_hashes(x.as_py()) for x in table.column("anchors")]
+    bits = [np.unpackbits(np.frombuffer(x.as_py(), dtype=np.uint8), count=len(k)) for x, k in zip(table.column("again"), sent, strict=True)]
+    again = np.concatenate(bits).astype(bool)
     _, inverse, count = np.unique(np.concatenate(sent), return_inverse=True, return_counts=True)
     cuts = np.cumsum([len(s) for s in sent])[:-1]
     flags = [again | (count > 1)[inverse], (count > hot_blocks)[inverse]]
@@ -196,7 +198,7 @@ def _ask_hot(width: int, parts: int):
         first, count, key = block.stretches()
         hot = Asked(key, parts, answers).hot
         keys, again, _, bounds = _by_part(_windows(block.data, first[hot], count[hot], width)[2], parts)
-        return _table([(p, number, keys[a:b].tobytes(), again[a:b].tobytes()) for p, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if b > a], fields)
+        return _table([(p, number, pack_hashes(keys[a:b]), np.packbits(again[a:b]).tobytes()) for p, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if b > a], fields)
 
     return run
 
@@ -220,6 +222,10 @@ def _trimmed(block: Block, width: int, parts: int, answers: pa.Table) -> tuple[n
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+def _squeezed(raw: bytes) -> bytes:
+    return pa.compress(raw, codec="zstd", asbytes=True)
+
+
 def _send(width: int, parts: int, shards: int):
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
         fields = (("shard", pa.int64()), ("block", pa.int64()), *((x, pa.binary()) for x in ("row", "start", "windows", "anchors", "bytes", "gone")))
@@ -251,7 +257,7 @@ def _send(width: int, parts: int, shards: int):
             if keep:
                 k = np.array(keep)
                 ids = np.stack((block.docs[row[k]], row[k]), axis=1).astype("<i8")
-                rows.append((s, number, ids.tobytes(), start[k].astype("<i8").tobytes(), count[k].astype("<i8").tobytes(), key[k].tobytes(), b"".join(text), b""))
+                rows.append((s, number, ids.tobytes(), start[k].astype("<i8").tobytes(), count[k].astype("<i8").tobytes(), key[k].tobytes(), _squeezed(b"".join(text)), b""))
         if local:
             k = np.array(local)
             gone = np.stack((row[k], start[k], start[k] + count[k] - 1)).astype("<i8")
@@ -294,6 +300,7 @@ def _judge(width: int):
             ids = np.frombuffer(r, dtype="<i8").reshape(-1, 2)
             count = np.frombuffer(w, dtype="<i8")
             end = np.cumsum(count + width - 1)
+            raw = pa.decompress(raw, decompressed_size=int(end[-1]), codec="zstd", asbytes=True)
             texts += [raw[e - c - width + 1 : e] for c, e in zip(count.tolist(), end.tolist(), strict=True)]
             block.append(np.full(len(ids), b))
             rows.append(ids)
@@ -392,7 +399,7 @@ def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
     held = rows.groupBy("_block")
     answer = _answer(HOT_BLOCKS)
     anchors = held.applyInArrow(_ask(width, parts), ASKED).groupBy("part").applyInArrow(answer, ANSWER)
-    anchors = cut(anchors.withColumn("round", F.lit(1)), "anchors")
+    anchors = anchors.withColumn("round", F.lit(1))  # not written: in one job the exchange of texts is used three times
     windows = held.cogroup(anchors.groupBy("block")).applyInArrow(_ask_hot(width, parts), ASKED)
     windows = windows.groupBy("part").applyInArrow(answer, ANSWER).withColumn("round", F.lit(2))
     answers = anchors.unionByName(windows)

@@ -7,7 +7,7 @@ import public_tokenizers
 import sentencepiece
 
 import corpus_pipeline
-from factline.llm import lm_scores, mixing, quality_rules, queries
+from factline.llm import lm_scores, mixing, packing, quality_rules, queries
 from test_lines_and_mix import brute_lines
 
 D = "/root/testdata/sf0.001"
@@ -52,9 +52,9 @@ def test_packing_round_trips():
     r = np.random.default_rng(3)
     for n in (0, 1, 500):
         h = np.concatenate([np.sort(r.integers(0, 2**64, n, dtype=np.uint64)), np.sort(r.integers(0, 2**64, n, dtype=np.uint64))])
-        assert (lm_scores.unpack_hashes(lm_scores.pack_hashes(h)) == h).all()
+        assert (packing.unpack_hashes(packing.pack_hashes(h)) == h).all()
         c = np.where(r.random(n) < 0.1, r.integers(200, 2**40, n), r.integers(1, 9, n))
-        assert (lm_scores.unpack_counts(lm_scores.pack_counts(c), n) == c).all()
+        assert (packing.unpack_counts(packing.pack_counts(c), n) == c).all()
 
 
 def test_scores_of_odd_rows(odd, odd_rows, empty):
