@@ -62,6 +62,13 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One edge per id: the surest, a static one first."""
+    out = edge_rows(spark, sf_dir)
+    return out.groupBy("edge_id", "from_id", "to_id", "kind").agg(F.bool_and("dynamic").alias("dynamic"), F.max("confidence").alias("confidence"))
+
+
+def edge_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges as they are found, an id perhaps several times; a traversal merges just those that it meets."""
     t = lambda name: table(spark, sf_dir, name)
     key = lambda prefix, column: F.concat(F.lit(prefix), F.col(column).cast("string"))
 
@@ -80,8 +87,7 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    # one edge per id: the surest, a static one first
-    return out.groupBy("edge_id", "from_id", "to_id", "kind").agg(F.bool_and("dynamic").alias("dynamic"), F.max("confidence").alias("confidence"))
+    return out
 
 
 def resources(spark: SparkSession, sf_dir: str) -> DataFrame:

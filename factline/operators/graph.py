@@ -30,7 +30,7 @@ def traverse(edges: DataFrame, start: list[str], depth: int = 2, direction: str
     """Edges met by a breadth-first walk of at most ``depth`` (1 to 3) steps, with the depth of first meeting.
 
     Level by level: the frontier joins the edges, nodes seen before leave it.  Edges between nodes both seen are kept;
-    an edge is reported once, at its least depth.
+    an edge is reported once, at its least depth; rows of one id are merged here, after the walk has cut them down.
     """
     if kinds:
         edges = edges.filter(F.col("kind").isin(*kinds))
@@ -51,7 +51,8 @@ def traverse(edges: DataFrame, start: list[str], depth: int = 2, direction: str
     out = levels[0]
     for step in levels[1:]:
         out = out.unionByName(step)
-    return out.groupBy("edge_id", "from_id", "to_id", "kind", "dynamic", "confidence").agg(F.min("depth").alias("depth"))
+    merged = [F.bool_and("dynamic").alias("dynamic"), F.max("confidence").alias("confidence"), F.min("depth").alias("depth")]
+    return out.groupBy("edge_id", "from_id", "to_id", "kind").agg(*merged)
 
 
 def ranked_levels(found: DataFrame, k: int) -> DataFrame:

@@ -18,32 +18,32 @@ IN = """walk(node, depth) AS (SELECT '{start}', 0 UNION SELECT e.from_id, w.dept
 
 @query("trace_outgoing", f"WITH {OUT.format(start='o5', depth=2)} SELECT e.edge_id, e.kind, (s.depth + 1)::INT AS depth FROM edges e JOIN seen s ON e.from_id = s.node WHERE s.depth < 2", "edges", recursive=True)
 def trace_outgoing(spark, d):
-    return graph.traverse(corpus.edges(spark, d), ["o5"], 2).select("edge_id", "kind", "depth")
+    return graph.traverse(corpus.edge_rows(spark, d), ["o5"], 2).select("edge_id", "kind", "depth")
 
 
 @query("trace_incoming", f"WITH {IN.format(start='p7', depth=3)} SELECT e.edge_id, e.kind, (s.depth + 1)::INT AS depth FROM edges e JOIN seen s ON e.to_id = s.node WHERE s.depth < 3", "edges", recursive=True)
 def trace_incoming(spark, d):
-    return graph.traverse(corpus.edges(spark, d), ["p7"], 3, "incoming").select("edge_id", "kind", "depth")
+    return graph.traverse(corpus.edge_rows(spark, d), ["p7"], 3, "incoming").select("edge_id", "kind", "depth")
 
 
 @query("trace_both", """WITH both_ways AS (SELECT edge_id, from_id AS a, to_id AS b FROM edges WHERE kind IN ('calls', 'registers') UNION ALL SELECT edge_id, to_id, from_id FROM edges WHERE kind IN ('calls', 'registers')),
     walk(node, depth) AS (SELECT 'c3', 0 UNION SELECT e.b, w.depth + 1 FROM walk w JOIN both_ways e ON e.a = w.node WHERE w.depth < 2), seen AS (SELECT node, min(depth) AS depth FROM walk GROUP BY node)
     SELECT edge_id, (min(depth) + 1)::INT AS depth FROM both_ways JOIN seen ON a = node WHERE depth < 2 GROUP BY edge_id""", "edges", recursive=True)
 def trace_both(spark, d):
-    return graph.traverse(corpus.edges(spark, d), ["c3"], 2, "both", ("calls", "registers")).select("edge_id", "depth")
+    return graph.traverse(corpus.edge_rows(spark, d), ["c3"], 2, "both", ("calls", "registers")).select("edge_id", "depth")
 
 
 @query("ranked_trace", f"""WITH {OUT.format(start='o9', depth=2)} SELECT edge_id, (s.depth + 1)::INT AS depth, row_number() OVER (ORDER BY s.depth, {CLASS}, dynamic::INT, confidence DESC, edge_id)::INT AS place
     FROM edges e JOIN seen s ON e.from_id = s.node WHERE s.depth < 2 QUALIFY place <= 25""", "edges", recursive=True)
 def ranked_trace(spark, d):
-    return graph.ranked_levels(graph.traverse(corpus.edges(spark, d), ["o9"], 2), 25).select("edge_id", "depth", "place")
+    return graph.ranked_levels(graph.traverse(corpus.edge_rows(spark, d), ["o9"], 2), 25).select("edge_id", "depth", "place")
 
 
 @query("impact_analysis", f"""WITH {IN.format(start='p11', depth=2)} SELECT count(*) FILTER (WHERE s.depth = 0)::BIGINT AS n_direct, count(*) FILTER (WHERE s.depth > 0)::BIGINT AS n_transitive, count(DISTINCT from_id)::BIGINT AS n_sources
     FROM edges e JOIN seen s ON e.to_id = s.node WHERE s.depth < 2 AND kind IN ('calls', 'references')""", "edges", recursive=True)
 def impact_analysis(spark, d):
     """Edges into a node, direct and transitive; the twin walks all kinds, which meet the same nodes here."""
-    e = graph.traverse(corpus.edges(spark, d), ["p11"], 2, "incoming", ("calls", "references"))
+    e = graph.traverse(corpus.edge_rows(spark, d), ["p11"], 2, "incoming", ("calls", "references"))
     return e.agg(F.count_if(F.col("depth") == 1).alias("n_direct"), F.count_if(F.col("depth") > 1).alias("n_transitive"), F.count_distinct("from_id").alias("n_sources"))
 
 
