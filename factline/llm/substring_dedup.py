@@ -25,7 +25,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factline.llm.packing import pack_hashes, unpack_hashes
-from factline.llm.storage import cut
 from factline.llm.suffix_array import equal_windows, suffix_array
 from factline.llm.text import whole
 
@@ -399,10 +398,11 @@ def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
     held = rows.groupBy("_block")
     answer = _answer(HOT_BLOCKS)
     anchors = held.applyInArrow(_ask(width, parts), ASKED).groupBy("part").applyInArrow(answer, ANSWER)
-    anchors = anchors.withColumn("round", F.lit(1))  # not written: in one job the exchange of texts is used three times
+    anchors = anchors.withColumn("round", F.lit(1))
     windows = held.cogroup(anchors.groupBy("block")).applyInArrow(_ask_hot(width, parts), ASKED)
     windows = windows.groupBy("part").applyInArrow(answer, ANSWER).withColumn("round", F.lit(2))
     answers = anchors.unionByName(windows)
     sent = held.cogroup(answers.groupBy("block")).applyInArrow(_send(width, parts, shards), STRETCHES)
-    gone = cut(sent.groupBy("shard").applyInArrow(_judge(width), GONE), "gone")
+    # nothing is written between the steps: in one job the exchange of texts serves all four, and is all that is kept of them
+    gone = sent.groupBy("shard").applyInArrow(_judge(width), GONE)
     return held.cogroup(gone.groupBy("block")).applyInArrow(_cut(width), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
