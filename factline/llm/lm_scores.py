@@ -8,8 +8,6 @@ document.  So every n-gram of a block crosses the network once each way, whateve
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame

@@ -146,7 +146,7 @@ def test_components_of_random_graphs(spark):
 
 
 def test_near_copies_are_found_and_others_left(spark):
-    from conftest import prose
+    from samples import prose
 
     rows = []
     for i in range(40):

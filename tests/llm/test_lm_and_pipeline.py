@@ -101,7 +101,7 @@ def test_each_stage_against_brute_force(spark, docs):
 
 
 def test_one_of_each_group_stays_whatever_its_ids(spark, odd, odd_rows):
-    from conftest import SCHEMA
+    from samples import SCHEMA
 
     left = corpus_pipeline.near_duplicates(spark, odd, D).collect()
     got = collections.Counter(r["text"] or "" for r in left)
