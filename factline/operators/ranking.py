@@ -111,3 +111,30 @@ def diversity_order(candidates: list[dict], most: int) -> list[dict]:
         resources.add(c["resource"])
         first.append(c)
     return first[:most]
+
+
+#: Reasons that an edge gives, by its kind, followed out of a seed and into it.
+EDGE_REASONS = {
+    "calls": ("direct_callee", "direct_caller"),
+    "references": ("direct_reference", "direct_reference"),
+    "imports": ("direct_import", "direct_import"),
+    "cross_resource_export": ("export_provider", "direct_caller"),
+    "provided_by": ("framework_provider", "direct_caller"),
+    "cross_resource_event": ("event_peer", "event_peer"),
+    "cross_resource_callback": ("callback_peer", "callback_peer"),
+}
+
+
+def edge_reason(kind: Column, outgoing: Column) -> Column:
+    out = lookup(kind, {k: v[0] for k, v in EDGE_REASONS.items()}, "direct_semantic")
+    into = lookup(kind, {k: v[1] for k, v in EDGE_REASONS.items()}, "direct_semantic")
+    return F.when(outgoing, out).otherwise(into)
+
+
+def relevant(reasons: Column, direction: Column) -> Column:
+    """Whether a candidate's reasons fit the direction asked for."""
+    has = lambda *names: F.arrays_overlap(reasons, F.array(*map(F.lit, names)))
+    flow = has("event_peer", "callback_peer")
+    incoming = has("direct_caller", "impact_direct") | flow
+    outgoing = has("direct_callee", "export_provider", "framework_provider") | flow
+    return F.when(direction == "incoming", incoming).when(direction == "outgoing", outgoing).otherwise(True)

@@ -109,3 +109,31 @@ def assembled_packages(spark, d):
         "text",
     )
     return packing.assemble(rows)
+
+
+@query("pack_stages", """SELECT candidate, CASE WHEN tier = 'primary' THEN 0 WHEN direct THEN 1 WHEN tier = 'supporting' THEN 2 ELSE 3 END AS stage FROM (SELECT l_partkey AS candidate,
+    CASE WHEN max(l_quantity) > 49 THEN 'primary' WHEN max(l_quantity) > 45 THEN 'supporting' ELSE 'peripheral' END AS tier, bool_or(l_linenumber = 7) AS direct FROM lineitem GROUP BY l_partkey)""")
+def pack_stages(spark, d):
+    g = corpus.table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("candidate"))
+    tier = F.when(F.max("l_quantity") > 49, "primary").when(F.max("l_quantity") > 45, "supporting").otherwise("peripheral")
+    reasons = F.collect_set(F.when(F.col("l_linenumber") == 7, "direct_callee").otherwise("usage_match"))
+    return g.agg(tier.alias("tier"), reasons.alias("reasons")).select("candidate", packing.stage(F.col("tier"), F.col("reasons")).alias("stage"))
+
+
+@query("support_reserves", """WITH q AS (SELECT l_orderkey AS request, l_orderkey % 7 * 1000 + 512 AS budget, (l_partkey % 4)::INT AS stage, CASE WHEN l_suppkey % 5 * 700 > 0 THEN ceil(l_suppkey % 5 * 700 / 4.0)::BIGINT + 24 WHEN l_linenumber > 0 THEN l_linenumber * 5 + 24 ELSE 128 END::BIGINT AS tokens FROM lineitem),
+    r AS (SELECT *, row_number() OVER (PARTITION BY request ORDER BY tokens) AS n FROM q WHERE stage = 1)
+    SELECT request, least(sum(tokens) FILTER (WHERE n <= 3), max(budget - least(greatest(budget // 20, 256), 1024)) // 3)::BIGINT AS reserve FROM r GROUP BY request""")
+def support_reserves(spark, d):
+    """Room held back for critical supports: three at most, a third of what is usable at most."""
+    g = requests(spark, d).filter("stage = 1").groupBy("request", "budget").agg(F.sort_array(F.collect_list("tokens")).alias("t"))
+    wanted = F.aggregate(F.slice("t", 1, 3), F.lit(0).cast("long"), lambda a, x: a + x)
+    usable = F.floor((F.col("budget") - packing.metadata_reserve(F.col("budget"))) / 3)
+    return g.select("request", F.least(wanted, usable).cast("long").alias("reserve"))
+
+
+@query("limited_anchors", "SELECT name, symbol_id FROM (SELECT name, symbol_id, row_number() OVER (PARTITION BY name ORDER BY file_path, line, symbol_id) AS n FROM symbols) WHERE n <= 3", "symbols")
+def limited_anchors(spark, d):
+    """At most three anchors of an ambiguous name."""
+    from factline.operators import relational
+
+    return relational.per_group(corpus.symbols(spark, d), ["name"], 3, "file_path", "line", "symbol_id").select("name", "symbol_id")

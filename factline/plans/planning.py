@@ -179,3 +179,31 @@ def index_health(spark, d):
     g = corpus.table(spark, d, "documents").groupBy("lang")
     health = F.when(F.count(F.lit(1)) == 0, "unknown").when(F.count_if(F.col("text") == "") > 0, "incomplete").when(F.count_if(F.col("n_chars") < 30) > 0, "degraded").otherwise("complete")
     return g.agg(health.alias("health"))
+
+
+@query("edge_reasons", """SELECT edge_id, CASE kind WHEN 'calls' THEN 'direct_callee' WHEN 'references' THEN 'direct_reference' WHEN 'imports' THEN 'direct_import' ELSE 'direct_semantic' END AS out_reason,
+    CASE kind WHEN 'calls' THEN 'direct_caller' WHEN 'references' THEN 'direct_reference' WHEN 'imports' THEN 'direct_import' ELSE 'direct_semantic' END AS in_reason FROM edges""", "edges")
+def edge_reasons(spark, d):
+    k = F.col("kind")
+    return corpus.edges(spark, d).select("edge_id", ranking.edge_reason(k, F.lit(True)).alias("out_reason"), ranking.edge_reason(k, F.lit(False)).alias("in_reason"))
+
+
+@query("relevant_candidates", f"""WITH {EVIDENCE_SQL}, r AS (SELECT candidate, list_distinct(list(reason)) AS reasons FROM ev GROUP BY candidate)
+    SELECT candidate, list_has_any(reasons, ['direct_caller', 'impact_direct', 'event_peer', 'callback_peer']) AS incoming, list_has_any(reasons, ['direct_callee', 'export_provider', 'framework_provider', 'event_peer', 'callback_peer']) AS outgoing FROM r""")
+def relevant_candidates(spark, d):
+    r = evidence(spark, d).groupBy("candidate").agg(F.collect_set("reason").alias("reasons"))
+    return r.select("candidate", ranking.relevant(F.col("reasons"), F.lit("incoming")).alias("incoming"), ranking.relevant(F.col("reasons"), F.lit("outgoing")).alias("outgoing"))
+
+
+@query("limited_evidence", f"WITH {EVIDENCE_SQL} SELECT candidate, evidence_id FROM (SELECT candidate, evidence_id, row_number() OVER (PARTITION BY candidate ORDER BY value DESC, reason, distance, evidence_id) AS n FROM sc) WHERE n <= 5")
+def limited_evidence(spark, d):
+    w = Window.partitionBy("candidate").orderBy(F.desc("value"), "reason", "distance", "evidence_id")
+    e = ranking.scored_evidence(evidence(spark, d), "localized_change").withColumn("n", F.row_number().over(w))
+    return e.filter("n <= 5").select("candidate", "evidence_id")
+
+
+@query("seed_ranking", """SELECT l_orderkey, l_linenumber, l_suppkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END, l_quantity DESC, l_linenumber, l_partkey, l_suppkey)::INT AS place FROM lineitem""")
+def seed_ranking(spark, d):
+    role = F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2)
+    w = Window.partitionBy("l_orderkey").orderBy(role, F.desc("l_quantity"), "l_linenumber", "l_partkey", "l_suppkey")
+    return corpus.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", F.row_number().over(w).alias("place"))
