@@ -39,7 +39,7 @@ def test_rules_on_labels(spark):
 
 
 def test_classifier_on_labels(spark):
-    """The labels take no part in the training, so all of them are held out."""
+    """Labels train nothing here, but the labellers' thresholds were set with these tables in view."""
     d = "/root/testdata/sf0.01"
     got = {r["doc_id"]: r["kept"] for r in quality_classifier.classify(spark.read.parquet(f"{d}/documents.parquet")).collect()}
     right = [got[k] == bool(q) for k, q in labels(d).items()]
