@@ -117,11 +117,11 @@ def lanes(words: np.ndarray, n: int) -> np.ndarray:
     return np.unpackbits(words.view(np.uint8), axis=-1, bitorder="little")[..., :n].astype(bool)
 
 
-def forest_of_one(prints: np.ndarray, radius: int, alike=None) -> np.ndarray:
+def forest_of_one(prints: np.ndarray, radius: int | None, alike=None) -> np.ndarray:
     """For each of a bucket's fingerprints the index of the first in its component: every one asks once.
 
-    ``alike(a, b)``, if given, checks pairs of indices that are near."""
-    n, rows = len(prints), planes(prints)
+    ``alike(a, b)``, if given, checks pairs of indices that are near; without a radius it alone decides."""
+    n, rows = len(prints), None if radius is None else planes(prints)
     root = np.full(n, -1, dtype=np.int64)
     for seed in range(n):
         if root[seed] >= 0:
@@ -129,6 +129,15 @@ def forest_of_one(prints: np.ndarray, radius: int, alike=None) -> np.ndarray:
         root[seed], front = seed, np.array([seed])
         while len(front):
             found = np.zeros(n, dtype=bool)
+            if radius is None:
+                for a in front:
+                    b = np.flatnonzero((root < 0) & ~found)
+                    if not len(b):
+                        break
+                    found[b[alike(np.full(len(b), a), b)]] = True
+                front = np.flatnonzero(found)
+                root[front] = seed
+                continue
             for k in range(0, len(front), 64):
                 asking = front[k : k + 64]
                 near = within(rows, prints[asking], radius)
@@ -149,21 +158,23 @@ def shifted(rows: np.ndarray, by: int) -> np.ndarray:
     return rows >> np.uint64(by) | ahead << np.uint64(64 - by)
 
 
-def forest_of_many(prints: np.ndarray, bucket: np.ndarray, radius: int, most: int, alike=None) -> np.ndarray:
+def forest_of_many(prints: np.ndarray, bucket: np.ndarray, radius: int | None, most: int, alike=None) -> np.ndarray:
     """Roots for rows of many small buckets in order: all lanes are compared with the lane 1, 2, ... further on."""
-    rows, n = planes(prints), len(prints)
+    rows, n = None if radius is None else planes(prints), len(prints)
     left, right = [], []
     for lag in range(1, most):
         beside = bucket[lag:] == bucket[:-lag]
         if not beside.any():
             break
-        near = Near((rows.shape[1],), radius)
-        differs = rows ^ shifted(rows, lag)
-        for k in range(64):
-            near.add(differs[k])
-            if k % 16 == 15 and (near.far() == ALL).all():
-                break
-        hit = np.flatnonzero(lanes(~near.far(), n)[: n - lag] & beside)
+        if radius is not None:
+            near = Near((rows.shape[1],), radius)
+            differs = rows ^ shifted(rows, lag)
+            for k in range(64):
+                near.add(differs[k])
+                if k % 16 == 15 and (near.far() == ALL).all():
+                    break
+            beside &= lanes(~near.far(), n)[: n - lag]
+        hit = np.flatnonzero(beside)
         if alike is not None:
             hit = hit[alike(hit, hit + lag)]
         left.append(hit)
@@ -183,10 +194,11 @@ def forest_of_many(prints: np.ndarray, bucket: np.ndarray, radius: int, most: in
         root = new
 
 
-def bucket_links(prints: np.ndarray, bucket: np.ndarray, radius: int, sketch: np.ndarray | None = None, least: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+def bucket_links(prints: np.ndarray, bucket: np.ndarray, radius: int | None, sketch: np.ndarray | None = None, least: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
     """Row numbers linked by a spanning forest within each bucket; rows come with equal buckets together.
 
-    With sketches (a row of minima for each fingerprint), near rows must also agree in a share ``least`` of the minima."""
+    With sketches (a row of minima for each fingerprint), near rows must also agree in a share ``least`` of the minima;
+    without a radius the sketches alone decide."""
 
     def checked(rows: np.ndarray):
         if sketch is None:
@@ -223,13 +235,13 @@ def bucket_links(prints: np.ndarray, bucket: np.ndarray, radius: int, sketch: np
     return np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])
 
 
-def compared(rows: DataFrame, tables: Column, radius: int, least: float = 0.0) -> DataFrame:
-    """(u, v) links between ``node`` ids, from rows (node, p[, sketch]) that share one of their bucket keys ``tables``.
+def compared(rows: DataFrame, tables: Column, radius: int | None, least: float = 0.0) -> DataFrame:
+    """(u, v) links between ``node`` ids, from rows (node, p or sketch) that share one of their bucket keys ``tables``.
 
     Buckets of one row drop out by a count.  A bucket beyond ``PART`` rows is dealt in parts, and every two parts meet in
     a bucket of their own, so no task gets an unbounded one."""
     wide = "sketch" in rows.columns
-    columns = ["node", "p", *(["sketch"] if wide else [])]
+    columns = ["node", "sketch" if wide else "p"]
     keyed = rows.select(*columns, F.explode(tables).alias("k"))
     sizes = keyed.groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
     keyed = keyed.join(sizes, "k").withColumn("g", F.ceil(F.col("n") / PART).cast("int")).withColumn("c", F.pmod(F.xxhash64("node"), F.col("g")).cast("int"))
@@ -241,7 +253,7 @@ def compared(rows: DataFrame, tables: Column, radius: int, least: float = 0.0) -
 
         def emit(t: pa.Table) -> Iterator[pa.RecordBatch]:
             if t.num_rows > 1:
-                node, p, b = (t.column(x).to_numpy() for x in ("node", "p", "bucket"))
+                node, p, b = (t.column(x).to_numpy() for x in ("node", "node" if wide else "p", "bucket"))
                 minima = np.frombuffer(b"".join(t.column("sketch").to_pylist()), dtype="<u4").reshape(t.num_rows, -1) if wide else None
                 u, v = bucket_links(p.view(np.uint64), b, radius, minima, least)
                 if len(u):
@@ -272,32 +284,27 @@ def links(prints: DataFrame, radius: int = 2, column: str = "fingerprint") -> Da
 
 #: Minima of a sketch, and those that make a bucket key: two texts of similarity 0.8 share one of the keys but for 4e-5.
 MINIMA, BAND, BANDS = 128, 2, 10
-#: Bits between texts of similarity 0.8 are 9.7 +- 2.9; the sketch decides beyond.
-FAR_RADIUS = 20
 
 
 def sketches(text: Column, shingle: int) -> Column:
-    """Fingerprint and sketch (32-bit minima of ``MINIMA`` hash orders over the word shingles) of a text."""
-    kind = pa.struct([("p", pa.int64()), ("sketch", pa.binary())])
+    """Hash of the set of a text's word shingles, and its sketch (32-bit minima of ``MINIMA`` hash orders)."""
+    kind = pa.struct([("node", pa.int64()), ("sketch", pa.binary())])
 
-    @F.arrow_udf("p long, sketch binary")
+    @F.arrow_udf("node long, sketch binary")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        import xxhash
+
         odd = np.random.default_rng(9).integers(0, 2**63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         for texts in batches:
             out = []
             for part in slices(texts):
                 for t in part:
-                    h = shingle_hashes(t, shingle)
-                    if not len(h):
-                        out.append({"p": 0, "sketch": b"\xff" * 4 * MINIMA})
-                        continue
-                    ones, least = np.zeros(64, dtype=np.int64), np.full(MINIMA, 2**64 - 1, dtype=np.uint64)
+                    h = np.unique(shingle_hashes(t, shingle))
+                    least = np.full(MINIMA, 2**64 - 1, dtype=np.uint64)
                     for k in range(0, len(h), 4096):
-                        some = h[k : k + 4096]
-                        ones += np.unpackbits(some.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-                        least = np.minimum(least, (some[:, None] * odd[None, :]).min(axis=0))
-                    p = int.from_bytes(np.packbits(2 * ones > len(h)).tobytes(), "big", signed=True)
-                    out.append({"p": p, "sketch": (least >> np.uint64(32)).astype("<u4").tobytes()})
+                        least = np.minimum(least, (h[k : k + 4096, None] * odd[None, :]).min(axis=0))
+                    node = int.from_bytes(xxhash.xxh64_digest(h.tobytes()), "big", signed=True)
+                    out.append({"node": node, "sketch": (least >> np.uint64(32)).astype("<u4").tobytes()})
             yield pa.array(out, kind)
 
     return run(whole(text))
@@ -307,12 +314,12 @@ def _grouped(docs: DataFrame, doc_id: str, text: str, shingle: int, least: float
     """(doc_id, row, keep): rows by id and hash of their text, with the first of their group (nulls come last)."""
     body = docs[f"`{text}`"]
     marked = docs.select(docs[f"`{doc_id}`"].cast("long").alias("doc_id"), F.xxhash64(whole(body)).alias("row"), sketches(body, shingle).alias("s")).select("doc_id", "row", "s.*")
-    marked = cut(marked.withColumn("node", F.xxhash64("p", "sketch")), "sketches")
+    marked = cut(marked, "sketches")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")).alias("first")
-    nodes = cut(marked.groupBy("node").agg(first, F.first("p").alias("p"), F.first("sketch").alias("sketch")), "distinct-sketches")
+    nodes = cut(marked.groupBy("node").agg(first, F.first("sketch").alias("sketch")), "distinct-sketches")
     width = 4 * BAND
     keys = [F.struct(F.lit(t).alias("t"), F.substring(F.col("sketch"), 1 + t * width, width).alias("key")) for t in range(BANDS)]
-    roots = components(compared(nodes.select("node", "p", "sketch"), F.array(*keys), FAR_RADIUS, least))
+    roots = components(compared(nodes.select("node", "sketch"), F.array(*keys), None, least))
     labelled = nodes.select("node", "first").join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     labelled = cut(labelled, "labels")
     named = labelled.join(labelled.groupBy("root").agg(F.min("first").alias("keep")), "root").select("node", "keep")
@@ -322,9 +329,8 @@ def _grouped(docs: DataFrame, doc_id: str, text: str, shingle: int, least: float
 def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, least: float = 0.75) -> DataFrame:
     """(doc_id, component_id) by similarity of word shingles, for edits that flip more bits than a small radius holds.
 
-    Candidates share a key of minima; their fingerprints are compared bit-sliced, and those within ``FAR_RADIUS`` must
-    agree in ``least`` of their minima, which texts of similarity 0.8 do but for one in twelve a comparison (two or more
-    tables compare most of them), and texts of 0.6 do not.  Nulls, repeated rows and empty tables are as in
+    Candidates share a key of minima and must agree in ``least`` of their minima, which texts of similarity 0.8 do but for
+    one in fifteen, and texts of 0.6 do not; how often a shingle occurs in a text doesn't count.  Nulls, repeated rows and empty tables are as in
     ``near_groups``; texts without words are one group.
     """
     return _grouped(docs, doc_id, text, shingle, least).select("doc_id", F.col("keep.doc_id").alias("component_id"))
