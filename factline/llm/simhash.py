@@ -235,6 +235,29 @@ def bucket_links(prints: np.ndarray, bucket: np.ndarray, radius: int | None, ske
     return np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])
 
 
+def met(rows: DataFrame, key: str, parts: Column, *columns: str) -> DataFrame:
+    """``columns`` of rows dealt in ``parts`` of their key by ``node``, every two of which meet in a ``bucket``."""
+    rows = rows.withColumn("g", parts.cast("int")).withColumn("c", F.pmod(F.xxhash64("node"), F.col("g")).cast("int"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda o: F.struct(F.least("c", o).alias("i"), F.greatest("c", o).alias("j")))
+    rows = rows.select(*columns, key, F.explode(pairs).alias("q")).select(*columns, F.xxhash64(key, "q.i", "q.j").alias("bucket"))
+    return rows.repartition("bucket").sortWithinPartitions("bucket")
+
+
+def by_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of whole buckets, from batches in order of ``bucket``."""
+    held: pa.Table | None = None
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        t = t if held is None else pa.concat_tables([held, t])
+        b = t.column("bucket").to_numpy()
+        end = int(np.flatnonzero(b != b[-1])[-1]) + 1 if len(b) and b[0] != b[-1] else 0  # the last bucket may go on
+        if end:
+            yield t.slice(0, end)
+        held = t.slice(end)
+    if held is not None and held.num_rows:
+        yield held
+
+
 def compared(rows: DataFrame, tables: Column, radius: int | None, least: float = 0.0) -> DataFrame:
     """(u, v) links between ``node`` ids, from rows (node, p or sketch) that share one of their bucket keys ``tables``.
 
@@ -244,14 +267,10 @@ def compared(rows: DataFrame, tables: Column, radius: int | None, least: float =
     columns = ["node", "sketch" if wide else "p"]
     keyed = rows.select(*columns, F.explode(tables).alias("k"))
     sizes = keyed.groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
-    keyed = keyed.join(sizes, "k").withColumn("g", F.ceil(F.col("n") / PART).cast("int")).withColumn("c", F.pmod(F.xxhash64("node"), F.col("g")).cast("int"))
-    pairs = F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda o: F.struct(F.least("c", o).alias("i"), F.greatest("c", o).alias("j")))
-    keyed = keyed.select(*columns, "k", F.explode(pairs).alias("q")).select(*columns, F.xxhash64("k", "q.i", "q.j").alias("bucket"))
+    keyed = met(keyed.join(sizes, "k"), "k", F.ceil(F.col("n") / PART), *columns)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-
-        def emit(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        for t in by_buckets(batches):
             if t.num_rows > 1:
                 node, p, b = (t.column(x).to_numpy() for x in ("node", "node" if wide else "p", "bucket"))
                 minima = np.frombuffer(b"".join(t.column("sketch").to_pylist()), dtype="<u4").reshape(t.num_rows, -1) if wide else None
@@ -259,17 +278,7 @@ def compared(rows: DataFrame, tables: Column, radius: int | None, least: float =
                 if len(u):
                     yield pa.RecordBatch.from_arrays([pa.array(node[u]), pa.array(node[v])], names=["u", "v"])
 
-        for batch in batches:
-            t = pa.Table.from_batches([batch])
-            t = t if held is None else pa.concat_tables([held, t])
-            b = t.column("bucket").to_numpy()
-            end = int(np.flatnonzero(b != b[-1])[-1]) + 1 if len(b) and b[0] != b[-1] else 0  # the last bucket may go on
-            yield from emit(t.slice(0, end))
-            held = t.slice(end)
-        if held is not None:
-            yield from emit(held)
-
-    return keyed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(compare, "u long, v long")
+    return keyed.mapInArrow(compare, "u long, v long")
 
 
 def links(prints: DataFrame, radius: int = 2, column: str = "fingerprint") -> DataFrame:
@@ -284,13 +293,17 @@ def links(prints: DataFrame, radius: int = 2, column: str = "fingerprint") -> Da
 
 #: Minima of a sketch, and those that make a bucket key: two texts of similarity 0.8 share one of the keys but for 4e-5.
 MINIMA, BAND, BANDS = 128, 2, 10
+#: Candidates agree in a share of minima less than the similarity by this; a pair of 0.8 fails 0.65 with 3e-5.
+SLACK = 0.15
+#: Texts, and shingles of texts, in a part of a group of candidates; every two parts are compared.
+EXACT_PART, EXACT_SHINGLES = 1024, 2_000_000
 
 
 def sketches(text: Column, shingle: int) -> Column:
-    """Hash of the set of a text's word shingles, and its sketch (32-bit minima of ``MINIMA`` hash orders)."""
-    kind = pa.struct([("node", pa.int64()), ("sketch", pa.binary())])
+    """Hash and size of the set of a text's word shingles, and its sketch (32-bit minima of ``MINIMA`` hash orders)."""
+    kind = pa.struct([("node", pa.int64()), ("size", pa.int64()), ("sketch", pa.binary())])
 
-    @F.arrow_udf("node long, sketch binary")
+    @F.arrow_udf("node long, size long, sketch binary")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         import xxhash
 
@@ -304,39 +317,93 @@ def sketches(text: Column, shingle: int) -> Column:
                     for k in range(0, len(h), 4096):
                         least = np.minimum(least, (h[k : k + 4096, None] * odd[None, :]).min(axis=0))
                     node = int.from_bytes(xxhash.xxh64_digest(h.tobytes()), "big", signed=True)
-                    out.append({"node": node, "sketch": (least >> np.uint64(32)).astype("<u4").tobytes()})
+                    out.append({"node": node, "size": len(h), "sketch": (least >> np.uint64(32)).astype("<u4").tobytes()})
             yield pa.array(out, kind)
 
     return run(whole(text))
 
 
+def forest_of_sets(sets: list[np.ndarray], least: float) -> np.ndarray:
+    """For each of some sets the index of the first in its component, by links of Jaccard similarity ``least`` or more."""
+    n, size = len(sets), np.array([len(x) for x in sets])
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    own = np.split(ids, np.cumsum(size)[:-1])
+    owner = np.repeat(np.arange(n), size)
+    inside = np.zeros(len(ids), dtype=bool)
+    root = np.full(n, -1, dtype=np.int64)
+    for seed in range(n):
+        if root[seed] >= 0:
+            continue
+        root[seed], front = seed, [seed]
+        while front and len(ids):
+            a = front.pop()
+            inside[own[a]] = True
+            common = np.bincount(owner[inside[ids]], minlength=n)
+            inside[own[a]] = False
+            found = np.flatnonzero((root < 0) & (common >= least * (size[a] + size - common) - 1e-9))
+            root[found] = seed
+            front += found.tolist()
+            if len(found) or a == seed:
+                left = root[owner] < 0
+                ids, owner = ids[left], owner[left]
+    return root
+
+
+def exact_links(candidates: DataFrame, shingle: int, least: float) -> DataFrame:
+    """(u, v) between nodes of one ``root`` whose sets of shingles are ``least`` alike, enough to connect all such.
+
+    Rows are (root, node, n, shingles, _text), with the number of nodes and shingles of the root."""
+    parts = F.greatest(F.ceil(F.col("n") / EXACT_PART), F.ceil(F.col("shingles") / EXACT_SHINGLES), F.lit(1))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in by_buckets(batches):
+            b, node = t.column("bucket").to_numpy(), t.column("node").to_numpy()
+            edge = np.concatenate(([0], np.flatnonzero(np.diff(b)) + 1, [len(b)]))
+            for i, j in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+                rows = i + np.unique(node[i:j], return_index=True)[1]  # a repeated row once
+                if len(rows) > 1:
+                    texts = t.column("_text")
+                    root = forest_of_sets([np.unique(shingle_hashes(texts[k].as_py(), shingle)) for k in rows.tolist()], least)
+                    own = np.flatnonzero(root != np.arange(len(rows)))
+                    if len(own):
+                        yield pa.RecordBatch.from_arrays([pa.array(node[rows[own]]), pa.array(node[rows[root[own]]])], names=["u", "v"])
+
+    return met(candidates, "root", parts, "node", "_text").mapInArrow(compare, "u long, v long")
+
+
 def _grouped(docs: DataFrame, doc_id: str, text: str, shingle: int, least: float) -> DataFrame:
     """(doc_id, row, keep): rows by id and hash of their text, with the first of their group (nulls come last)."""
     body = docs[f"`{text}`"]
     marked = docs.select(docs[f"`{doc_id}`"].cast("long").alias("doc_id"), F.xxhash64(whole(body)).alias("row"), sketches(body, shingle).alias("s")).select("doc_id", "row", "s.*")
     marked = cut(marked, "sketches")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")).alias("first")
-    nodes = cut(marked.groupBy("node").agg(first, F.first("sketch").alias("sketch")), "distinct-sketches")
+    nodes = cut(marked.groupBy("node").agg(first, F.first("size").alias("size"), F.first("sketch").alias("sketch")), "distinct-sketches")
     width = 4 * BAND
     keys = [F.struct(F.lit(t).alias("t"), F.substring(F.col("sketch"), 1 + t * width, width).alias("key")) for t in range(BANDS)]
-    roots = components(compared(nodes.select("node", "sketch"), F.array(*keys), None, least))
+    loose = components(compared(nodes.select("node", "sketch"), F.array(*keys), None, least - SLACK))
+    loose = cut(nodes.select("node", "size", F.col("first.doc_id").alias("_id"), F.col("first.row").alias("_row")).join(loose, "node"), "candidates")
+    sums = loose.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("shingles"))
+    rows = docs.select(docs[f"`{doc_id}`"].cast("long").alias("_of"), whole(body).alias("_text"))
+    rows = rows.join(loose, F.col("_of").eqNullSafe(F.col("_id")) & (F.xxhash64("_text") == F.col("_row"))).join(sums, "root")
+    roots = components(exact_links(rows, shingle, least))
     labelled = nodes.select("node", "first").join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     labelled = cut(labelled, "labels")
     named = labelled.join(labelled.groupBy("root").agg(F.min("first").alias("keep")), "root").select("node", "keep")
     return marked.select("doc_id", "row", "node").join(named, "node").select("doc_id", "row", "keep")
 
 
-def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, least: float = 0.75) -> DataFrame:
+def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, least: float = 0.8) -> DataFrame:
     """(doc_id, component_id) by similarity of word shingles, for edits that flip more bits than a small radius holds.
 
-    Candidates share a key of minima and must agree in ``least`` of their minima, which texts of similarity 0.8 do but for
-    one in fifteen, and texts of 0.6 do not; how often a shingle occurs in a text doesn't count.  Nulls, repeated rows and empty tables are as in
-    ``near_groups``; texts without words are one group.
+    Candidates share a key of minima and agree in ``least`` less ``SLACK`` of their minima.  Texts of candidates that hang
+    together are compared exactly: a link is a Jaccard similarity of ``least`` or more between their sets of shingles.
+    A pair of 0.8 is no candidate with 7e-5; how often a shingle occurs in a text doesn't count.  Nulls, repeated rows and
+    empty tables are as in ``near_groups``; texts without words are one group.
     """
     return _grouped(docs, doc_id, text, shingle, least).select("doc_id", F.col("keep.doc_id").alias("component_id"))
 
 
-def first_of_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, least: float = 0.75) -> DataFrame:
+def first_of_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, least: float = 0.8) -> DataFrame:
     """``docs`` with one row of each group of ``near_copies``: that of smallest id; among equal or null ids one by hash."""
     first = _grouped(docs, doc_id, text, shingle, least).select("keep.doc_id", "keep.row").distinct()
     rows = packed(docs, text)
