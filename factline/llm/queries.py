@@ -101,7 +101,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = lm_scores.score(documents(spark, sf_dir), order=2)
+    found = lm_scores.score(documents(spark, sf_dir), order=3)
     return found.select("doc_id", "n_words", F.round("log_score", 9).alias("log_score"))
 
 
