@@ -25,8 +25,10 @@ from factline.llm.token_counts import slices
 LABELLERS = ["marked", "shouted", "barred", "stuck", "plain", "worded"]
 #: Hashed features; documents of the training sample, those of the smallest hashes.
 DIMS, SAMPLE = 1024, 8000
-#: Texts of fewer words have smaller features.
-SHORT = 16
+#: Texts of fewer characters, blanks aside, have smaller features.
+SHORT = 80
+#: Characters of a piece; longer words are read as several pieces, each like a word.
+PIECE = 64
 #: Words that a task remembers; beyond it the memory starts anew.
 REMEMBERED = 400_000
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -39,7 +41,7 @@ def _slot(name: str) -> int:
 
 def shape(word: str) -> str:
     """Letters to X or x, digits to 9, the rest as it is, runs to one."""
-    out = "".join("X" if c.isupper() else "x" if c.isalpha() else "9" if c.isdigit() else c for c in word[:64])
+    out = "".join("X" if c.isupper() else "x" if c.isalpha() else "9" if c.isdigit() else c for c in word)
     return RUNS.sub(r"\1", out)
 
 
@@ -81,10 +83,15 @@ class Reader:
         n = len(words)
         if not n:
             return [0] * len(LABELLERS), 0, np.zeros(DIMS, dtype=np.float32)
+        n_words = n
+        if len(max(words, key=len)) > PIECE:
+            words = [w[k : k + PIECE] for w in words for k in range(0, len(w), PIECE)]
+            n = len(words)
         code = self.codes(words)
         share = [float(np.count_nonzero(code & bit)) / n for bit in (MARKED, SHOUTED, BAR, COMMON_WORD)]
         stuck = sum(map(str.__eq__, words, words[1:])) / n
         kinds = len(set(words)) / n
+        common = share[3] * n / n_words
         clean = share[0] < 0.02 and share[1] < 0.05 and share[2] < 0.01
         votes = [
             -1 if share[0] > 0.15 else 0,
@@ -92,15 +99,15 @@ class Reader:
             -1 if share[2] > 0.10 else 0,
             -1 if n >= 30 and stuck > 0.20 else 0,
             1 if clean and stuck < 0.02 else 0,
-            (1 if share[3] > 0.12 else -1 if share[3] < 0.02 else 0) if n >= 30 else 0,
+            (1 if common > 0.12 else -1 if common < 0.02 else 0) if n_words >= 30 else 0,
         ]
         if not featured:
-            return votes, n, None
+            return votes, n_words, None
         x = np.bincount(code >> 20, minlength=DIMS) + 0.5 * np.bincount(code >> 8 & 0xFFF, minlength=DIMS)
-        x = np.sqrt(x / n) * min(1.0, n / SHORT)  # a few words are little evidence either way
+        x = np.sqrt(x / n) * min(1.0, sum(map(len, words[:SHORT])) / SHORT)  # a few characters are little evidence either way
         for k, v in enumerate([*share, stuck, 1 - kinds if n >= 30 else 0.0]):
             x[self.shares[k]] += 2.0 * v
-        return votes, n, x.astype(np.float32)
+        return votes, n_words, x.astype(np.float32)
 
 
 def _votes():
