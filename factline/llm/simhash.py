@@ -22,8 +22,8 @@ from factline.llm.storage import cut
 from factline.llm.text import packed, unpacked, whole
 from factline.llm.token_counts import slices
 
-#: A bucket beyond this many rows is compared in parts, every part with every other.
-PART = 4096
+#: A bucket beyond this many rows is compared in parts, every part with every other: n rows travel n / PART times.
+PART = 16384
 #: Buckets up to this size are compared side by side, many in one pass.
 SMALL = 48
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -68,11 +68,14 @@ def fingerprints(text: Column, shingle: int = 3) -> Column:
 
 
 def planes(prints: np.ndarray) -> np.ndarray:
-    """64 rows of words: bit j of word w in row k is bit k of fingerprint 64 * w + j."""
+    """A row of machine words for each bit: bit j of word w in row k is bit k of fingerprint 64 * w + j.
+
+    ``prints`` has a fingerprint a row, as 64-bit words; one dimension stands for fingerprints of one word."""
+    prints = prints.reshape(len(prints), -1)
     n = -(-len(prints) // 64) * 64
-    padded = np.zeros(n, dtype="<u8")
+    padded = np.zeros((n, prints.shape[1]), dtype="<u8")
     padded[: len(prints)] = prints
-    bits = np.unpackbits(padded.view(np.uint8).reshape(n, 8), axis=1, bitorder="little")
+    bits = np.unpackbits(padded.view(np.uint8), axis=1, bitorder="little")
     return np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little").view("<u8")
 
 
@@ -104,11 +107,12 @@ class Near:
 
 def within(rows: np.ndarray, queries: np.ndarray, radius: int) -> np.ndarray:
     """Words of lanes near each query: planes against all queries at once, given up when every lane is too far."""
+    queries = queries.reshape(len(queries), -1)
     near = Near((len(queries), rows.shape[1]), radius)
-    for k in range(64):
-        mask = np.where(queries >> np.uint64(k) & np.uint64(1), ALL, np.uint64(0))
+    for k in range(len(rows)):
+        mask = np.where(queries[:, k // 64] >> np.uint64(k % 64) & np.uint64(1), ALL, np.uint64(0))
         near.add(rows[k][None, :] ^ mask[:, None])
-        if k % 8 == 7 and (near.far() == ALL).all():
+        if k % 8 == 7 and k >= radius and (near.far() == ALL).all():
             break
     return ~near.far()
 
@@ -117,11 +121,9 @@ def lanes(words: np.ndarray, n: int) -> np.ndarray:
     return np.unpackbits(words.view(np.uint8), axis=-1, bitorder="little")[..., :n].astype(bool)
 
 
-def forest_of_one(prints: np.ndarray, radius: int | None, alike=None) -> np.ndarray:
-    """For each of a bucket's fingerprints the index of the first in its component: every one asks once.
-
-    ``alike(a, b)``, if given, checks pairs of indices that are near; without a radius it alone decides."""
-    n, rows = len(prints), None if radius is None else planes(prints)
+def forest_of_one(prints: np.ndarray, radius: int) -> np.ndarray:
+    """For each of a bucket's fingerprints the index of the first in its component: every one asks once."""
+    n, rows = len(prints), planes(prints)
     root = np.full(n, -1, dtype=np.int64)
     for seed in range(n):
         if root[seed] >= 0:
@@ -129,23 +131,9 @@ def forest_of_one(prints: np.ndarray, radius: int | None, alike=None) -> np.ndar
         root[seed], front = seed, np.array([seed])
         while len(front):
             found = np.zeros(n, dtype=bool)
-            if radius is None:
-                for a in front:
-                    b = np.flatnonzero((root < 0) & ~found)
-                    if not len(b):
-                        break
-                    found[b[alike(np.full(len(b), a), b)]] = True
-                front = np.flatnonzero(found)
-                root[front] = seed
-                continue
             for k in range(0, len(front), 64):
-                asking = front[k : k + 64]
-                near = within(rows, prints[asking], radius)
-                if alike is None:
-                    found |= lanes(np.bitwise_or.reduce(near, axis=0), n)
-                else:
-                    a, b = np.nonzero(lanes(near, n) & (root < 0) & ~found)
-                    found[b[alike(asking[a], b)]] = True
+                near = within(rows, prints[front[k : k + 64]], radius)
+                found |= lanes(np.bitwise_or.reduce(near, axis=0), n)
             front = np.flatnonzero(found & (root < 0))
             root[front] = seed
     return root
@@ -158,25 +146,22 @@ def shifted(rows: np.ndarray, by: int) -> np.ndarray:
     return rows >> np.uint64(by) | ahead << np.uint64(64 - by)
 
 
-def forest_of_many(prints: np.ndarray, bucket: np.ndarray, radius: int | None, most: int, alike=None) -> np.ndarray:
+def forest_of_many(prints: np.ndarray, bucket: np.ndarray, radius: int, most: int) -> np.ndarray:
     """Roots for rows of many small buckets in order: all lanes are compared with the lane 1, 2, ... further on."""
-    rows, n = None if radius is None else planes(prints), len(prints)
+    rows, n = planes(prints), len(prints)
     left, right = [], []
     for lag in range(1, most):
         beside = bucket[lag:] == bucket[:-lag]
         if not beside.any():
             break
-        if radius is not None:
-            near = Near((rows.shape[1],), radius)
-            differs = rows ^ shifted(rows, lag)
-            for k in range(64):
-                near.add(differs[k])
-                if k % 16 == 15 and (near.far() == ALL).all():
-                    break
-            beside &= lanes(~near.far(), n)[: n - lag]
+        near = Near((rows.shape[1],), radius)
+        differs = rows ^ shifted(rows, lag)
+        for k in range(len(rows)):
+            near.add(differs[k])
+            if k % 16 == 15 and k >= radius and (near.far() == ALL).all():
+                break
+        beside &= lanes(~near.far(), n)[: n - lag]
         hit = np.flatnonzero(beside)
-        if alike is not None:
-            hit = hit[alike(hit, hit + lag)]
         left.append(hit)
         right.append(hit + lag)
     root = np.arange(n)
@@ -194,24 +179,8 @@ def forest_of_many(prints: np.ndarray, bucket: np.ndarray, radius: int | None, m
         root = new
 
 
-def bucket_links(prints: np.ndarray, bucket: np.ndarray, radius: int | None, sketch: np.ndarray | None = None, least: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers linked by a spanning forest within each bucket; rows come with equal buckets together.
-
-    With sketches (a row of minima for each fingerprint), near rows must also agree in a share ``least`` of the minima;
-    without a radius the sketches alone decide."""
-
-    def checked(rows: np.ndarray):
-        if sketch is None:
-            return None
-
-        def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-            out = np.empty(len(a), dtype=bool)
-            for k in range(0, len(a), 65536):
-                out[k : k + 65536] = (sketch[rows[a[k : k + 65536]]] == sketch[rows[b[k : k + 65536]]]).mean(axis=1) >= least
-            return out
-
-        return alike
-
+def bucket_links(prints: np.ndarray, bucket: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers linked by a spanning forest within each bucket; rows come with equal buckets together."""
     edge = np.flatnonzero(np.diff(bucket)) + 1
     begin = np.concatenate(([0], edge))
     size = np.diff(np.concatenate((begin, [len(prints)])))
@@ -221,13 +190,13 @@ def bucket_links(prints: np.ndarray, bucket: np.ndarray, radius: int | None, ske
         most = min(2 * low - 1, SMALL)
         rows = np.flatnonzero(np.repeat((size >= low) & (size <= most), size))
         if len(rows):
-            root = forest_of_many(prints[rows], bucket[rows], radius, most, checked(rows))
+            root = forest_of_many(prints[rows], bucket[rows], radius, most)
             own = np.flatnonzero(root != np.arange(len(rows)))
             out.append((rows[own], rows[root[own]]))
         low = most + 1
     for k in np.flatnonzero(size > SMALL):
         rows = np.arange(begin[k], begin[k] + size[k])
-        root = forest_of_one(prints[rows], radius, checked(rows))
+        root = forest_of_one(prints[rows], radius)
         own = np.flatnonzero(root != np.arange(len(rows)))
         out.append((rows[own], rows[root[own]]))
     if not out:
@@ -258,23 +227,22 @@ def by_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield held
 
 
-def compared(rows: DataFrame, tables: Column, radius: int | None, least: float = 0.0) -> DataFrame:
-    """(u, v) links between ``node`` ids, from rows (node, p or sketch) that share one of their bucket keys ``tables``.
+def compared(rows: DataFrame, tables: Column, radius: int) -> DataFrame:
+    """(u, v) links between ``node`` ids, from rows (node, p) that share one of their bucket keys ``tables``; the
+    fingerprint ``p`` is a long, or bytes of several 64-bit words.
 
     Buckets of one row drop out by a count.  A bucket beyond ``PART`` rows is dealt in parts, and every two parts meet in
     a bucket of their own, so no task gets an unbounded one."""
-    wide = "sketch" in rows.columns
-    columns = ["node", "sketch" if wide else "p"]
-    keyed = rows.select(*columns, F.explode(tables).alias("k"))
+    keyed = rows.select("node", "p", F.explode(tables).alias("k"))
     sizes = keyed.groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
-    keyed = met(keyed.join(sizes, "k"), "k", F.ceil(F.col("n") / PART), *columns)
+    keyed = met(keyed.join(sizes, "k"), "k", F.ceil(F.col("n") / PART), "node", "p")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in by_buckets(batches):
             if t.num_rows > 1:
-                node, p, b = (t.column(x).to_numpy() for x in ("node", "node" if wide else "p", "bucket"))
-                minima = np.frombuffer(b"".join(t.column("sketch").to_pylist()), dtype="<u4").reshape(t.num_rows, -1) if wide else None
-                u, v = bucket_links(p.view(np.uint64), b, radius, minima, least)
+                node, p, b = t.column("node").to_numpy(), t.column("p"), t.column("bucket").to_numpy()
+                prints = p.to_numpy().view(np.uint64) if pa.types.is_int64(p.type) else np.frombuffer(b"".join(p.to_pylist()), dtype="<u8").reshape(t.num_rows, -1)
+                u, v = bucket_links(prints, b, radius)
                 if len(u):
                     yield pa.RecordBatch.from_arrays([pa.array(node[u]), pa.array(node[v])], names=["u", "v"])
 
@@ -288,36 +256,56 @@ def links(prints: DataFrame, radius: int = 2, column: str = "fingerprint") -> Da
     print_ = F.col(column)
     part = [F.shiftrightunsigned(print_, bounds[k]).bitwiseAND((1 << (bounds[k + 1] - bounds[k])) - 1) for k in range(blocks)]
     tables = [F.struct(F.lit(t).alias("t"), part[i].alias("a"), part[j].alias("b")) for t, (i, j) in enumerate(combinations(range(blocks), 2))]
-    return compared(prints.select(print_.alias("node"), print_.alias("p"), column), F.array(*tables).alias("k"), radius)
+    return compared(prints.select(print_.alias("node"), print_.alias("p"), column), F.array(*tables), radius)
 
 
-#: Minima of a sketch, and those that make a bucket key: two texts of similarity 0.8 share one of the keys but for 4e-5.
-MINIMA, BAND, BANDS = 128, 2, 10
-#: Candidates agree in a share of minima less than the similarity by this; a pair of 0.8 fails 0.65 with 3e-5.
-SLACK = 0.15
+#: Minima that make a bucket key, and keys: two sets of similarity 0.8 share one of the keys but for 4e-5.
+BAND, BANDS = 2, 10
+#: Words of the fingerprint of a set of shingles, and the differing bits up to which two sets are candidates.  Sets of
+#: similarity 0.8 differ in 38 bits of 256 on average (deviation 6) and so are candidates but for 1e-7; the smallest sets
+#: that can be 0.8 alike, of four and five shingles, differ in 48 (deviation 7) and are but for 4e-4.
+SET_WORDS, SET_RADIUS = 4, 70
 #: Texts, and shingles of texts, in a part of a group of candidates; every two parts are compared.
 EXACT_PART, EXACT_SHINGLES = 1024, 2_000_000
 
 
-def sketches(text: Column, shingle: int) -> Column:
-    """Hash and size of the set of a text's word shingles, and its sketch (32-bit minima of ``MINIMA`` hash orders)."""
-    kind = pa.struct([("node", pa.int64()), ("size", pa.int64()), ("sketch", pa.binary())])
+def set_fingerprint(h: np.ndarray) -> bytes:
+    """Majority bits over distinct shingle hashes, each stretched to ``SET_WORDS`` words; how often a text repeats a
+    shingle doesn't count."""
+    out = []
+    for word in range(SET_WORDS):
+        ones = np.zeros(64, dtype=np.int64)
+        for k in range(0, len(h), 65536):
+            x = h[k : k + 65536] + np.uint64(word + 1) * np.uint64(0x9E3779B97F4A7C15)
+            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            x ^= x >> np.uint64(31)
+            ones += np.unpackbits(x.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
+        out.append(np.packbits(2 * ones > len(h), bitorder="little").tobytes())
+    return b"".join(out)
+
 
-    @F.arrow_udf("node long, size long, sketch binary")
+def sets(text: Column, shingle: int) -> Column:
+    """Of the set of a text's word shingles: a hash, the size, the fingerprint, and ``BANDS`` bucket keys of minima."""
+    kind = pa.struct([("node", pa.int64()), ("size", pa.int64()), ("p", pa.binary()), ("keys", pa.list_(pa.int64()))])
+
+    @F.arrow_udf("node long, size long, p binary, keys array<long>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         import xxhash
 
-        odd = np.random.default_rng(9).integers(0, 2**63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        odd = np.random.default_rng(9).integers(0, 2**63, BAND * BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         for texts in batches:
             out = []
             for part in slices(texts):
                 for t in part:
                     h = np.unique(shingle_hashes(t, shingle))
-                    least = np.full(MINIMA, 2**64 - 1, dtype=np.uint64)
+                    least = np.full(BAND * BANDS, 2**64 - 1, dtype=np.uint64)
                     for k in range(0, len(h), 4096):
                         least = np.minimum(least, (h[k : k + 4096, None] * odd[None, :]).min(axis=0))
                     node = int.from_bytes(xxhash.xxh64_digest(h.tobytes()), "big", signed=True)
-                    out.append({"node": node, "size": len(h), "sketch": (least >> np.uint64(32)).astype("<u4").tobytes()})
+                    raw = least.tobytes()
+                    keys = [int.from_bytes(xxhash.xxh64_digest(raw[8 * BAND * t : 8 * BAND * (t + 1)], t), "big", signed=True) for t in range(BANDS)]
+                    out.append({"node": node, "size": len(h), "p": set_fingerprint(h), "keys": keys})
             yield pa.array(out, kind)
 
     return run(whole(text))
@@ -374,13 +362,11 @@ def exact_links(candidates: DataFrame, shingle: int, least: float) -> DataFrame:
 def _grouped(docs: DataFrame, doc_id: str, text: str, shingle: int, least: float) -> DataFrame:
     """(doc_id, row, keep): rows by id and hash of their text, with the first of their group (nulls come last)."""
     body = docs[f"`{text}`"]
-    marked = docs.select(docs[f"`{doc_id}`"].cast("long").alias("doc_id"), F.xxhash64(whole(body)).alias("row"), sketches(body, shingle).alias("s")).select("doc_id", "row", "s.*")
-    marked = cut(marked, "sketches")
+    marked = docs.select(docs[f"`{doc_id}`"].cast("long").alias("doc_id"), F.xxhash64(whole(body)).alias("row"), sets(body, shingle).alias("s")).select("doc_id", "row", "s.*")
+    marked = cut(marked, "fingerprints")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")).alias("first")
-    nodes = cut(marked.groupBy("node").agg(first, F.first("size").alias("size"), F.first("sketch").alias("sketch")), "distinct-sketches")
-    width = 4 * BAND
-    keys = [F.struct(F.lit(t).alias("t"), F.substring(F.col("sketch"), 1 + t * width, width).alias("key")) for t in range(BANDS)]
-    loose = components(compared(nodes.select("node", "sketch"), F.array(*keys), None, least - SLACK))
+    nodes = cut(marked.groupBy("node").agg(first, F.first("size").alias("size"), F.first("p").alias("p"), F.first("keys").alias("keys")), "distinct-sets")
+    loose = components(compared(nodes.select("node", "p", "keys"), F.col("keys"), SET_RADIUS))
     loose = cut(nodes.select("node", "size", F.col("first.doc_id").alias("_id"), F.col("first.row").alias("_row")).join(loose, "node"), "candidates")
     sums = loose.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("shingles"))
     rows = docs.select(docs[f"`{doc_id}`"].cast("long").alias("_of"), whole(body).alias("_text"))
@@ -395,11 +381,14 @@ def _grouped(docs: DataFrame, doc_id: str, text: str, shingle: int, least: float
 def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, least: float = 0.8) -> DataFrame:
     """(doc_id, component_id) by similarity of word shingles, for edits that flip more bits than a small radius holds.
 
-    Candidates share a key of minima and agree in ``least`` less ``SLACK`` of their minima.  Texts of candidates that hang
-    together are compared exactly: a link is a Jaccard similarity of ``least`` or more between their sets of shingles.
-    A pair of 0.8 is no candidate with 7e-5; how often a shingle occurs in a text doesn't count.  Nulls, repeated rows and
-    empty tables are as in ``near_groups``; texts without words are one group.
+    Candidates share a bucket of minima and are near by bit-sliced comparison of their fingerprints, which are over the
+    distinct shingles of a text.  Texts of candidates that hang together are compared exactly: a link is a Jaccard
+    similarity of ``least`` or more between their sets of shingles.  A pair of 0.8 is no candidate with 5e-5 (see
+    ``BANDS`` and ``SET_RADIUS``, which are for 0.8 and more).  Nulls, repeated rows and empty tables are as in
+    ``near_groups``; texts without words are one group; a very long text is hashed in pieces, its shingles at once.
     """
+    if least < 0.8:
+        raise ValueError("candidates are searched for similarities of 0.8 or more")
     return _grouped(docs, doc_id, text, shingle, least).select("doc_id", F.col("keep.doc_id").alias("component_id"))
 
 
