@@ -171,25 +171,47 @@ def spark_hash(*values):
 def brute_signature(text):
     import re
 
-    w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    w, k = re.findall(r"[^\x20\x09-\x0D]+", text or ""), order_minhash.K
     if not w:
         return ""
+    if len(w) < k or len(text) > order_minhash.SPARSE * len(w):
+        w, k = list(text), order_minhash.K_CHARS
     seen, packed = {}, []
-    for p in range(max(1, len(w) - order_minhash.K + 1)):
-        h = spark_hash(*w[p : p + order_minhash.K])
+    for p in range(max(1, len(w) - k + 1)):
+        h = spark_hash(*w[p : p + k])
         o = seen[h] = seen.get(h, -1) + 1
         if o:
             h = xxhash.xxh64_intdigest(o.to_bytes(4, "little"), seed=spark_hash(h))
-        packed.append((h % order_minhash.BINS, h >> 30, p))
+        packed.append((h % order_minhash.BINS, h >> 64 - order_minhash.HASH_BITS, p))
     out = []
     for b in range(order_minhash.BINS):
         two = sorted(x for x in packed if x[0] == b)[:2]
         if two:
-            values = [x[0] << 34 | x[1] for x in sorted(two, key=lambda x: x[2])]
+            values = [x[0] << order_minhash.HASH_BITS | x[1] for x in sorted(two, key=lambda x: x[2])]
             out.append(f"{b}:{spark_hash(*values):016X}"[: len(f"{b}:") + 8])
     return " ".join(out)
 
 
+def brute_likeness(a, b):
+    a, b = (dict(x.split(":") for x in brute_signature(t).split()) for t in (a, b))
+    return sum(a.get(k) == v for k, v in b.items()) / len({*a, *b}) if a or b else 1.0
+
+
+def test_runs_are_found_by_levels(spark):
+    bounds = list(range(-50, 60_000, 7))
+    values = [-50, -49, 0, 6, 59_989, 59_990, 70_000, 31_337]
+    got = spark.createDataFrame([(v,) for v in values], "v long").select("v", order_minhash._run_of(bounds, order_minhash.F.col("v")).alias("r")).collect()
+    assert {r["v"]: r["r"] for r in got} == {v: sum(b <= v for b in bounds) - 1 for v in values}
+
+
+def test_texts_without_blanks_change_in_part(spark):
+    r = random.Random(1)
+    text = "".join(r.choice("天地玄黄宇宙洪荒日月盈昃") for _ in range(3000))
+    rows = [(1, text), (2, "short one"), (3, "short ones")]
+    got = {x["doc_id"]: x for x in order_minhash.compare_edited(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert 0 < got[1]["near_edited"] < 1 and got[2]["near_next"] > 0
+
+
 def test_signatures_against_brute_force(spark, odd, odd_rows, texts):
     from pyspark.sql import functions as F
 
@@ -208,7 +230,7 @@ def test_edited_texts(spark, texts, odd, odd_rows, empty):
         edited = t[: len(t) - c] + nxt[:c]
         assert r["n_chars"] == len(t) and r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
         assert r["fingerprint"] == brute_signature(t) and r["edited_fingerprint"] == brute_signature(edited)
-        assert 0 <= r["near_next"] <= 1 and 0 <= r["near_edited"] <= 1
+        assert abs(r["near_next"] - brute_likeness(t, nxt)) < 1e-12 and abs(r["near_edited"] - brute_likeness(t, edited)) < 1e-12
     assert sum(r["near_edited"] for r in rows) / len(rows) > 0.25
     out = order_minhash.compare_edited(odd).collect()
     assert len(out) == len(odd_rows)
@@ -216,7 +238,7 @@ def test_edited_texts(spark, texts, odd, odd_rows, empty):
 
 
 def test_runs_close_with_the_next_row(spark, monkeypatch):
-    monkeypatch.setattr(order_minhash, "RUN", 3)
+    monkeypatch.setattr(order_minhash, "RUN", 60)
     rows = [(3 * i, f"text number {i} of all") for i in range(20)] + [(9, "another of nine")]
     got = order_minhash.with_next(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect()
     order = sorted(rows)
