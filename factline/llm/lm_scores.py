@@ -1,27 +1,34 @@
-"""Language-model scores with stupid backoff (Brants and others, 2007), over count tables partitioned by hash.
+"""Language-model scores with stupid backoff (Brants and others, 2007), relationally.
 
-Documents are dealt to blocks of bounded size.  A block explodes its n-grams, counts each once, and sends one packed
-table (hashes and counts) to every hash partition; a partition adds up what all blocks sent and answers each block with
-the totals of just its n-grams, in the order asked.  The block joins the totals to its n-grams and sums logarithms per
-document.  So every n-gram of a block crosses the network once each way, whatever its number of occurrences.
+1. Every document explodes to its n-grams of all orders: one row a distinct one, with its count and places in the document.
+2. The count table is those rows summed by hash; n-grams that occur once in all are left out, as only their own document
+   could ask for them.
+3. The exploded n-grams are joined to the count table by hash; rows that other documents share stay.
+4. The rows of a document come together again, and its words' scores are summed.
+
+Every row is an n-gram of one document, so all tables grow with the text and no task holds more than a document at once.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factline.llm.packing import pack_counts, pack_hashes, unpack_counts, unpack_hashes
-from factline.llm.text import whole
+from factline.llm.storage import cut
+from factline.llm.text import n_words, whole
 
-#: Bytes of text in a block; text whose n-grams a hash partition counts.
-BLOCK, PART = 7_000_000, 16_000_000
 BACKOFF = 0.4
+#: Bytes of text that are exploded at once.
+SLICE = 4_000_000
+#: An n-gram is frequent, and its rows are dealt to several tasks, beyond this many occurrences or a 20,000th of all
+#: words, whichever is more; so at most 20,000 n-grams of an order are, and their hashes may be broadcast.
+FREQUENT, SHARE = 200_000, 20_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
-REQUEST = "part long, block long, hashes binary, counts binary"
-REPLY = "block long, part long, totals binary"
+GRAMS = "doc long, row long, gram long, n int"
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -29,131 +36,122 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-class Grams:
-    """The n-grams of a block's documents, up to ``order``: distinct hashes by partition, and where each token's are."""
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    size = pa.compute.binary_length(batch.column("text")).to_numpy(zero_copy_only=False)
+    turn = np.cumsum(size) // SLICE
+    edge = [0, *(np.flatnonzero(np.diff(turn)) + 1).tolist(), len(size)]
+    for a, b in zip(edge[:-1], edge[1:], strict=True):
+        yield batch.slice(a, b - a)
+
+
+def explode(rows: DataFrame, order: int, places: bool) -> DataFrame:
+    """(doc, row, gram, n): the distinct n-grams of each row (doc, row, text) by hash, and how often it holds them; with
+    ``places`` also the order ``k`` and the places ``at`` of the words that end them.  Words are A-Z lower-cased."""
 
-    def __init__(self, texts: pa.ChunkedArray, order: int, parts: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        known: dict[bytes, int] = {}
-        ids, sizes = [], []
-        for text in texts:
-            words = (text.as_py() or "").encode("utf-8", "surrogatepass").lower().split()
-            ids.append(np.fromiter((known.setdefault(w, len(known)) for w in words), dtype=np.int32, count=len(words)))
-            sizes.append(len(words))
         digest = xxhash.xxh64_intdigest
-        word = np.fromiter((digest(w) for w in known), dtype=np.uint64, count=len(known))
-        del known
-        self.sizes = np.array(sizes, dtype=np.int64)
-        self.doc = np.repeat(np.arange(len(sizes), dtype=np.int32), self.sizes)
-        token = word[np.concatenate(ids)] if ids else word
-        del ids
-        n = len(token)
-        place = np.arange(n) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
-        #: By order: the first token it starts to hold for, the n-gram of every token (-1: too near the start).
-        hashes, self.rows = [np.array([0], dtype=np.uint64)], []
-        counts = [np.array([n], dtype=np.int64)]
-        base, gram = 1, None
-        for k in range(1, order + 1):
-            if k == 1:
-                gram = _mixed(token)
-            else:
-                shifted = np.zeros(n, dtype=np.uint64)
-                shifted[1:] = gram[:-1]
-                gram = _mixed(shifted * MIX + token + np.uint64(k))
-            there = place >= k - 1
-            found, inverse, count = np.unique(gram[there], return_inverse=True, return_counts=True)
-            at = np.full(n, -1, dtype=np.int32)
-            at[there] = inverse + base
-            del inverse
-            self.rows.append(at)
-            hashes.append(found ^ np.uint64(k))
-            counts.append(count)
-            base += len(found)
-        self.hashes, self.counts = np.concatenate(hashes), np.concatenate(counts)
-        part = (self.hashes % np.uint64(parts)).astype(np.int32)
-        self.order = np.argsort(part, kind="stable").astype(np.int32)
-        self.bounds = np.searchsorted(part[self.order], np.arange(parts + 1))
-
-    def own(self, k: int) -> np.ndarray:
-        """For every token, how often its document holds its n-gram of order k."""
-        pair = self.rows[k - 1].astype(np.int64) * (len(self.sizes) + 1) + self.doc
-        _, inverse, count = np.unique(pair, return_inverse=True, return_counts=True)
-        return count[inverse]
-
-
-def _requests(order: int, parts: int):
-    def run(table: pa.Table) -> pa.Table:
-        block = table.column("_block")[0].as_py()
-        g = Grams(table.column("_text"), order, parts)
-        rows = []
-        for p in range(parts):
-            pick = g.order[g.bounds[p] : g.bounds[p + 1]]
-            if len(pick):
-                rows.append((p, block, pack_hashes(g.hashes[pick]), pack_counts(g.counts[pick])))
-        cols = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
-        return pa.table({"part": pa.array(cols[0], pa.int64()), "block": pa.array(cols[1], pa.int64()), "hashes": pa.array(cols[2], pa.binary()), "counts": pa.array(cols[3], pa.binary())})
-
-    return run
-
-
-def _replies(table: pa.Table) -> pa.Table:
-    """Totals of one hash partition, given back to every block for the n-grams that it sent."""
-    asked = [unpack_hashes(x.as_py()) for x in table.column("hashes")]
-    counts = np.concatenate([unpack_counts(x.as_py(), len(a)) for x, a in zip(table.column("counts"), asked, strict=True)])
-    found, inverse = np.unique(np.concatenate(asked), return_inverse=True)
-    totals = np.zeros(len(found), dtype=np.int64)
-    np.add.at(totals, inverse, counts)
-    totals = totals[inverse]
-    out = [pack_counts(x) for x in np.split(totals, np.cumsum([len(a) for a in asked])[:-1])]
-    return pa.table({"block": table.column("block"), "part": table.column("part"), "totals": pa.array(out, pa.binary())})
-
-
-def _scores(order: int, parts: int, held_out: bool):
-    def run(docs: pa.Table, replies: pa.Table) -> pa.Table:
-        g = Grams(docs.column("_text"), order, parts)
-        total = np.zeros(len(g.hashes), dtype=np.float64)
-        for p, found in zip(replies.column("part").to_pylist(), replies.column("totals"), strict=True):
-            pick = g.order[g.bounds[p] : g.bounds[p + 1]]
-            total[pick] = unpack_counts(found.as_py(), len(pick))
-        n = len(g.doc)
-        less = np.repeat(g.sizes, g.sizes).astype(np.float64) if held_out else np.zeros(n)
-        everything = np.maximum(total[0] - less, 1.0)
-        context = everything
-        # the longest n-gram seen elsewhere decides; each step back costs a factor
-        score = np.full(n, np.log(0.5)) - np.log(everything) + (order - 1) * np.log(BACKOFF)
-        steps = np.minimum(order, 1 + np.arange(n) - np.repeat(np.cumsum(g.sizes) - g.sizes, g.sizes))
-        score -= (order - steps) * np.log(BACKOFF)
-        for k in range(1, order + 1):
-            there = g.rows[k - 1] >= 0
-            count = np.where(there, total[g.rows[k - 1]], 0.0)
-            if held_out:
-                count = np.where(there, count - g.own(k), 0.0)
-            seen = there & (count > 0) & (context > 0)
-            score = np.where(seen, np.log(np.maximum(count, 1)) - np.log(np.maximum(context, 1)) + (steps - k) * np.log(BACKOFF), score)
-            context = np.zeros(n)  # of the next order: the n-gram that ends a token earlier
-            if k < order:
-                context[1:] = count[:-1]
-        sums = np.bincount(g.doc, weights=score, minlength=len(g.sizes))
-        mean = [float(s) / int(m) if m else None for s, m in zip(sums, g.sizes, strict=True)]
-        return pa.table({"doc_id": docs.column("_doc"), "n_words": pa.array(g.sizes), "log_score": pa.array(mean, pa.float64())})
-
-    return run
+        for batch in batches:
+            for some in _slices(batch) if batch.num_rows else ():
+                known: dict[bytes, int] = {}
+                words = [t.encode("utf-8", "surrogatepass").lower().split() for t in some.column("text").to_pylist()]
+                sizes = np.array([len(w) for w in words])
+                ids = np.fromiter((known.setdefault(w, len(known)) for ws in words for w in ws), dtype=np.int32, count=int(sizes.sum()))
+                del words
+                token = np.fromiter((digest(w) for w in known), dtype=np.uint64, count=len(known))[ids]
+                owner = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+                place = np.arange(len(token), dtype=np.int32) - np.repeat(np.cumsum(sizes) - sizes, sizes).astype(np.int32)
+                gram = np.zeros(len(token), dtype=np.uint64)
+                for k in range(1, order + 1):
+                    ahead = np.zeros_like(gram)
+                    ahead[1:] = gram[:-1]
+                    gram = _mixed(ahead * MIX + token + np.uint64(k)) if k > 1 else _mixed(token + np.uint64(1))
+                    ends = np.flatnonzero(place >= k - 1)
+                    if not len(ends):
+                        break
+                    ends = ends[np.lexsort((gram[ends], owner[ends]))]
+                    h, of = gram[ends], owner[ends]
+                    first = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (of[1:] != of[:-1]))))
+                    count = np.diff(np.concatenate((first, [len(h)]))).astype(np.int32)
+                    by = pa.array(of[first])
+                    columns = [some.column("doc").take(by), some.column("row").take(by), pa.array(h[first].view(np.int64)), pa.array(count)]
+                    names = ["doc", "row", "gram", "n"]
+                    if places:
+                        lists = pa.ListArray.from_arrays(pa.array(np.concatenate((first, [len(h)])).astype(np.int32)), pa.array(place[ends]))
+                        columns += [pa.array(np.full(len(first), k, dtype=np.int32)), lists]
+                        names += ["k", "at"]
+                    yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return rows.mapInArrow(run, GRAMS + (", k int, at array<int>" if places else ""))
+
+
+def _score_of(words: int, k: np.ndarray, at: list[np.ndarray], others: np.ndarray, everything: int, order: int) -> float:
+    """Mean log score of a document's words: ``others`` says how often the n-gram that ends at the places ``at`` counts."""
+    count = np.zeros((order + 1, words))
+    for i in range(len(at)):
+        count[k[i], at[i]] = others[i]
+    # the longest n-gram seen elsewhere decides; each step back costs a factor
+    longest = np.minimum(order, 1 + np.arange(words))
+    score = np.full(words, np.log(0.5)) - np.log(everything) + (longest - 1) * np.log(BACKOFF)
+    context = np.full(words, float(everything))
+    for step in range(1, order + 1):
+        seen = (count[step] > 0) & (context > 0)
+        found = np.log(np.maximum(count[step], 1)) - np.log(np.maximum(context, 1)) + (longest - step) * np.log(BACKOFF)
+        score = np.where(seen, found, score)
+        context = np.zeros(words)  # of the next order: the n-gram that ends a word earlier
+        context[1:] = count[step][:-1]
+    return float(score.sum()) / words
+
+
+def _log_scores(words: Column, grams: Column, everything: int, order: int, held_out: bool) -> Column:
+    @F.arrow_udf("double")
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for n, lists in batches:
+            out: list[float | None] = []
+            for size, found in zip(n.to_pylist(), lists, strict=True):
+                rows = found.values
+                if not size:
+                    out.append(None)
+                    continue
+                left = max(1, everything - size) if held_out else max(1, everything)
+                if rows is None or not len(rows):
+                    out.append(_score_of(size, np.zeros(0, dtype=int), [], np.zeros(0), left, order))
+                    continue
+                ends = rows.field("at")
+                cuts = ends.offsets.to_numpy() - ends.offsets[0].as_py()
+                places = ends.flatten().to_numpy()
+                at = [places[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+                out.append(_score_of(size, rows.field("k").to_numpy(), at, rows.field("others").to_numpy(), left, order))
+            yield pa.array(out, pa.float64())
+
+    return run(words, grams)
 
 
 def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order: int = 2, held_out: bool = True) -> DataFrame:
     """(doc_id, n_words, log_score): the mean log score of a document's words under the n-grams of all documents.
 
     With ``held_out`` a document's own n-grams don't count for it, so a passage found nowhere else backs off; a word
-    found nowhere else counts a half.  Words are A-Z lower-cased.  A null or empty text has no words and a null score;
-    repeated rows score alike and count as separate documents; an empty table gives an empty one.  Every n-gram counts:
-    tables are split into as many hash partitions as the text needs, and an n-gram in every document costs its partition
-    one entry a block.
+    found nowhere else counts a half.  A null or empty text has no words and a null score; repeated rows score alike and
+    count as separate documents, as do rows with one id and different texts; an empty table gives an empty one.  All
+    n-grams count.  Rows of a frequent n-gram are dealt to several tasks before they are joined, and counts are summed
+    before they are shuffled, so an n-gram in every document is no task's alone.  A very long text is exploded whole.
     """
-    rows = docs.select(F.col(doc_id).cast("long").alias("_doc"), whole(text).alias("_text"))
-    size = rows.agg(F.sum(F.octet_length("_text")).cast("long")).first()[0] or 0
-    blocks, parts = 1 + size // BLOCK, 1 + size // PART
-    rows = rows.withColumn("_block", F.pmod(F.xxhash64("_doc", "_text"), F.lit(blocks)))
-    replies = rows.groupBy("_block").applyInArrow(_requests(order, parts), REQUEST).groupBy("part").applyInArrow(_replies, REPLY)
-    joined = rows.groupBy("_block").cogroup(replies.groupBy("block"))
-    return joined.applyInArrow(_scores(order, parts, held_out), "doc_id long, n_words long, log_score double")
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc"), whole(text).alias("text")).withColumn("row", F.xxhash64("text"))
+    sized = rows.select("doc", "row", n_words(F.col("text")).alias("n_words"))
+    everything = sized.agg(F.sum("n_words")).first()[0] or 0
+    least = 2 if held_out else 1
+    counts = explode(rows, order, False).groupBy("gram").agg(F.sum("n").alias("total")).filter(F.col("total") >= least)
+    counts = cut(counts, "ngram-counts")
+    most = max(FREQUENT, everything // SHARE)
+    parts = (F.col("total") / most).cast("int") + 1
+    frequent = counts.filter(F.col("total") > most).select("gram", parts.alias("parts"))
+    dealt = counts.select("gram", "total", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    grams = explode(rows, order, True).join(F.broadcast(frequent), "gram", "left")
+    grams = grams.withColumn("part", F.coalesce(F.pmod(F.xxhash64("doc", "row"), F.col("parts")), F.lit(0)).cast("int")).drop("parts")
+    own = F.col("n") if held_out else F.lit(0)
+    shared = grams.join(dealt, ["gram", "part"]).filter(F.col("total") > own).select("doc", "row", F.struct("k", "at", (F.col("total") - own).alias("others")).alias("g"))
+    found = shared.groupBy("doc", "row").agg(F.collect_list("g").alias("g"))
+    d, f = sized.alias("d"), found.alias("f")
+    both = d.join(f, F.col("d.doc").eqNullSafe(F.col("f.doc")) & (F.col("d.row") == F.col("f.row")), "left")
+    return both.select(F.col("d.doc").alias("doc_id"), "n_words", _log_scores(F.col("n_words"), F.col("f.g"), everything, order, held_out).alias("log_score"))

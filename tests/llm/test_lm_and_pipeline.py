@@ -43,8 +43,9 @@ def same(got, want):
 
 def test_scores_against_brute_force(docs, texts, monkeypatch):
     same(lm_scores.score(docs).collect(), brute_scores(list(texts.items())))
-    monkeypatch.setattr(lm_scores, "BLOCK", 30_000)
-    monkeypatch.setattr(lm_scores, "PART", 50_000)
+    monkeypatch.setattr(lm_scores, "SLICE", 30_000)
+    monkeypatch.setattr(lm_scores, "FREQUENT", 20)
+    monkeypatch.setattr(lm_scores, "SHARE", 10**6)
     same(lm_scores.score(docs).collect(), brute_scores(list(texts.items())))
 
 
