@@ -13,16 +13,3 @@ def pack_hashes(h: np.ndarray) -> bytes:
 def unpack_hashes(raw: bytes) -> np.ndarray:
     d = np.frombuffer(raw, dtype=np.uint8).reshape(8, -1).T
     return np.cumsum(np.ascontiguousarray(d).view("<u8").ravel(), dtype=np.uint64)
-
-
-def pack_counts(c: np.ndarray) -> bytes:
-    """A byte each, and the places and values of those that need more."""
-    large = np.flatnonzero(c >= 255)
-    return np.minimum(c, 255).astype(np.uint8).tobytes() + large.astype("<u4").tobytes() + c[large].astype("<u8").tobytes()
-
-
-def unpack_counts(raw: bytes, n: int) -> np.ndarray:
-    out = np.frombuffer(raw, dtype=np.uint8, count=n).astype(np.int64)
-    m = (len(raw) - n) // 12
-    out[np.frombuffer(raw, dtype="<u4", count=m, offset=n)] = np.frombuffer(raw, dtype="<u8", count=m, offset=n + 4 * m)
-    return out

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factline.llm.packing import pack_hashes, unpack_hashes
-from factline.llm.suffix_array import equal_windows, suffix_array
+from factline.llm.suffix_array import common_prefixes, equal_windows, suffix_array
 from factline.llm.text import whole
 
 GRAM = 32
@@ -274,7 +274,7 @@ def _sort_group(texts: list[bytes], first: np.ndarray, width: int) -> list[np.nd
     symbol = joined.astype(np.int16) + 1
     symbol[begin + size] = 0
     order = suffix_array(symbol, 257, width)
-    group = equal_windows(joined, order, width)
+    group = equal_windows(order, common_prefixes(joined, order, width), width)
     owner = np.repeat(np.arange(len(texts)), size + 1)
     offset = np.arange(len(joined)) - begin[owner]
     window = np.flatnonzero(offset <= size[owner] - width)

@@ -147,39 +147,33 @@ def suffix_array(text: np.ndarray, symbols: int, depth: int) -> np.ndarray:
 
 
 def common_prefixes(text: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
-    """By text position, the common prefix with the suffix before in order, counted up to ``most``."""
+    """The permuted common prefixes of a text of bytes: by text position, the common prefix with the suffix before it in
+    order, counted up to ``most``; eight bytes at a time."""
     n = len(text)
     before = np.full(n, -1, dtype=np.int64)
     before[order[1:]] = order[:-1]
+    raw = np.concatenate((text.astype(np.uint8), np.zeros(most + 16, dtype=np.uint8)))
+    word = np.ascontiguousarray(np.lib.stride_tricks.as_strided(raw, (n + most + 8, 8), (1, 1))).view("<u8").ravel()
     out = np.zeros(n, dtype=np.int32)
     at = np.flatnonzero(before >= 0)
     other = before[at]
-    padded = np.concatenate((text.astype(np.int32), -1 - np.arange(most + 8, dtype=np.int32)))
-    for offset in range(most):
-        on = (padded[at + offset] == padded[other + offset]) & (np.maximum(at, other) + offset < n)
-        at, other = at[on], other[on]
+    for offset in range(0, most, 8):
+        differ = word[at + offset] ^ word[other + offset]
+        equal = differ == 0
+        part, low = at[~equal], differ[~equal]
+        same = np.zeros(len(low), dtype=np.int32)  # equal bytes of the first word that differs
+        for k in range(1, 8):
+            same += low & np.uint64((1 << 8 * k) - 1) == 0
+        out[part] = offset + same
+        at, other = at[equal], other[equal]
+        out[at] = offset + 8
         if not len(at):
             break
-        out[at] = offset + 1
-    return out
+    return np.minimum(np.minimum(out, most), n - np.maximum(before, np.arange(n))).astype(np.int32)
 
 
-def equal_windows(text: np.ndarray, order: np.ndarray, width: int) -> np.ndarray:
-    """A number for every position: positions share it if the ``width`` symbols there are equal (the common prefixes
-    decide); compares eight symbols at a time."""
-    n = len(text)
-    before = np.full(n, -1, dtype=np.int64)
-    before[order[1:]] = order[:-1]
-    raw = np.concatenate((text.astype(np.uint8), np.zeros(width + 8, dtype=np.uint8)))
-    word = np.lib.stride_tricks.as_strided(raw, (n + width, 8), (1, 1))
-    word = np.ascontiguousarray(word).view("<u8").ravel()
-    at = np.flatnonzero((before >= 0) & (np.maximum(before, np.arange(n)) + width <= n))
-    other = before[at]
-    for offset in [*range(0, width - 8, 8), width - 8]:
-        on = word[at + offset] == word[other + offset]
-        at, other = at[on], other[on]
-    new = np.ones(n, dtype=bool)
-    new[at] = False
-    group = np.empty(n, dtype=np.int64)
-    group[order] = np.cumsum(new[order])
+def equal_windows(order: np.ndarray, prefixes: np.ndarray, width: int) -> np.ndarray:
+    """A number for every position: positions share it if their suffixes hang together by common prefixes of ``width``."""
+    group = np.empty(len(order), dtype=np.int64)
+    group[order] = np.cumsum(prefixes[order] < width)
     return group
