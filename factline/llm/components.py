@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factline.llm.storage import cut
+from factline.llm.storage import cut, discard
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -30,14 +30,15 @@ def components(edges: DataFrame) -> DataFrame:
     """(u, v) links between longs to (node, root): every linked node with the smallest node that it reaches.
 
     Links to a node itself or to null are dropped.  The number of rounds grows with the logarithm of the longest chain;
-    each round writes its table to the shared folder.  Minima are aggregated before they are shuffled, and joined back on
+    each round writes its table to the shared folder and deletes the one before.  Minima are aggregated before they are shuffled, and joined back on
     a column that adaptive execution may split, so a node with most links is not one task's.
     """
     edges = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter(F.col("u") != F.col("v")).distinct()
     edges = cut(edges, "links")
     before, state = None, _state(edges)
     while state != before and state[0]:
-        edges = cut(_small_star(_large_star(edges)), "links")
+        last, edges = edges, cut(_small_star(_large_star(edges)), "links")
+        discard(last)
         before, state = state, _state(edges)
     leaves = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return leaves.unionByName(leaves.select(F.col("root").alias("node"), "root").distinct())

@@ -56,7 +56,8 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     """One row per row of ``docs``: its id, ``size`` (words), ``source_size``, ``target`` of its source, ``taken``.
 
     A null text has no words and is never needed; a null source is a source of its own, last in order; rows that repeat
-    an id tie, and the order among them is by size, which makes them interchangeable; an empty table gives an empty one.
+    an id tie, and the order among them is by size and hash of the text (``row``); a very long text is one document like
+    any other, taken or not as a whole; an empty table gives an empty one.
     ``taken`` is the size times the copies: complete epochs, plus one for those picked.  The document on the edge of a
     target is picked if that brings the sum nearer.
 
@@ -64,7 +65,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     tasks: sums run within a bucket and start from the sum of the buckets before.
     """
     size = n_words(whole(text))
-    sized = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), size.alias("size"), F.char_length(whole(text)).alias("_chars"))
+    sized = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), size.alias("size"), F.char_length(whole(text)).alias("_chars"), F.xxhash64(whole(text)).alias("row"))
     sized = sized.withColumn("_key", -F.ln(uniform(F.col("doc_id"), seed)) / quality_weight(F.col("size"), F.col("_chars")))
     sized = cut(sized.drop("_chars"), "sizes")
     sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_docs"))
@@ -79,10 +80,30 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     sums = rows.groupBy("_source", "_bucket").agg(F.sum("size").alias("_sum"))
     ahead = Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("_source", "_bucket", F.coalesce(F.sum("_sum").over(ahead), F.lit(0)).alias("_ahead"))
-    within = Window.partitionBy("_source", "_bucket").orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    within = Window.partitionBy("_source", "_bucket").orderBy("_key", "doc_id", "size", "row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("_up_to", F.sum("size").over(within)).join(sums, ["_source", "_bucket"])
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     rest = F.col("target") - epochs * F.col("source_size")
     middle = (F.col("_ahead") + F.col("_up_to")) * 2 - F.col("size")
     copies = epochs + (middle <= 2 * rest).cast("long") * (rest > 0).cast("long")
-    return rows.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"))
+    return rows.select("doc_id", "source", "row", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"))
+
+
+def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (1, 2, 3), seed: int = 7) -> DataFrame:
+    """``docs`` with every row as often as the mix takes it; rows that it doesn't take go.
+
+    Nulls and empty tables are as in ``mix``.  Rows equal in id, source and text share what the mix takes of them: each
+    goes as often as the others or once more, and together they go as often as taken.
+    """
+    taken = mix(docs, doc_id, text, source, weights, seed)
+    key = ["_k0", "_k1", "_k2", "_row"]
+
+    def keys(i: Column, s: Column, row: Column) -> list[Column]:
+        return [F.coalesce(i.cast("string"), F.lit("")).alias("_k0"), F.coalesce(s.cast("string"), F.lit("")).alias("_k1"), F.concat(i.isNull().cast("string"), s.isNull().cast("string")).alias("_k2"), row.alias("_row")]
+
+    copies = taken.select(*keys(F.col("doc_id"), F.col("source"), F.col("row")), "copies").groupBy(*key).agg(F.sum("copies").alias("_sum"), F.count(F.lit(1)).alias("_rows")).filter("_sum > 0")
+    columns = [docs[f"`{c}`"].alias(c) for c in docs.columns]
+    rows = docs.select(F.struct(*columns).alias("_in"), *keys(docs[f"`{doc_id}`"], docs[f"`{source}`"], F.xxhash64(whole(docs[f"`{text}`"]))))
+    place = F.row_number().over(Window.partitionBy(*key).orderBy(*key))
+    both = rows.join(copies, key).withColumn("_times", (F.floor(F.col("_sum") / F.col("_rows")) + (place <= F.col("_sum") % F.col("_rows")).cast("long")).cast("int"))
+    return both.filter("_times > 0").select("_in", F.explode(F.sequence(F.lit(1), "_times"))).select("_in.*")

@@ -4,19 +4,27 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 SHARED = "spark.checkpoint.dir"
-#: Folders made for sessions that name none, as in tests, by application.
+#: Folders made for local sessions that name none, as in tests, by application.
 _OWN: dict[str, str] = {}
+#: Where tables that ``cut`` made lie, and those made within each open ``scope``.
+_PLACES: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+_SCOPES: list[list[tuple[SparkSession, str]]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a local one is made only where the session names none."""
+    """The cluster's shared folder; only a local session may name none and gets one of its own."""
     found = spark.conf.get(SHARED, None)
     if found:
         return found
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError(f"{SHARED} must name a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = "file://" + tempfile.mkdtemp(prefix="factline-")
@@ -28,4 +36,34 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/factline/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").option("parquet.block.size", 32 << 20).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PLACES[out] = path
+    for made in _SCOPES[-1:]:
+        made.append((spark, path))
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table that ``cut`` made and that nothing reads any more."""
+    path = _PLACES.pop(df, None)
+    if path is not None:
+        _delete(df.sparkSession, path)
+
+
+@contextmanager
+def scope() -> Iterator[list[DataFrame]]:
+    """Delete the tables cut within it, but for those of the data frames put in the list that it yields."""
+    keep: list[DataFrame] = []
+    _SCOPES.append([])
+    try:
+        yield keep
+    finally:
+        kept = {_PLACES.get(df) for df in keep}
+        for spark, path in _SCOPES.pop():
+            if path not in kept:
+                _delete(spark, path)

@@ -85,10 +85,12 @@ def test_each_stage_against_brute_force(spark, docs):
     left = {r["doc_id"]: r["text"] for r in single.collect()}
     sets = {i: shingles(t) for i, t in want.items()}
     for i in want:
-        alike = [k for k in want if len(sets[i] & sets[k]) >= 0.8 * len(sets[i] | sets[k])]
-        assert (i in left) or min(alike) < i or any(k < i for k in want if len(sets[i] & sets[k]) > 0.5 * len(sets[i] | sets[k]))
-        if i in left:
-            assert min(alike) == i
+        reached, front = {i}, [i]
+        while front:
+            a = front.pop()
+            front += [k for k in want if k not in reached and len(sets[a] & sets[k]) >= 0.8 * len(sets[a] | sets[k])]
+            reached |= set(front)
+        assert (i in left) == (min(reached) == i)
     mixed = stages[3](spark, single, D)
     copies = {r["doc_id"]: r["copies"] for r in mixing.mix(single).collect() if r["copies"]}
     assert collections.Counter(r["doc_id"] for r in mixed.collect()) == copies and mixed.columns == docs.columns
@@ -112,6 +114,16 @@ def test_one_of_each_group_stays_whatever_its_ids(spark, odd, odd_rows):
     assert corpus_pipeline.near_duplicates(spark, twins, D).count() == 2
 
 
+def test_repeated_ids_go_as_often_as_taken(spark):
+    rows = [(1, f"word{i % 3} " * (1 + i % 3), "en", f"s{i % 2}", None) for i in range(9)] + [(None, "a b c", "en", None, 1)] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    want = collections.Counter()
+    for r in mixing.mix(docs).collect():
+        want[r["doc_id"], r["size"], r["source"]] += r["copies"]
+    got = collections.Counter((r["doc_id"], len(r["text"].split()), r["source"]) for r in corpus_pipeline.mixture(spark, docs, D).collect())
+    assert got == +want
+
+
 def test_stages_take_odd_rows(spark, odd, empty):
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, odd, D)

@@ -1,3 +1,7 @@
+import os
+
+import pytest
+
 from factline.llm import storage
 
 
@@ -10,13 +14,31 @@ class Unset:
             return default
 
     class sparkContext:
-        applicationId = "app-1"
+        applicationId, master = "app-1", "local[2]"
+
+
+class Cluster(Unset):
+    class sparkContext:
+        applicationId, master = "app-2", "spark://host:7077"
 
 
 def test_the_cluster_names_the_folder(spark):
     assert storage.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
     own = storage.shared_dir(Unset)
     assert own.startswith("file://") and storage.shared_dir(Unset) == own
+    with pytest.raises(ValueError):
+        storage.shared_dir(Cluster)
+
+
+def test_tables_of_a_scope_go(spark):
+    df = spark.range(3)
+    with storage.scope() as keep:
+        gone, stays = storage.cut(df, "t"), storage.cut(df, "t")
+        keep.append(stays)
+        places = [x.inputFiles()[0].removeprefix("file://") for x in (gone, stays)]
+    assert [os.path.exists(x) for x in places] == [False, True]
+    storage.discard(stays)
+    assert not os.path.exists(places[1])
 
 
 def test_cut_keeps_rows_and_schema(spark):
