@@ -33,6 +33,8 @@ def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("p_partkey") + F.col("p_size")).alias("end_line"),
         F.concat(F.col("p_name"), F.lit(" of size "), F.col("p_size").cast("string")).alias("signature"),
         F.concat(F.lower("p_type"), F.lit(" "), F.col("p_name")).alias("summary"),
+        F.split("p_name", " ").alias("keywords"),
+        F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("Made of "), "p_name")).alias("docstring"),
     )
 
 
@@ -61,35 +63,61 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return of_customers.unionByName(of_events)
 
 
+#: Edge tables: name, prefix and key of both ends, kind, whether lines tell of doubt.
+EDGE_TABLES = (
+    ("nation", "r", "n_regionkey", "n", "n_nationkey", "defines", False),
+    ("customer", "n", "c_nationkey", "c", "c_custkey", "registers", False),
+    ("orders", "c", "o_custkey", "o", "o_orderkey", "calls", False),
+    ("lineitem", "o", "l_orderkey", "p", "l_partkey", "references", True),
+    ("lineitem", "p", "l_partkey", "s", "l_suppkey", "imports", True),
+)
+NODE_TABLES = {"r": ("region", "r_regionkey"), "n": ("nation", "n_nationkey"), "c": ("customer", "c_custkey"), "o": ("orders", "o_orderkey"), "p": ("part", "p_partkey"), "s": ("supplier", "s_suppkey")}
+
+
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One edge per id: the surest, a static one first."""
-    out = edge_rows(spark, sf_dir)
-    return out.groupBy("edge_id", "from_id", "to_id", "kind").agg(F.bool_and("dynamic").alias("dynamic"), F.max("confidence").alias("confidence"))
-
-
-def edge_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges as they are found, an id perhaps several times; a traversal merges just those that it meets."""
-    t = lambda name: table(spark, sf_dir, name)
-    key = lambda prefix, column: F.concat(F.lit(prefix), F.col(column).cast("string"))
-
-    def of(df: DataFrame, a, b, kind: str, dynamic=None, confidence=None) -> DataFrame:
-        out = df.select(a.alias("from_id"), b.alias("to_id"), F.lit(kind).alias("kind"), (F.lit(False) if dynamic is None else dynamic).alias("dynamic"), (F.lit(1.0) if confidence is None else confidence).alias("confidence"))
-        return out.withColumn("edge_id", F.concat_ws(":", "kind", "from_id", "to_id"))
-
-    l = t("lineitem")
-    parts = [
-        of(t("nation"), key("r", "n_regionkey"), key("n", "n_nationkey"), "defines"),
-        of(t("customer"), key("n", "c_nationkey"), key("c", "c_custkey"), "registers"),
-        of(t("orders"), key("c", "o_custkey"), key("o", "o_orderkey"), "calls"),
-        of(l, key("o", "l_orderkey"), key("p", "l_partkey"), "references", F.col("l_returnflag") == "R", F.round(1 - F.col("l_discount"), 2)),
-        of(l, key("p", "l_partkey"), key("s", "l_suppkey"), "imports", F.col("l_returnflag") == "R", F.round(1 - F.col("l_discount"), 2)),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    return merged(edge_rows(spark, sf_dir))
+
+
+def merged(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("edge_id", "from_id", "to_id", "kind").agg(F.bool_and("dynamic").alias("dynamic"), F.max("confidence").alias("confidence"))
+
+
+def edge_rows(spark: SparkSession, sf_dir: str, ids: list[str] | None = None, direction: str = "both") -> DataFrame:
+    """Edges as they are found, an id perhaps several times; with ``ids`` those at these nodes, by their keys in the scan."""
+    out = None
+    for name, a, from_key, b, to_key, kind, doubt in EDGE_TABLES:
+        df = table(spark, sf_dir, name)
+        if ids is not None:
+            keys = {p: [int(i[1:]) for i in ids if i[0] == p] for p in (a, b)}
+            near = F.lit(False)
+            if direction != "incoming" and keys[a]:
+                near = near | F.col(from_key).isin(*keys[a])
+            if direction != "outgoing" and keys[b]:
+                near = near | F.col(to_key).isin(*keys[b])
+            df = df.filter(near)
+        key = lambda prefix, column: F.concat(F.lit(prefix), F.col(column).cast("string"))
+        dynamic, confidence = (F.col("l_returnflag") == "R", F.round(1 - F.col("l_discount"), 2)) if doubt else (F.lit(False), F.lit(1.0))
+        df = df.select(key(a, from_key).alias("from_id"), key(b, to_key).alias("to_id"), F.lit(kind).alias("kind"), dynamic.alias("dynamic"), confidence.alias("confidence"))
+        df = df.withColumn("edge_id", F.concat_ws(":", "kind", "from_id", "to_id"))
+        out = df if out is None else out.unionByName(df)
     return out
 
 
+def edges_at(spark: SparkSession, sf_dir: str):
+    """A function of (ids, direction) to the merged edges at these nodes that have both endpoints."""
+
+    def run(ids: list[str], direction: str) -> DataFrame:
+        found = merged(edge_rows(spark, sf_dir, ids, direction))
+        nodes = None
+        for prefix, (name, key) in NODE_TABLES.items():
+            n = table(spark, sf_dir, name).select(F.concat(F.lit(prefix), F.col(key).cast("string")).alias("id"))
+            nodes = n if nodes is None else nodes.unionByName(n)
+        return found.join(nodes.withColumnRenamed("id", "from_id"), "from_id", "left_semi").join(nodes.withColumnRenamed("id", "to_id"), "to_id", "left_semi")
+
+    return run
+
+
 def resources(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, n = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "nation")
     joined = s.join(n, s["s_nationkey"] == n["n_nationkey"])
@@ -108,7 +136,8 @@ SQL = {
     "files": "files AS (SELECT doc_id, source AS repo, lang || '/' || source || '/doc_' || doc_id || '.txt' AS path, lang AS language, text AS content FROM documents)",
     "symbols": """symbols AS (SELECT p_brand || '/' || p_type || '::' || p_name || '#' || p_partkey AS symbol_id, p_brand || '/' || p_type AS file_path,
         p_name AS name, p_brand || '.' || p_name AS qualified_name, lower(p_type) AS kind, p_brand AS language, p_partkey AS line,
-        p_partkey + p_size AS end_line, p_name || ' of size ' || p_size AS signature, lower(p_type) || ' ' || p_name AS summary FROM part)""",
+        p_partkey + p_size AS end_line, p_name || ' of size ' || p_size AS signature, lower(p_type) || ' ' || p_name AS summary,
+        string_split(p_name, ' ') AS keywords, CASE WHEN p_size % 2 = 0 THEN 'Made of ' || p_name END AS docstring FROM part)""",
     "entities": """entities AS (SELECT 'c' || c_custkey AS id, 'customer' AS analyzer, lower(c_mktsegment) AS kind, c_name AS name,
         'nation/' || c_nationkey AS file_path, c_custkey AS line, '{}' AS metadata FROM customer
         UNION ALL SELECT 'e' || event_id, 'event', event_type, event_type || '_' || user_id, 'user/' || user_id, event_id, props FROM events)""",

@@ -21,41 +21,59 @@ def edge_class(kind: Column) -> Column:
     return out.otherwise(len(EDGE_CLASSES))
 
 
-def ranked(edge: DataFrame) -> list[Column]:
+def ranked(edge: DataFrame | None = None) -> list[Column]:
     """Order of edges: class, static first, resolved first, surer first, id."""
-    return [edge_class(edge["kind"]), edge["dynamic"].cast("int"), edge["to_id"].isNull().cast("int"), edge["confidence"].desc(), edge["edge_id"]]
-
-
-def traverse(edges: DataFrame, start: list[str], depth: int = 2, direction: str = "outgoing", kinds: tuple[str, ...] = ()) -> DataFrame:
-    """Edges met by a breadth-first walk of at most ``depth`` (1 to 3) steps, with the depth of first meeting.
-
-    Level by level: the frontier joins the edges, nodes seen before leave it.  Edges between nodes both seen are kept;
-    an edge is reported once, at its least depth; rows of one id are merged here, after the walk has cut them down.
-    """
-    if kinds:
-        edges = edges.filter(F.col("kind").isin(*kinds))
-    ways = []
-    if direction in ("outgoing", "both"):
-        ways.append(edges.select("*", F.col("from_id").alias("_near"), F.col("to_id").alias("_far")))
-    if direction in ("incoming", "both"):
-        ways.append(edges.select("*", F.col("to_id").alias("_near"), F.col("from_id").alias("_far")))
-    walk = ways[0] if len(ways) == 1 else ways[0].unionByName(ways[1])
-    spark = edges.sparkSession
-    seen = frontier = spark.range(1).select(F.explode(F.array(*map(F.lit, start))).alias("_near"))
-    levels = []
-    for level in range(1, max(1, min(3, depth)) + 1):
-        step = walk.join(frontier, "_near").withColumn("depth", F.lit(level))
-        levels.append(step)
-        frontier = step.select(F.col("_far").alias("_near")).distinct().join(seen, "_near", "left_anti")
-        seen = seen.unionByName(frontier)
-    out = levels[0]
-    for step in levels[1:]:
-        out = out.unionByName(step)
-    merged = [F.bool_and("dynamic").alias("dynamic"), F.max("confidence").alias("confidence"), F.min("depth").alias("depth")]
-    return out.groupBy("edge_id", "from_id", "to_id", "kind").agg(*merged)
-
-
-def ranked_levels(found: DataFrame, k: int) -> DataFrame:
-    """The first k edges by depth and rank."""
-    place = Window.orderBy("depth", *ranked(found))
-    return found.orderBy("depth", *ranked(found)).limit(k).withColumn("place", F.row_number().over(place))
+    c = (lambda n: edge[n]) if edge is not None else F.col
+    return [edge_class(c("kind")), c("dynamic").cast("int"), c("to_id").isNull().cast("int"), c("confidence").desc(), c("edge_id")]
+
+
+MOST_RESULTS, MOST_SEEDS, MOST_EXPANDED = 200, 32, 256
+STEP = "seed int, place int, edge_id string, from_id string, to_id string, kind string, dynamic boolean, confidence double, depth int, truncated boolean"
+
+
+def walk(edges_at, seeds: list[str], depth: int = 2, direction: str = "outgoing", kinds: tuple[str, ...] = (), k: int = 50, by_rank: bool = False) -> DataFrame:
+    """Breadth-first walks from up to ``MOST_SEEDS`` nodes, each bounded by ``k`` edges: (seed, place, edge..., depth, truncated).
+
+    Nodes are taken in the order in which they are met, their edges by id or, ``by_rank``, by ``ranked``; a walk stops at
+    the edge after the k-th, which tells that it is truncated.  Edges between nodes already met count, and a walk in both
+    directions meets such an edge from either end.  ``edges_at(ids, direction)`` gives the edges at some nodes that have
+    both endpoints.  A level leaves Spark as at most k + 1 edges a seed, so the next frontier is a short list of keys that
+    reaches the scans as a filter."""
+    depth, k = max(1, min(3, depth or 2)), max(1, min(MOST_RESULTS, k))
+    if len(seeds) > MOST_SEEDS:
+        raise ValueError(f"at most {MOST_SEEDS} seeds")
+    met = [{s} for s in seeds]
+    found: list[list[tuple]] = [[] for _ in seeds]
+    front = [(i, 0, s) for i, s in enumerate(seeds)]
+    spark = None
+    for level in range(1, depth + 1):
+        if not front:
+            break
+        edges = edges_at(sorted({n for _, _, n in front}), direction)
+        spark = edges.sparkSession
+        if kinds:
+            edges = edges.filter(F.col("kind").isin(*kinds))
+        ends = {"outgoing": ["from_id"], "incoming": ["to_id"], "both": ["from_id", "to_id"]}[direction]
+        at = F.explode(F.array_distinct(F.array(*ends)))
+        rows = edges.withColumn("_near", at).join(F.broadcast(spark.createDataFrame(front, "seed int, _pos int, _near string")), "_near")  # at most MOST_SEEDS * k rows
+        order = Window.partitionBy("seed").orderBy("_pos", *(ranked() if by_rank else [F.col("edge_id")]))
+        rows = rows.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= k + 1)
+        front = []
+        for r in sorted(rows.collect(), key=lambda r: (r["seed"], r["_n"])):
+            out = found[r["seed"]]
+            if len(out) > k:
+                continue
+            out.append((r["edge_id"], r["from_id"], r["to_id"], r["kind"], r["dynamic"], r["confidence"], level))
+            far = r["from_id"] if direction == "incoming" or (direction == "both" and r["to_id"] == r["_near"]) else r["to_id"]
+            if far not in met[r["seed"]]:
+                met[r["seed"]].add(far)
+                front.append((r["seed"], len(front), far))
+        front = [(i, p, n) for i, p, n in front if len(found[i]) <= k]
+    rows = [(i, n, *e, len(out) > k) for i, out in enumerate(found) for n, e in enumerate(out[:k], 1)]
+    return spark.createDataFrame(rows, STEP)
+
+
+def expanded(edges_at, seeds: list[str], depth: int, direction: str) -> DataFrame:
+    """Ranked walks from seeds in their order, each of a hundred edges at most, until ``MOST_EXPANDED`` edges in all."""
+    out = walk(edges_at, seeds[:MOST_SEEDS], depth, direction, (), 100, True)
+    return out.orderBy("seed", "place").limit(MOST_EXPANDED)

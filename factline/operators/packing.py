@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Bounds of a budget, of what is read for it, and the least room worth filling.
@@ -22,17 +22,53 @@ def metadata_reserve(budget: Column) -> Column:
     return F.least(F.greatest(F.floor(budget / 20), F.lit(256)), F.lit(1024)).cast("long")
 
 
+#: Reasons of direct supports, and those of them that are critical (class 1) or secondary (class 2).
+DIRECT = ("direct_callee", "direct_caller", "framework_provider", "export_provider", "event_peer", "callback_peer", "direct_reference", "direct_import", "impact_direct")
+CRITICAL = ("direct_callee", "direct_caller", "framework_provider", "export_provider", "event_peer", "callback_peer", "impact_direct")
+SECONDARY = ("direct_reference", "direct_import")
+MOST_CRITICAL, MOST_CANDIDATES = 3, 100
+
+
+def _any(reasons: Column, names: tuple[str, ...]) -> Column:
+    return F.arrays_overlap(reasons, F.array(*map(F.lit, names)))
+
+
 def stage(tier: Column, reasons: Column) -> Column:
-    near = F.array(*map(F.lit, ("direct_callee", "direct_caller", "export_provider", "framework_provider", "event_peer", "callback_peer")))
-    return F.when(tier == "primary", 0).when(F.arrays_overlap(reasons, near), 1).when(tier == "supporting", 2).otherwise(3)
+    return F.when(tier == "primary", 0).when(_any(reasons, DIRECT), 1).when(tier == "supporting", 2).otherwise(3)
 
 
-def pack(candidates: DataFrame, request: str = "request") -> DataFrame:
-    """Greedy packing per request, stage by stage and best score a token first; what doesn't fit is passed over.
+def support_class(reasons: Column) -> Column:
+    """0 for none, 1 for critical, 2 for secondary support."""
+    return F.when(_any(reasons, CRITICAL), 1).when(_any(reasons, SECONDARY), 2).otherwise(0)
+
 
-    Rows: (request, budget, candidate, stage, score, tokens); gives place, taken and used (tokens so far).  A fold over each
-    request's sorted candidates, which the planner bounds (100), in one expression: no Python, and one shuffle by request."""
-    row = F.struct("stage", (-(F.col("score") / F.greatest("tokens", F.lit(1)))).alias("ratio"), (-F.col("score")).alias("worse"), "tokens", "candidate")
+def pack_order() -> list[Column]:
+    """Stage; class within direct supports; score a token but for anchors; score; size; id."""
+    utility = F.when(F.col("stage") > 0, -(F.col("score") / F.greatest("tokens", F.lit(1)))).otherwise(F.lit(0.0))
+    support = F.when(F.col("stage") == 1, F.col("support")).otherwise(0)
+    return [F.col("stage").alias("stage"), support.alias("class"), utility.alias("ratio"), (-F.col("score")).alias("worse"), F.col("tokens").alias("tokens"), F.col("candidate").alias("candidate")]
+
+
+def reserves(candidates: DataFrame, request: str = "request") -> DataFrame:
+    """(request, candidate, allocation, reserve): room for the first critical supports in pack order, three at most, each
+    given its estimate or an equal share of a third of what is usable; ``reserve`` is their sum, within that third."""
+    order = Window.partitionBy(request).orderBy(*pack_order())
+    rows = candidates.filter((F.col("stage") == 1) & (F.col("support") == 1)).withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= MOST_CRITICAL)
+    most = F.floor((F.col("budget") - metadata_reserve(F.col("budget"))) / 3)
+    all_of = Window.partitionBy(request)
+    rows = rows.withColumn("allocation", F.least("tokens", F.greatest(F.floor(most / F.count(F.lit(1)).over(all_of)), F.lit(1))))
+    return rows.select(request, "candidate", "allocation", F.least(F.sum("allocation").over(all_of), most).alias("reserve"))
+
+
+def pack(candidates: DataFrame, request: str = "request") -> DataFrame:
+    """Greedy packing per request in ``pack_order``; what doesn't fit is passed over.
+
+    Rows: (request, budget, candidate, stage, support, score, tokens); gives place, taken and used (tokens so far).  A
+    request's first hundred candidates, a plan's most, are ranked before they are gathered; the fold over them is one
+    expression: no Python, and one shuffle by request."""
+    row = F.struct(*pack_order())
+    first = Window.partitionBy(request).orderBy(*pack_order())
+    candidates = candidates.withColumn("_place", F.row_number().over(first)).filter(F.col("_place") <= MOST_CANDIDATES).drop("_place")
     groups = candidates.groupBy(request).agg(F.array_sort(F.collect_list(row)).alias("_rows"), F.max("budget").alias("_budget"))
     groups = groups.withColumn("_room", F.col("_budget") - metadata_reserve(F.col("_budget")))
     kinds = dict(candidates.dtypes)
@@ -110,15 +146,17 @@ def enforce_ceiling(package: dict, most: int, count=count_tokens, attempts: int
 def assemble(candidates: DataFrame, request: str = "request") -> DataFrame:
     """(request, tokens, complete, package): one JSON package a request, within its budget as serialised.
 
-    Rows: (request, budget, candidate, stage, score, tokens, text).  Critical supports (stage 1) hold a reserve of at most
+    Rows: (request, budget, candidate, stage, support, score, tokens, text).  Critical supports hold a reserve of at most
     a third of the room, for three of them; it is given back to later stages when they need less."""
     kind = dict(candidates.dtypes)[request]
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         budget = int(rows["budget"].iloc[0])
         room = budget - min(max(budget // 20, 256), 1024)
-        order = sorted(rows.itertuples(index=False), key=lambda r: (r.stage, -(r.score / max(r.tokens, 1)), -r.score, r.tokens, r.candidate))
-        reserve = min(room // 3, sum(sorted(r.tokens for r in order if r.stage == 1)[:3]))
+        order = sorted(rows.itertuples(index=False), key=lambda r: (r.stage, r.support if r.stage == 1 else 0, -(r.score / max(r.tokens, 1)) if r.stage else 0, -r.score, r.tokens, r.candidate))
+        critical = [r for r in order if r.stage == 1 and r.support == 1][:MOST_CRITICAL]
+        share = max(room // 3 // max(len(critical), 1), 1)
+        reserve = min(room // 3, sum(min(r.tokens, share) for r in critical))
         sections, omitted, used, read = [], [], 0, 0
         for r in order:
             free = room - used - (reserve if r.stage == 0 else 0)
@@ -129,7 +167,7 @@ def assemble(candidates: DataFrame, request: str = "request") -> DataFrame:
             text = slice_to_tokens(r.text, free, count_tokens)
             sections.append({"candidate": r.candidate, "stage": STAGES[r.stage], "complete": text == r.text, "text": text})
             used, read = used + count_tokens(text), read + raw
-        package = enforce_ceiling({"sections": sections, "omitted": omitted[:32], "budget": budget, "exact": False}, budget)
+        package = enforce_ceiling({"sections": sections, "omitted": omitted, "budget": budget, "exact": False}, budget)
         shown = json.dumps(package, ensure_ascii=False)
         complete = bool(package["sections"]) and all(x["complete"] for x in package["sections"]) and not package["omitted"]
         return pd.DataFrame([(key[0], count_tokens(shown), complete, shown)], columns=[request, "tokens", "complete", "package"])

@@ -42,9 +42,26 @@ AUTHORITY = {"verified": 380, "external": -220, "ambiguous": -420, "missing": -3
 FALLBACK = ("lexical_fallback", "broad_entry_point")
 FALLBACK_TASK, FALLBACK_PENALTY = 80, 180
 STRONG = ("explicit_focus", "exact_symbol_match", "exact_semantic_match", "framework_operation_match")
-DIRECT = ("direct_callee", "direct_caller", "direct_semantic", "direct_reference", "direct_import", "export_provider", "framework_provider", "event_peer", "callback_peer")
 CRITICAL = ("direct_callee", "direct_caller", "framework_provider", "export_provider", "event_peer", "callback_peer", "impact_direct")
-MOST_ITEMS, MOST_SCORE = 12, 10_000
+SECONDARY = ("direct_reference", "direct_import")
+WEAK = ("lexical_fallback", "broad_entry_point", "weak_exact_match", "direct_reference", "direct_import", "usage_match")
+#: Reasons of one category; every other reason is a category of its own.
+CATEGORIES = {
+    "anchor": ("explicit_focus", "exact_symbol_match", "weak_exact_match", "exact_semantic_match", "framework_operation_match"),
+    "generic_relationship": ("direct_callee", "direct_caller", "direct_reference", "direct_import"),
+    "event_flow": ("event_peer",),
+    "callback_flow": ("callback_peer",),
+    "export_flow": ("export_provider",),
+    "framework_flow": ("framework_provider",),
+    "impact": ("impact_direct", "impact_transitive"),
+    "fallback": ("lexical_fallback", "broad_entry_point"),
+}
+#: Items that count, bounds of a score and of its parts, what focus, a missing symbol and a place are worth.
+MOST_ITEMS, MOST_SCORE, MOST_MORE, MOST_MORE_EACH = 12, 10_000, 900, 300
+MOST_AWAY, MOST_DOUBT, MOST_FALLBACK = 1800, 1800, 900
+FOCUS_FILE, FOCUS_RESOURCE, FOCUS_TARGET, FOCUS_EXPLICIT, NO_SYMBOL, PLACED = 280, 260, 180, 2200, 260, 20
+#: Reasons that make a candidate a support at any distance.
+SUPPORT = ("direct_callee", "direct_caller", "framework_provider", "export_provider", "event_peer", "callback_peer")
 
 
 def lookup(key: Column, table: dict, default=0) -> Column:
@@ -56,15 +73,27 @@ def distance_penalty(d: Column) -> Column:
     return F.when(d <= 0, 0).when(d == 1, 220).otherwise(220 + 300 * (d - 1))
 
 
-def scored_evidence(evidence: DataFrame, task_class: str = "default") -> DataFrame:
-    """Add components and ``value`` to rows of (candidate, reason, authority, distance, dynamic)."""
+def has_any(reasons: Column, names: tuple[str, ...]) -> Column:
+    return F.arrays_overlap(reasons, F.array(*map(F.lit, names)))
+
+
+def scored_evidence(evidence: DataFrame, task_class: str = "default", direction: str = "", included: bool = False) -> DataFrame:
+    """Add components, ``category`` and ``value`` to rows of (candidate, reason, authority, distance, dynamic).
+
+    A trace into its target makes callees mere impact; one out of it callers, unless the task asks to include them."""
     weights = dict(zip(PROFILE_COLUMNS, PROFILES[task_class], strict=True))
+    task = {k: weights.get(v[2], 0) for k, v in REASONS.items()} | dict.fromkeys(FALLBACK, FALLBACK_TASK)
+    if direction == "incoming":
+        task["direct_callee"] = weights["impact"]
+    if direction == "outgoing" and not included:
+        task["direct_caller"] = weights["impact"]
     reason = F.col("reason")
     out = evidence.withColumns(
         {
+            "category": F.coalesce(lookup(reason, {r: c for c, rs in CATEGORIES.items() for r in rs}, None), reason),
             "anchor": lookup(reason, {k: v[0] for k, v in REASONS.items()}),
             "relation": lookup(reason, {k: v[1] for k, v in REASONS.items()}),
-            "task": F.when(reason.isin(*FALLBACK), FALLBACK_TASK).otherwise(lookup(reason, {k: weights.get(v[2], 0) for k, v in REASONS.items()})),
+            "task": lookup(reason, task),
             "trust": lookup(F.col("authority"), AUTHORITY),
             "away": distance_penalty(F.col("distance")),
             "doubt": F.when(F.col("dynamic"), 520).otherwise(0) + F.when(F.col("authority").isin("ambiguous", "missing"), 420).otherwise(0),
@@ -75,26 +104,48 @@ def scored_evidence(evidence: DataFrame, task_class: str = "default") -> DataFra
     return out.withColumn("value", F.greatest(total, F.lit(1)))
 
 
-def candidate_scores(scored: DataFrame) -> DataFrame:
-    """(candidate, score, n_evidence): the best evidence counts in full, a new category a fifth, a repeated one a fiftieth
-    (integer division), twelve items at most; corroboration is bounded per item and in all."""
-    w = Window.partitionBy("candidate").orderBy(F.desc("value"), "reason", "distance", "evidence_id")
-    c = Window.partitionBy("candidate", "reason").orderBy(F.desc("value"), "distance", "evidence_id")
-    rows = scored.withColumn("_n", F.row_number().over(w)).withColumn("_again", F.row_number().over(c)).filter(F.col("_n") <= MOST_ITEMS)
-    part = F.when(F.col("_again") == 1, F.floor(F.col("value") / 5)).otherwise(F.floor(F.col("value") / 50))
-    more = F.when(F.col("_n") == 1, 0).otherwise(F.least(part, F.lit(300)))
-    g = rows.groupBy("candidate").agg(F.max("value").alias("_top"), F.sum(more).alias("_more"), F.count(F.lit(1)).alias("n_evidence"))
-    score = F.least(F.col("_top") + F.least(F.col("_more"), F.lit(900)), F.lit(MOST_SCORE)).cast("long")
-    return g.select("candidate", score.alias("score"), "n_evidence")
+def candidate_scores(scored: DataFrame, facts: DataFrame | None = None, focus_file: str = "", focus_resource: str = "", diverse: bool = False) -> DataFrame:
+    """(candidate, score, n_evidence, reasons, distance) from scored evidence.
+
+    Items count in order of value, twelve at most: the first in full, the first of another category a fifth, others a
+    fiftieth, each part cut to a whole number towards zero; later items also corroborate, within bounds.  ``facts``
+    (candidate, has_symbol, file, resources, targets) adds focus, the lack of a symbol and, for ``diverse`` (broad) tasks,
+    a little for weak candidates with a file; penalties are bounded."""
+    w = Window.partitionBy("candidate").orderBy(F.desc("value"), "reason", "evidence_id")
+    c = Window.partitionBy("candidate", "category").orderBy(F.desc("value"), "reason", "evidence_id")
+    rows = scored.withColumn("_n", F.row_number().over(w)).withColumn("_again", F.row_number().over(c))
+    share = F.when(F.col("_n") == 1, 1).when(F.col("_again") == 1, 5).otherwise(50)
+    counts = F.col("_n") <= MOST_ITEMS
+    part = lambda name: F.sum(F.when(counts, (F.col(name) / share).cast("long")).otherwise(0)).alias(f"_{name}")
+    more = F.when(counts & (F.col("_n") > 1), F.least((F.col("value") / share).cast("long"), F.lit(MOST_MORE_EACH))).otherwise(0)
+    parts = ("anchor", "relation", "task", "trust", "away", "doubt", "fallback")
+    g = rows.groupBy("candidate").agg(
+        *[part(x) for x in parts], F.sum(more).alias("_more"), F.count(F.lit(1)).alias("n_evidence"), F.array_sort(F.collect_set("reason")).alias("reasons"), F.min("distance").alias("distance")
+    )
+    focus, doubt, placed = F.when(F.array_contains("reasons", "explicit_focus"), FOCUS_EXPLICIT).otherwise(0), F.col("_doubt"), F.lit(0)
+    if facts is not None:
+        g = g.join(facts, "candidate", "left")
+        if focus_file:
+            focus = focus + F.when(F.col("file") == focus_file, FOCUS_FILE).otherwise(0)
+        if focus_resource:
+            focus = focus + F.when(F.array_contains("resources", focus_resource), FOCUS_RESOURCE).when(F.array_contains("targets", focus_resource), FOCUS_TARGET).otherwise(0)
+        doubt = doubt + F.when(F.col("has_symbol"), 0).otherwise(NO_SYMBOL)
+        if diverse:
+            weak = has_any(F.col("reasons"), WEAK) & ~has_any(F.col("reasons"), (*STRONG, *SUPPORT))
+            placed = F.when(weak & (F.col("file") != ""), PLACED).otherwise(0)
+    away = F.col("_away") + F.when(F.col("distance") > 1, distance_penalty(F.col("distance")) - distance_penalty(F.lit(1))).otherwise(0)
+    within = lambda x, most: F.greatest(F.least(x, F.lit(most)), F.lit(0))
+    total = F.col("_anchor") + F.col("_relation") + F.col("_task") + F.col("_trust") + focus + within(F.col("_more"), MOST_MORE) + placed
+    total = total - within(away, MOST_AWAY) - within(doubt, MOST_DOUBT) - within(F.col("_fallback"), MOST_FALLBACK)
+    return g.select("candidate", within(total, MOST_SCORE).cast("long").alias("score"), "n_evidence", "reasons", "distance")
 
 
 def tier(reasons: Column, distance: Column, n_evidence: Column, broad: bool) -> Column:
-    has = lambda names: F.arrays_overlap(reasons, F.array(*map(F.lit, names)))
     return (
-        F.when(has(STRONG), "primary")
+        F.when(has_any(reasons, STRONG), "primary")
         .when(F.array_contains(reasons, "weak_exact_match"), "peripheral" if broad else "primary")
-        .when(has(FALLBACK) & (n_evidence <= 2), "peripheral")
-        .when((distance <= 1) | has(DIRECT), "supporting")
+        .when(has_any(reasons, FALLBACK) & (n_evidence <= 2), "peripheral")
+        .when((distance <= 1) | has_any(reasons, SUPPORT), "supporting")
         .otherwise("peripheral")
     )
 
@@ -113,22 +164,23 @@ def diversity_order(candidates: list[dict], most: int) -> list[dict]:
     return first[:most]
 
 
-#: Reasons that an edge gives, by its kind, followed out of a seed and into it.
+#: Reasons that an edge gives, by its kind; a call met from the other end is a caller's.
 EDGE_REASONS = {
-    "calls": ("direct_callee", "direct_caller"),
-    "references": ("direct_reference", "direct_reference"),
-    "imports": ("direct_import", "direct_import"),
-    "cross_resource_export": ("export_provider", "direct_caller"),
-    "provided_by": ("framework_provider", "direct_caller"),
-    "cross_resource_event": ("event_peer", "event_peer"),
-    "cross_resource_callback": ("callback_peer", "callback_peer"),
+    "calls": "direct_callee",
+    "references": "direct_reference",
+    "imports": "direct_import",
+    "cross_resource_event": "event_peer",
+    "cross_resource_callback": "callback_peer",
+    "cross_resource_export": "export_provider",
+    "framework_calls": "framework_provider",
+    "framework_object_call": "framework_provider",
+    "provided_by": "framework_provider",
+    "derived_from": "same_symbol",
 }
 
 
 def edge_reason(kind: Column, outgoing: Column) -> Column:
-    out = lookup(kind, {k: v[0] for k, v in EDGE_REASONS.items()}, "direct_semantic")
-    into = lookup(kind, {k: v[1] for k, v in EDGE_REASONS.items()}, "direct_semantic")
-    return F.when(outgoing, out).otherwise(into)
+    return F.when((kind == "calls") & ~outgoing, "direct_caller").otherwise(lookup(kind, EDGE_REASONS, "direct_semantic"))
 
 
 def relevant(reasons: Column, direction: Column) -> Column:

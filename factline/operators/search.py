@@ -26,14 +26,17 @@ def word_score(text: Column, words: list[str], each: int) -> Column:
 
 
 def symbol_score(query: str) -> Column:
-    """Weighted substring score: the name counts most, then signature, summary and path."""
+    """Weighted substring score: the name counts most, then signature, summary and path; every keyword that holds a word
+    counts three, the docstring one a word."""
     q, words = query.lower(), query_terms(query)
     name, path = F.lower("name"), F.lower("file_path")
     signature, summary = F.lower("signature"), F.lower("summary")
     out = F.when(name == q, 20).when(name.contains(q), 10).otherwise(0) + F.when(path.contains(q), 4).otherwise(0)
     out = out + word_score(name, words, 5) + word_score(path, words, 1)
     out = out + F.when(signature.contains(q), 8).otherwise(0) + word_score(signature, words, 2)
-    return out + F.when(summary.contains(q), 5).otherwise(0) + word_score(summary, words, 1)
+    out = out + F.when(summary.contains(q), 5).otherwise(0) + word_score(summary, words, 1)
+    keywords = F.aggregate(F.transform("keywords", lambda k: word_score(F.lower(k), words, 3)), F.lit(0), lambda a, x: a + x)
+    return out + F.coalesce(keywords, F.lit(0)) + word_score(F.lower(F.coalesce("docstring", F.lit(""))), words, 1)
 
 
 def substring_search(symbols: DataFrame, query: str, k: int) -> DataFrame:
@@ -85,19 +88,18 @@ def fuzzy_search(symbols: DataFrame, query: str, k: int) -> DataFrame:
 def layered_search(symbols: DataFrame, query: str, k: int) -> DataFrame:
     """BM25 first, then substring, then fuzzy; a later layer fills what the earlier ones leave of k, before duplicates go.
 
-    So fewer than k rows can come back.  Each layer is at most k rows, and counts between layers are windows over those."""
+    So fewer than k rows can come back.  A layer is read only if the ones before leave room, and gives at most k rows, so
+    what passes from one to the next is a short list."""
     columns = ["symbol_id", "name", "file_path", "line"]
-    found: DataFrame | None = None
+    found: dict[str, tuple] = {}
     for tier, search in enumerate((bm25, substring_search, fuzzy_search), 1):
-        place = Window.orderBy(F.desc("score"), "file_path", "line", "symbol_id")
-        rows = search(symbols, query, k).select(*columns, F.lit(tier).alias("tier"), F.row_number().over(place).alias("place"))
-        if found is None:
-            found = rows
-            continue
-        left = found.agg((F.lit(k) - F.count(F.lit(1))).alias("_left"))
-        rows = rows.crossJoin(F.broadcast(left)).filter("place <= _left").drop("_left")  # one row
-        found = found.unionByName(rows.join(found.select("symbol_id"), "symbol_id", "left_anti"))
-    return found
+        left = k - len(found)
+        if left <= 0:
+            break
+        for place, r in enumerate(search(symbols, query, left).select(*columns).collect(), 1):
+            found.setdefault(r["symbol_id"], (*r, tier, place))
+    kinds = dict(symbols.dtypes)
+    return symbols.sparkSession.createDataFrame(list(found.values()), ", ".join(f"{c} {kinds[c]}" for c in columns) + ", tier int, place int")
 
 
 def lines(files: DataFrame) -> DataFrame:
@@ -106,10 +108,18 @@ def lines(files: DataFrame) -> DataFrame:
     return out.withColumn("line_no", F.col("_i") + 1).drop("_i")
 
 
+def first_bytes(text: Column, most: int) -> Column:
+    """The whole characters among the first ``most`` bytes; most texts are that many characters or fewer of one byte."""
+    few = F.substring(text, 1, most)
+    sizes = F.transform(F.split(few, ""), lambda c: F.octet_length(c))
+    ends = F.aggregate(sizes, F.struct(F.lit(0).alias("b"), F.lit(0).alias("n")), lambda a, x: F.when(a["b"] + x <= most, F.struct((a["b"] + x).alias("b"), (a["n"] + 1).alias("n"))).otherwise(F.struct(F.lit(most + 1).alias("b"), a["n"].alias("n"))), lambda a: a["n"])
+    return F.when(F.octet_length(few) <= most, few).otherwise(F.substring(few, F.lit(1), ends))
+
+
 def text_search(files: DataFrame, query: str, k: int) -> DataFrame:
-    """First k lines that hold the query, in path order, trimmed and cut to 200 characters."""
+    """First k lines that hold the query, in path order, trimmed and cut to 200 bytes (a character cut in two goes)."""
     hits = lines(files.filter(F.lower("content").contains(query.lower()))).filter(F.lower("line").contains(query.lower()))
-    return hits.orderBy("path", "line_no").limit(k).withColumn("line", F.substring(F.trim("line"), 1, 200))
+    return hits.orderBy("path", "line_no").limit(k).withColumn("line", first_bytes(F.trim("line"), 200))
 
 
 def snippets(files: DataFrame, query: str, context: int) -> DataFrame:

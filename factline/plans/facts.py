@@ -125,9 +125,19 @@ def excluded_files(spark, d):
     return f.select("path", F.coalesce(predicates.exclusion(F.col("path"), F.col("content"), most=20000), F.lit("kept")).alias("reason"))
 
 
-@query("secret_pages", """SELECT page_id, regexp_matches(lower(url), '(token|secret|password|key)') AS secret FROM pages""")
-def secret_pages(spark, d):
-    return corpus.table(spark, d, "pages").select("page_id", F.lower("url").rlike("(token|secret|password|key)").alias("secret"))
+#: Names that files of customers get, by key: some of them secret.
+NAMES = (".env", "server.PEM", "id_rsa.pub", "my_secret_notes.txt", "main.lua", "token.go", "api.token", "service-account-7.json", "environment.env", ".env.local", "keys.md")
+SECRET_SQL = " OR ".join(f"regexp_full_match(name, '{p}')" for p in (
+    r".*\.env", r"\.env\..*", r".*\.pem", r".*\.key", r".*\.p12", r".*\.pfx", r".*\.credentials", r".*\.keystore", r".*\.jks", r".*\.token", ".*secret.*", r"id_rsa(\..*)?", r"id_ed25519(\..*)?",
+    "id_dsa", "id_ecdsa", r"\.htpasswd", r"\.netrc", r"\.npmrc", r"\.pypirc", r"credentials\.json", r"service-account.*\.json", r".*\.secrets"))
+
+
+@query("secret_files", f"""SELECT path, {SECRET_SQL} AS secret FROM (SELECT 'conf/' || c_custkey || '/' || [{", ".join(f"'{n}'" for n in NAMES)}][c_custkey % {len(NAMES)} + 1] AS path, lower([{", ".join(f"'{n}'" for n in NAMES)}][c_custkey % {len(NAMES)} + 1]) AS name FROM customer)""")
+def secret_files(spark, d):
+    """Secret-name patterns on the last part of a path."""
+    name = F.element_at(F.array(*map(F.lit, NAMES)), (F.col("c_custkey") % len(NAMES) + 1).cast("int"))
+    c = corpus.table(spark, d, "customer").select(F.concat_ws("/", F.lit("conf"), F.col("c_custkey").cast("string"), name).alias("path"))
+    return c.select("path", predicates.secret(F.col("path")).alias("secret"))
 
 
 @query("metadata_projection", """SELECT id, coalesce(json_extract_string(metadata, '$.operation'), json_extract_string(metadata, '$.k'), '') AS operation FROM entities WHERE analyzer = 'event'""", "entities")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from factline import corpus
@@ -10,41 +9,54 @@ from factline.catalog import query
 from factline.operators import graph
 
 CLASS = """CASE WHEN kind = 'calls' THEN 0 WHEN kind IN ('triggers', 'handles', 'registers', 'uses_export', 'defines') THEN 1 WHEN kind = 'references' THEN 2 WHEN kind = 'imports' THEN 3 ELSE 4 END"""
-OUT = """walk(node, depth) AS (SELECT '{start}', 0 UNION SELECT e.to_id, w.depth + 1 FROM walk w JOIN edges e ON e.from_id = w.node WHERE w.depth < {depth}),
-    seen AS (SELECT node, min(depth) AS depth FROM walk GROUP BY node)"""
-IN = """walk(node, depth) AS (SELECT '{start}', 0 UNION SELECT e.from_id, w.depth + 1 FROM walk w JOIN edges e ON e.to_id = w.node WHERE w.depth < {depth}),
-    seen AS (SELECT node, min(depth) AS depth FROM walk GROUP BY node)"""
+ENDS = {"outgoing": [("from_id", "to_id")], "incoming": [("to_id", "from_id")], "both": [("from_id", "to_id"), ("to_id", "from_id")]}
 
 
-@query("trace_outgoing", f"WITH {OUT.format(start='o5', depth=2)} SELECT e.edge_id, e.kind, (s.depth + 1)::INT AS depth FROM edges e JOIN seen s ON e.from_id = s.node WHERE s.depth < 2", "edges", recursive=True)
+def walk_sql(start: str, depth: int, direction: str, k: int, kinds: str = "", ranked: bool = False) -> str:
+    """A bounded walk level by level: nodes in the order they are met, k + 1 edges in all, the first k shown."""
+    order = f"{CLASS}, dynamic::INT, confidence DESC, edge_id" if ranked else "edge_id"
+    where = f" WHERE kind IN ({kinds})" if kinds else ""
+    ways = " UNION ALL ".join(f"SELECT *, {near} AS near, {far} AS far FROM edges{where}" for near, far in ENDS[direction])
+    parts, done = [f"ways AS ({ways})", f"f0 AS (SELECT '{start}' AS node, 1 AS pos)"], "SELECT node FROM f0"
+    for n in range(1, depth + 1):
+        parts.append(f"s{n} AS (SELECT w.*, {n} AS depth, row_number() OVER (ORDER BY f.pos, {order}) AS n FROM ways w JOIN f{n - 1} f ON w.near = f.node QUALIFY n <= {k + 1})")
+        parts.append(f"f{n} AS (SELECT far AS node, min(n) AS pos FROM s{n} WHERE far NOT IN ({done}) GROUP BY far)")
+        done += f" UNION ALL SELECT node FROM f{n}"
+    union = " UNION ALL ".join(f"SELECT * FROM s{n}" for n in range(1, depth + 1))
+    parts.append(f"met AS (SELECT *, row_number() OVER (ORDER BY depth, n) AS place, count(*) OVER () > {k} AS truncated FROM ({union}))")
+    return f"WITH {', '.join(parts)}, found AS (SELECT edge_id, from_id, to_id, kind, depth::INT AS depth, place::INT AS place, truncated FROM met WHERE place <= {k}) "
+
+
+SHOWN = ["edge_id", "kind", "depth", "place", "truncated"]
+
+
+@query("trace_outgoing", walk_sql("o5", 2, "outgoing", 50) + "SELECT edge_id, kind, depth, place, truncated FROM found", "edges")
 def trace_outgoing(spark, d):
-    return graph.traverse(corpus.edge_rows(spark, d), ["o5"], 2).select("edge_id", "kind", "depth")
+    return graph.walk(corpus.edges_at(spark, d), ["o5"], 2).select(*SHOWN)
 
 
-@query("trace_incoming", f"WITH {IN.format(start='p7', depth=3)} SELECT e.edge_id, e.kind, (s.depth + 1)::INT AS depth FROM edges e JOIN seen s ON e.to_id = s.node WHERE s.depth < 3", "edges", recursive=True)
+@query("trace_incoming", walk_sql("p7", 3, "incoming", 200) + "SELECT edge_id, kind, depth, place, truncated FROM found", "edges")
 def trace_incoming(spark, d):
-    return graph.traverse(corpus.edge_rows(spark, d), ["p7"], 3, "incoming").select("edge_id", "kind", "depth")
+    return graph.walk(corpus.edges_at(spark, d), ["p7"], 3, "incoming", (), 200).select(*SHOWN)
 
 
-@query("trace_both", """WITH both_ways AS (SELECT edge_id, from_id AS a, to_id AS b FROM edges WHERE kind IN ('calls', 'registers') UNION ALL SELECT edge_id, to_id, from_id FROM edges WHERE kind IN ('calls', 'registers')),
-    walk(node, depth) AS (SELECT 'c3', 0 UNION SELECT e.b, w.depth + 1 FROM walk w JOIN both_ways e ON e.a = w.node WHERE w.depth < 2), seen AS (SELECT node, min(depth) AS depth FROM walk GROUP BY node)
-    SELECT edge_id, (min(depth) + 1)::INT AS depth FROM both_ways JOIN seen ON a = node WHERE depth < 2 GROUP BY edge_id""", "edges", recursive=True)
+@query("trace_both", walk_sql("c3", 2, "both", 50, "'calls', 'registers'") + "SELECT edge_id, kind, depth, place, truncated FROM found", "edges")
 def trace_both(spark, d):
-    return graph.traverse(corpus.edge_rows(spark, d), ["c3"], 2, "both", ("calls", "registers")).select("edge_id", "depth")
+    """A customer's nation is a hub: the walk is cut at 50 edges and says so."""
+    return graph.walk(corpus.edges_at(spark, d), ["c3"], 2, "both", ("calls", "registers"), 50).select(*SHOWN)
 
 
-@query("ranked_trace", f"""WITH {OUT.format(start='o9', depth=2)} SELECT edge_id, (s.depth + 1)::INT AS depth, row_number() OVER (ORDER BY s.depth, {CLASS}, dynamic::INT, confidence DESC, edge_id)::INT AS place
-    FROM edges e JOIN seen s ON e.from_id = s.node WHERE s.depth < 2 QUALIFY place <= 25""", "edges", recursive=True)
+@query("ranked_trace", walk_sql("c9", 3, "outgoing", 25, ranked=True) + "SELECT edge_id, kind, depth, place, truncated FROM found", "edges")
 def ranked_trace(spark, d):
-    return graph.ranked_levels(graph.traverse(corpus.edge_rows(spark, d), ["o9"], 2), 25).select("edge_id", "depth", "place")
+    return graph.walk(corpus.edges_at(spark, d), ["c9"], 3, "outgoing", (), 25, True).select(*SHOWN)
 
 
-@query("impact_analysis", f"""WITH {IN.format(start='p11', depth=2)} SELECT count(*) FILTER (WHERE s.depth = 0)::BIGINT AS n_direct, count(*) FILTER (WHERE s.depth > 0)::BIGINT AS n_transitive, count(DISTINCT from_id)::BIGINT AS n_sources
-    FROM edges e JOIN seen s ON e.to_id = s.node WHERE s.depth < 2 AND kind IN ('calls', 'references')""", "edges", recursive=True)
+@query("impact_analysis", walk_sql("p11", 2, "incoming", 200, "'calls', 'references'", True) + """SELECT count(*) FILTER (WHERE depth = 1)::BIGINT AS n_direct, count(*) FILTER (WHERE depth > 1)::BIGINT AS n_transitive,
+    count(DISTINCT from_id)::BIGINT AS n_sources, coalesce(bool_or(truncated), false) AS truncated FROM found""", "edges")
 def impact_analysis(spark, d):
-    """Edges into a node, direct and transitive; the twin walks all kinds, which meet the same nodes here."""
-    e = graph.traverse(corpus.edge_rows(spark, d), ["p11"], 2, "incoming", ("calls", "references"))
-    return e.agg(F.count_if(F.col("depth") == 1).alias("n_direct"), F.count_if(F.col("depth") > 1).alias("n_transitive"), F.count_distinct("from_id").alias("n_sources"))
+    """Calls and references into a node, direct and transitive."""
+    e = graph.walk(corpus.edges_at(spark, d), ["p11"], 2, "incoming", ("calls", "references"), 200, True)
+    return e.agg(F.count_if(F.col("depth") == 1).alias("n_direct"), F.count_if(F.col("depth") > 1).alias("n_transitive"), F.count_distinct("from_id").alias("n_sources"), F.coalesce(F.bool_or("truncated"), F.lit(False)).alias("truncated"))
 
 
 @query("hydrated_edges", "SELECT e.edge_id, c.c_name AS to_name, n.n_name AS from_name FROM edges e JOIN customer c ON e.to_id = 'c' || c.c_custkey JOIN nation n ON e.from_id = 'n' || n.n_nationkey", "edges")
@@ -55,11 +67,17 @@ def hydrated_edges(spark, d):
     return e.join(c, "to_id").join(n, "from_id").select("edge_id", "to_name", "from_name")
 
 
-@query("multi_seed_expansion", """SELECT seed, edge_id FROM (SELECT o_custkey AS seed, edge_id, row_number() OVER (PARTITION BY o_custkey ORDER BY edge_id) AS r FROM (SELECT DISTINCT o_custkey, e.edge_id FROM orders JOIN edges e ON e.from_id = 'o' || o_orderkey WHERE o_custkey < 32)) WHERE r <= 8""", "edges")
+@query("multi_seed_expansion", f"""WITH ways AS (SELECT *, from_id AS near, to_id AS far FROM edges UNION ALL SELECT *, to_id, from_id FROM edges),
+    f0 AS (SELECT 'c' || c_custkey AS node, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) - 1 AS seed, 1 AS pos FROM customer QUALIFY seed < 32),
+    s1 AS (SELECT w.*, seed, 1 AS depth, row_number() OVER (PARTITION BY seed ORDER BY {CLASS}, dynamic::INT, confidence DESC, edge_id) AS n FROM ways w JOIN f0 ON near = node QUALIFY n <= 101),
+    f1 AS (SELECT seed, far AS node, min(n) AS pos FROM s1 WHERE far NOT IN (SELECT node FROM f0 WHERE f0.seed = s1.seed) GROUP BY seed, far),
+    s2 AS (SELECT w.*, seed, 2 AS depth, row_number() OVER (PARTITION BY seed ORDER BY pos, {CLASS}, dynamic::INT, confidence DESC, edge_id) AS n FROM ways w JOIN f1 ON near = node QUALIFY n <= 101),
+    a AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY depth, n) AS place FROM (SELECT * FROM s1 UNION ALL SELECT * FROM s2) QUALIFY place <= 100)
+    SELECT seed::INT AS seed, place::INT AS place, edge_id, depth::INT AS depth FROM a ORDER BY seed, place LIMIT 256""", "edges")
 def multi_seed_expansion(spark, d):
-    o = corpus.table(spark, d, "orders").filter("o_custkey < 32").select(F.col("o_custkey").alias("seed"), F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("from_id"))
-    hits = corpus.edges(spark, d).join(o, "from_id").select("seed", "edge_id").distinct()
-    return hits.withColumn("r", F.row_number().over(Window.partitionBy("seed").orderBy("edge_id"))).filter("r <= 8").drop("r")
+    """From the 32 customers of most credit, two steps both ways, until 256 edges are met."""
+    best = corpus.table(spark, d, "customer").orderBy(F.desc("c_acctbal"), "c_custkey").limit(graph.MOST_SEEDS).select("c_custkey").collect()
+    return graph.expanded(corpus.edges_at(spark, d), [f"c{r[0]}" for r in best], 2, "both").select("seed", "place", "edge_id", "depth")
 
 
 @query("symbol_forest", """SELECT n_name AS node, 1 AS depth, r_name || '/' || n_name AS path FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT r_name, 0, r_name FROM region

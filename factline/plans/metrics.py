@@ -50,10 +50,16 @@ def group_summaries(spark, d):
     return g.select(F.coalesce("mode", F.lit("")).alias("mode"), F.coalesce("flag", F.lit("")).alias("flag"), "n", "best")
 
 
-@query("acceptance", f"WITH {RESULTS} SELECT count(*) FILTER (WHERE ok)::BIGINT AS accepted, count(*)::BIGINT AS n FROM (SELECT task, bool_and(recall_pct >= 1) AS ok FROM results GROUP BY task)")
+@query("acceptance", f"""WITH {RESULTS}, top AS (SELECT *, max(budget) OVER (PARTITION BY task, repeat) AS most FROM results)
+    SELECT class, count(*) FILTER (WHERE ok)::BIGINT AS accepted, count(*)::BIGINT AS n FROM (SELECT task, CASE task % 13 WHEN 0 THEN 'adversarial' WHEN 1 THEN 'diagnostic' ELSE 'supported' END AS class, bool_and(flag <> 'R' AND recall_pct >= 1) AS ok
+    FROM top WHERE budget = most GROUP BY task) GROUP BY class""")
 def acceptance(spark, d):
-    g = results(spark, d).groupBy("task").agg(F.bool_and(F.col("recall_pct") >= 1).alias("ok"))
-    return g.agg(F.count_if("ok").alias("accepted"), F.count(F.lit(1)).alias("n"))
+    """By class, the tasks all of whose repeats pass at their largest budget; a failed run (flag R) doesn't pass."""
+    w = Window.partitionBy("task", "repeat")
+    top = results(spark, d).withColumn("most", F.max("budget").over(w)).filter(F.col("budget") == F.col("most"))
+    kind = F.when(F.col("task") % 13 == 0, "adversarial").when(F.col("task") % 13 == 1, "diagnostic").otherwise("supported")
+    tasks = top.groupBy("task").agg(F.bool_and((F.col("flag") != "R") & (F.col("recall_pct") >= 1)).alias("ok"))
+    return tasks.groupBy(kind.alias("class")).agg(F.count_if("ok").alias("accepted"), F.count(F.lit(1)).alias("n"))
 
 
 @query("maximum_budget", f"WITH {RESULTS} SELECT task, repeat, budget, tokens FROM results QUALIFY rank() OVER (PARTITION BY task, repeat ORDER BY budget DESC) = 1")
@@ -62,27 +68,44 @@ def maximum_budget(spark, d):
     return results(spark, d).withColumn("r", F.rank().over(w)).filter("r = 1").select("task", "repeat", "budget", "tokens")
 
 
-@query("monotonicity_failures", f"""WITH {RESULTS} SELECT task, count(*) FILTER (WHERE recall_pct < before)::BIGINT AS failures FROM (SELECT task, recall_pct, lag(recall_pct) OVER (PARTITION BY task ORDER BY budget, tokens, recall_pct) AS before FROM results) GROUP BY task""")
+@query("monotonicity_failures", f"""WITH {RESULTS} SELECT task, repeat, count(*) FILTER (WHERE recall_pct < before)::BIGINT AS failures FROM (SELECT task, repeat, recall_pct, lag(recall_pct) OVER (PARTITION BY task, repeat ORDER BY budget, tokens, recall_pct) AS before
+    FROM results WHERE mode = '1-URGENT' AND flag <> 'R') GROUP BY task, repeat""")
 def monotonicity_failures(spark, d):
-    w = Window.partitionBy("task").orderBy("budget", "tokens", "recall_pct")
-    return results(spark, d).withColumn("before", F.lag("recall_pct").over(w)).groupBy("task").agg(F.count_if(F.col("recall_pct") < F.col("before")).alias("failures"))
+    """Drops of recall with budget in one mode, within a task and repeat; failed runs don't count."""
+    runs = results(spark, d).filter((F.col("mode") == "1-URGENT") & (F.col("flag") != "R"))
+    w = Window.partitionBy("task", "repeat").orderBy("budget", "tokens", "recall_pct")
+    return runs.withColumn("before", F.lag("recall_pct").over(w)).groupBy("task", "repeat").agg(F.count_if(F.col("recall_pct") < F.col("before")).alias("failures"))
 
 
-@query("topk_recall", """WITH truth AS (SELECT o_custkey AS task, o_orderkey AS item FROM orders WHERE o_orderpriority = '1-URGENT'),
-    found AS (SELECT o_custkey AS task, o_orderkey AS item, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS place FROM orders)
-    SELECT t.task, round(count(f.item)::DOUBLE / count(*), 6) AS recall FROM truth t LEFT JOIN found f ON t.task = f.task AND t.item = f.item AND f.place <= 5 GROUP BY t.task""")
-def topk_recall(spark, d):
+#: Truth: a task's urgent orders; found: its orders by price.
+FOUND = """truth AS (SELECT o_custkey AS task, o_orderkey AS item FROM orders WHERE o_orderpriority = '1-URGENT'), found AS (SELECT o_custkey AS task, o_orderkey AS item, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS place FROM orders)"""
+
+
+def truth_and_found(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Tasks, items that each needs, and items found by place."""
     o = corpus.table(spark, d, "orders").select(F.col("o_custkey").alias("task"), F.col("o_orderkey").alias("item"), "o_totalprice", "o_orderpriority")
-    found = o.withColumn("place", F.row_number().over(Window.partitionBy("task").orderBy(F.desc("o_totalprice"), "item"))).filter("place <= 5")
-    truth = o.filter("o_orderpriority = '1-URGENT'").select("task", "item")
-    out = truth.join(found.select("task", "item", F.lit(1).alias("hit")), ["task", "item"], "left")
-    return out.groupBy("task").agg(F.round(F.count("hit").cast("double") / F.count(F.lit(1)), 6).alias("recall"))
+    found = o.withColumn("place", F.row_number().over(Window.partitionBy("task").orderBy(F.desc("o_totalprice"), "item"))).select("task", "item", "place")
+    tasks = corpus.table(spark, d, "customer").select(F.col("c_custkey").alias("task"))
+    return tasks, o.filter("o_orderpriority = '1-URGENT'").select("task", "item"), found
+
+
+@query("topk_recall", f"""WITH {FOUND}, t AS (SELECT t.task, count(f.item)::DOUBLE / count(*) AS recall FROM truth t LEFT JOIN found f ON t.task = f.task AND t.item = f.item AND f.place <= 5 GROUP BY t.task)
+    SELECT c_custkey AS task, round(coalesce(recall, 1.0), 6) AS recall FROM customer LEFT JOIN t ON c_custkey = task""")
+def topk_recall(spark, d):
+    """The share of what a task needs among its first five; a task that needs nothing has 1."""
+    tasks, truth, found = truth_and_found(spark, d)
+    hits = truth.join(found.filter("place <= 5").select("task", "item", F.lit(1).alias("hit")), ["task", "item"], "left")
+    recall = hits.groupBy("task").agg((F.count("hit").cast("double") / F.count(F.lit(1))).alias("recall"))
+    return tasks.join(recall, "task", "left").select("task", F.round(F.coalesce("recall", F.lit(1.0)), 6).alias("recall"))
 
 
-@query("precision", "SELECT o_custkey AS task, round(count(*) FILTER (WHERE o_orderstatus = 'F')::DOUBLE / nullif(count(*) FILTER (WHERE o_totalprice > 100000), 0), 6) AS precision FROM orders GROUP BY o_custkey")
+@query("precision", f"""WITH {FOUND} SELECT c_custkey AS task, round(count(t.item)::DOUBLE / nullif(count(f.item), 0), 6) AS precision FROM customer LEFT JOIN found f ON c_custkey = f.task AND f.place <= 5
+    LEFT JOIN truth t ON t.task = f.task AND t.item = f.item GROUP BY c_custkey""")
 def precision(spark, d):
-    g = corpus.table(spark, d, "orders").groupBy(F.col("o_custkey").alias("task"))
-    return g.agg(F.round(F.try_divide(F.count_if(F.col("o_orderstatus") == "F"), F.count_if(F.col("o_totalprice") > 100000)), 6).alias("precision"))
+    """The share of a task's first five that it needs; null where nothing is found."""
+    tasks, truth, found = truth_and_found(spark, d)
+    shown = tasks.join(found.filter("place <= 5"), "task", "left").join(truth.withColumn("hit", F.lit(1)), ["task", "item"], "left")
+    return shown.groupBy("task").agg(F.round(F.try_divide(F.count("hit").cast("double"), F.count("item")), 6).alias("precision"))
 
 
 @query("scored_results", f"WITH {RESULTS} SELECT task, repeat, budget, tokens, CASE WHEN baseline = 0 THEN 0 ELSE round(1 - tokens::DOUBLE / baseline, 6) END AS saving, tokens > baseline AS over FROM results")
@@ -106,12 +129,14 @@ def fingerprints(spark, d):
 
 
 @query("early_stop_totals", f"""WITH {RESULTS}, a AS (SELECT task, budget, repeat, max(tokens) AS t FROM results WHERE flag = 'A' GROUP BY ALL), b AS (SELECT task, budget, repeat, max(tokens) AS t FROM results WHERE flag = 'N' GROUP BY ALL)
-    SELECT count(*)::BIGINT AS pairs, coalesce(sum(greatest(b.t - a.t, 0)), 0)::BIGINT AS avoided FROM a JOIN b USING (task, budget, repeat)""")
+    SELECT c_mktsegment AS category, count(*)::BIGINT AS pairs, sum(greatest(b.t - a.t, 0))::BIGINT AS avoided FROM a JOIN b USING (task, budget, repeat) JOIN customer ON task = c_custkey GROUP BY c_mktsegment""")
 def early_stop_totals(spark, d):
+    """By category of task, what runs that stop early save against those that go on."""
     r = results(spark, d)
     of = lambda flag, name: r.filter(F.col("flag") == flag).groupBy("task", "budget", "repeat").agg(F.max("tokens").alias(name))
-    pairs = of("A", "a").join(of("N", "b"), ["task", "budget", "repeat"])
-    return pairs.agg(F.count(F.lit(1)).alias("pairs"), F.coalesce(F.sum(F.greatest(F.col("b") - F.col("a"), F.lit(0))), F.lit(0)).alias("avoided"))
+    category = corpus.table(spark, d, "customer").select(F.col("c_custkey").alias("task"), F.col("c_mktsegment").alias("category"))
+    pairs = of("A", "a").join(of("N", "b"), ["task", "budget", "repeat"]).join(category, "task")
+    return pairs.groupBy("category").agg(F.count(F.lit(1)).alias("pairs"), F.sum(F.greatest(F.col("b") - F.col("a"), F.lit(0))).alias("avoided"))
 
 
 @query("gate_validation", f"WITH {RESULTS} SELECT avg(recall_pct) >= 5 AS recall_ok, count(*) FILTER (WHERE recall_pct > 10) = 0 AS bounded_ok, count(*) FILTER (WHERE tokens > baseline) = 0 AS budget_ok FROM results")
@@ -119,6 +144,11 @@ def gate_validation(spark, d):
     return results(spark, d).agg((F.avg("recall_pct") >= 5).alias("recall_ok"), (F.count_if(F.col("recall_pct") > 10) == 0).alias("bounded_ok"), (F.count_if(F.col("tokens") > F.col("baseline")) == 0).alias("budget_ok"))
 
 
-@query("determinism", f"WITH {RESULTS} SELECT task, count(DISTINCT mode) > 1 AS varies FROM results GROUP BY task")
+@query("determinism", f"""WITH {RESULTS}, p AS (SELECT task, repeat, sha256(string_agg(mode || ':' || budget || ':' || tokens, '|' ORDER BY mode, budget, tokens)) AS print FROM results GROUP BY ALL)
+    SELECT task, count(*)::BIGINT AS repeats, count(DISTINCT print) > 1 AS varies FROM p GROUP BY task""")
 def determinism(spark, d):
-    return results(spark, d).groupBy("task").agg((F.count_distinct("mode") > 1).alias("varies"))
+    """Whether the repeats of a task differ: the fingerprints of all that each returned, in order."""
+    item = F.struct("mode", "budget", "tokens", F.concat_ws(":", "mode", F.col("budget").cast("string"), F.col("tokens").cast("string")).alias("s"))
+    runs = results(spark, d).groupBy("task", "repeat").agg(F.array_sort(F.collect_list(item)).alias("x"))
+    prints = runs.select("task", F.sha2(F.array_join(F.transform("x", lambda x: x["s"]), "|"), 256).alias("print"))
+    return prints.groupBy("task").agg(F.count(F.lit(1)).alias("repeats"), (F.count_distinct("print") > 1).alias("varies"))

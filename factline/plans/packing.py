@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from factline import corpus
 from factline.catalog import query
 from factline.operators import packing
+from factline.plans.planning import EVIDENCE_SQL, SCORED_SQL, TIER_SQL, candidates
 
 
 def requests(spark, d):
@@ -17,6 +18,7 @@ def requests(spark, d):
         (F.col("l_orderkey") % 7 * 1000 + 512).cast("long").alias("budget"),
         F.concat_ws("-", F.lpad(F.col("l_linenumber").cast("string"), 2, "0"), F.lpad(F.col("l_partkey").cast("string"), 8, "0"), F.lpad(F.col("l_suppkey").cast("string"), 6, "0")).alias("candidate"),
         (F.col("l_partkey") % 4).cast("int").alias("stage"),
+        (F.col("l_partkey") % 3).cast("int").alias("support"),
         F.floor(F.col("l_quantity") * 100).cast("long").alias("score"),
         packing.estimate((F.col("l_suppkey") % 5 * 700).cast("long"), F.col("l_linenumber").cast("long")).alias("tokens"),
     )
@@ -33,9 +35,9 @@ def metadata_reserves(spark, d):
     return requests(spark, d).select("budget", packing.metadata_reserve(F.col("budget")).alias("reserve")).distinct()
 
 
-PACK_SQL = """WITH RECURSIVE q AS (SELECT l_orderkey AS request, l_orderkey % 7 * 1000 + 512 AS budget, lpad(l_linenumber::VARCHAR, 2, '0') || '-' || lpad(l_partkey::VARCHAR, 8, '0') || '-' || lpad(l_suppkey::VARCHAR, 6, '0') AS candidate, (l_partkey % 4)::INT AS stage,
+PACK_SQL = """WITH RECURSIVE q AS (SELECT l_orderkey AS request, l_orderkey % 7 * 1000 + 512 AS budget, lpad(l_linenumber::VARCHAR, 2, '0') || '-' || lpad(l_partkey::VARCHAR, 8, '0') || '-' || lpad(l_suppkey::VARCHAR, 6, '0') AS candidate, (l_partkey % 4)::INT AS stage, (l_partkey % 3)::INT AS support,
     floor(l_quantity * 100)::BIGINT AS score, CASE WHEN l_suppkey % 5 * 700 > 0 THEN ceil(l_suppkey % 5 * 700 / 4.0)::BIGINT + 24 WHEN l_linenumber > 0 THEN l_linenumber * 5 + 24 ELSE 128 END::BIGINT AS tokens FROM lineitem),
-  o AS (SELECT *, row_number() OVER (PARTITION BY request ORDER BY stage, score / tokens::DOUBLE DESC, score DESC, tokens, candidate) AS place, budget - least(greatest(budget // 20, 256), 1024) AS room FROM q),
+  o AS (SELECT *, row_number() OVER (PARTITION BY request ORDER BY stage, CASE stage WHEN 1 THEN support ELSE 0 END, CASE WHEN stage > 0 THEN score / tokens::DOUBLE ELSE 0 END DESC, score DESC, tokens, candidate) AS place, budget - least(greatest(budget // 20, 256), 1024) AS room FROM q),
   p AS (SELECT request, place, candidate, stage, room - 0 >= 24 AND tokens <= room AS taken, CASE WHEN room >= 24 AND tokens <= room THEN tokens ELSE 0 END AS used FROM o WHERE place = 1
     UNION ALL SELECT o.request, o.place, o.candidate, o.stage, room - p.used >= 24 AND tokens <= room - p.used, p.used + CASE WHEN room - p.used >= 24 AND tokens <= room - p.used THEN tokens ELSE 0 END FROM p JOIN o ON o.request = p.request AND o.place = p.place + 1)
   SELECT request, place::INT AS place, candidate, stage, taken, used::BIGINT AS used FROM p"""
@@ -104,6 +106,7 @@ def assembled_packages(spark, d):
         F.lit(4000).cast("long").alias("budget"),
         F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("candidate"),
         (F.col("doc_id") % 4).cast("int").alias("stage"),
+        (F.col("doc_id") % 3).cast("int").alias("support"),
         (F.col("n_chars") % 1000).alias("score"),
         packing.estimate(F.octet_length("text").cast("long"), F.lit(0)).alias("tokens"),
         "text",
@@ -111,24 +114,20 @@ def assembled_packages(spark, d):
     return packing.assemble(rows)
 
 
-@query("pack_stages", """SELECT candidate, CASE WHEN tier = 'primary' THEN 0 WHEN direct THEN 1 WHEN tier = 'supporting' THEN 2 ELSE 3 END AS stage FROM (SELECT l_partkey AS candidate,
-    CASE WHEN max(l_quantity) > 49 THEN 'primary' WHEN max(l_quantity) > 45 THEN 'supporting' ELSE 'peripheral' END AS tier, bool_or(l_linenumber = 7) AS direct FROM lineitem GROUP BY l_partkey)""")
+@query("pack_stages", f"WITH {EVIDENCE_SQL}, {SCORED_SQL}, {TIER_SQL} " """SELECT candidate, CASE WHEN tier = 'primary' THEN 0 WHEN list_has_any(reasons, ['direct_callee', 'direct_caller', 'framework_provider', 'export_provider', 'event_peer', 'callback_peer', 'direct_reference', 'direct_import', 'impact_direct']) THEN 1 WHEN tier = 'supporting' THEN 2 ELSE 3 END AS stage,
+    CASE WHEN list_has_any(reasons, ['direct_callee', 'direct_caller', 'framework_provider', 'export_provider', 'event_peer', 'callback_peer', 'impact_direct']) THEN 1 WHEN list_has_any(reasons, ['direct_reference', 'direct_import']) THEN 2 ELSE 0 END AS support FROM tr""")
 def pack_stages(spark, d):
-    g = corpus.table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("candidate"))
-    tier = F.when(F.max("l_quantity") > 49, "primary").when(F.max("l_quantity") > 45, "supporting").otherwise("peripheral")
-    reasons = F.collect_set(F.when(F.col("l_linenumber") == 7, "direct_callee").otherwise("usage_match"))
-    return g.agg(tier.alias("tier"), reasons.alias("reasons")).select("candidate", packing.stage(F.col("tier"), F.col("reasons")).alias("stage"))
+    reasons = F.col("reasons")
+    return candidates(spark, d).select("candidate", packing.stage(F.col("tier"), reasons).alias("stage"), packing.support_class(reasons).alias("support"))
 
 
-@query("support_reserves", """WITH q AS (SELECT l_orderkey AS request, l_orderkey % 7 * 1000 + 512 AS budget, (l_partkey % 4)::INT AS stage, CASE WHEN l_suppkey % 5 * 700 > 0 THEN ceil(l_suppkey % 5 * 700 / 4.0)::BIGINT + 24 WHEN l_linenumber > 0 THEN l_linenumber * 5 + 24 ELSE 128 END::BIGINT AS tokens FROM lineitem),
-    r AS (SELECT *, row_number() OVER (PARTITION BY request ORDER BY tokens) AS n FROM q WHERE stage = 1)
-    SELECT request, least(sum(tokens) FILTER (WHERE n <= 3), max(budget - least(greatest(budget // 20, 256), 1024)) // 3)::BIGINT AS reserve FROM r GROUP BY request""")
+@query("support_reserves", """WITH q AS (SELECT l_orderkey AS request, l_orderkey % 7 * 1000 + 512 AS budget, lpad(l_linenumber::VARCHAR, 2, '0') || '-' || lpad(l_partkey::VARCHAR, 8, '0') || '-' || lpad(l_suppkey::VARCHAR, 6, '0') AS candidate, floor(l_quantity * 100)::BIGINT AS score,
+    CASE WHEN l_suppkey % 5 * 700 > 0 THEN ceil(l_suppkey % 5 * 700 / 4.0)::BIGINT + 24 WHEN l_linenumber > 0 THEN l_linenumber * 5 + 24 ELSE 128 END::BIGINT AS tokens FROM lineitem WHERE l_partkey % 4 = 1 AND l_partkey % 3 = 1),
+    r AS (SELECT *, (budget - least(greatest(budget // 20, 256), 1024)) // 3 AS third FROM q QUALIFY row_number() OVER (PARTITION BY request ORDER BY score / tokens::DOUBLE DESC, score DESC, tokens, candidate) <= 3),
+    a AS (SELECT *, least(tokens, greatest(1, third // count(*) OVER (PARTITION BY request)))::BIGINT AS allocation FROM r)
+    SELECT request, candidate, allocation, least(sum(allocation) OVER (PARTITION BY request), third)::BIGINT AS reserve FROM a""")
 def support_reserves(spark, d):
-    """Room held back for critical supports: three at most, a third of what is usable at most."""
-    g = requests(spark, d).filter("stage = 1").groupBy("request", "budget").agg(F.sort_array(F.collect_list("tokens")).alias("t"))
-    wanted = F.aggregate(F.slice("t", 1, 3), F.lit(0).cast("long"), lambda a, x: a + x)
-    usable = F.floor((F.col("budget") - packing.metadata_reserve(F.col("budget"))) / 3)
-    return g.select("request", F.least(wanted, usable).cast("long").alias("reserve"))
+    return packing.reserves(requests(spark, d))
 
 
 @query("limited_anchors", "SELECT name, symbol_id FROM (SELECT name, symbol_id, row_number() OVER (PARTITION BY name ORDER BY file_path, line, symbol_id) AS n FROM symbols) WHERE n <= 3", "symbols")

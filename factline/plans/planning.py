@@ -27,7 +27,8 @@ BROAD = (
     "architecture", "system", "subsystem", "whole", "overall", "review", "audit", "redesign", "migration", "arsitektur", "sistem",
     "keseluruhan", "redesain", "migrasi",
 )
-TERM = r"[A-Za-z_][A-Za-z0-9_.]*"
+TERM = r"[A-Za-z_][A-Za-z0-9_:./\[\]-]*"
+QUOTES = r""""([^"]+)"|'([^']+)'|`([^`]+)`"""
 MOST_TERMS = 32
 
 
@@ -60,14 +61,16 @@ def confidence(text: Column) -> Column:
 
 
 def task_terms(text: Column, most: int = MOST_TERMS) -> Column:
-    """Distinct identifier-like terms of three characters or more that are no stopwords, the first ``most``."""
+    """Distinct terms, the first ``most``: what is quoted, then identifiers of three characters or more that are no
+    stopwords; an identifier may hold path and index punctuation."""
     kept = F.filter(_words(text), lambda x: (F.length(x) >= 3) & ~F.lower(x).isin(*STOPWORDS))
-    return F.slice(F.array_distinct(kept), 1, most)
+    return F.slice(F.array_distinct(F.concat(quoted(text), kept)), 1, most)
 
 
 def quoted(text: Column) -> Column:
-    """Identifiers in quotes or backticks."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit("[`'\"]([^`'\"\n]+)[`'\"]"), F.lit(1)))
+    """What stands between two equal quotes or backticks."""
+    spans = F.regexp_extract_all(text, F.lit(QUOTES), F.lit(0))
+    return F.array_distinct(F.transform(spans, lambda x: F.substring(x, F.lit(2), F.length(x) - 2)))
 
 
 def strong_terms(text: Column) -> Column:
@@ -93,37 +96,56 @@ def evidence(spark, d) -> DataFrame:
 _names = ", ".join(f"'{r}'" for r in ranking.REASONS)
 _cases = lambda k: " ".join(f"WHEN '{r}' THEN {k(v)}" for r, v in ranking.REASONS.items())
 _profile = dict(zip(ranking.PROFILE_COLUMNS, ranking.PROFILES["localized_change"], strict=True))
+FALLBACK_SQL = "reason IN ('lexical_fallback', 'broad_entry_point')"
 EVIDENCE_SQL = f"""ev AS (SELECT l_partkey AS candidate, l_orderkey || '-' || l_linenumber || '-' || l_suppkey || '-' || l_extendedprice::DECIMAL(18,2) AS evidence_id, [{_names}][l_quantity::INT % {len(ranking.REASONS)} + 1] AS reason,
     CASE WHEN l_returnflag = 'A' THEN 'verified' WHEN l_returnflag = 'R' THEN 'ambiguous' WHEN l_linestatus = 'O' THEN 'external' ELSE '' END AS authority, l_linenumber % 4 AS distance, l_quantity::INT > 45 AS dynamic FROM lineitem),
-  sc AS (SELECT *, greatest(1, CASE reason {_cases(lambda v: v[0] + v[1])} END + CASE WHEN reason IN ('lexical_fallback', 'broad_entry_point') THEN -100 ELSE CASE reason {_cases(lambda v: _profile.get(v[2], 0))} END END
-    + CASE authority WHEN 'verified' THEN 380 WHEN 'ambiguous' THEN -840 WHEN 'external' THEN -220 ELSE 0 END - CASE WHEN distance <= 0 THEN 0 WHEN distance = 1 THEN 220 ELSE 220 + 300 * (distance - 1) END - CASE WHEN dynamic THEN 520 ELSE 0 END) AS value FROM ev)"""
-SCORED_SQL = """rk AS (SELECT *, row_number() OVER (PARTITION BY candidate ORDER BY value DESC, reason, distance, evidence_id) AS n, row_number() OVER (PARTITION BY candidate, reason ORDER BY value DESC, distance, evidence_id) AS again FROM sc),
-  cs AS (SELECT candidate, least(max(value) + least(sum(CASE WHEN n = 1 THEN 0 ELSE least(CASE WHEN again = 1 THEN value // 5 ELSE value // 50 END, 300) END), 900), 10000)::BIGINT AS score, count(*)::BIGINT AS n_evidence FROM rk WHERE n <= 12 GROUP BY candidate)"""
+  pt AS (SELECT *, CASE reason {_cases(lambda v: v[0])} END AS anchor, CASE reason {_cases(lambda v: v[1])} END AS relation,
+    CASE WHEN {FALLBACK_SQL} THEN 80 WHEN reason = 'direct_callee' THEN {_profile["impact"]} ELSE CASE reason {_cases(lambda v: _profile.get(v[2], 0))} END END AS task,
+    CASE authority WHEN 'verified' THEN 380 WHEN 'external' THEN -220 WHEN 'ambiguous' THEN -420 ELSE 0 END AS trust,
+    CASE WHEN distance <= 0 THEN 0 WHEN distance = 1 THEN 220 ELSE 220 + 300 * (distance - 1) END AS away,
+    CASE WHEN dynamic THEN 520 ELSE 0 END + CASE WHEN authority = 'ambiguous' THEN 420 ELSE 0 END AS doubt, CASE WHEN {FALLBACK_SQL} THEN 180 ELSE 0 END AS fallback,
+    CASE WHEN reason IN ('explicit_focus', 'exact_symbol_match', 'weak_exact_match', 'exact_semantic_match', 'framework_operation_match') THEN 'anchor' WHEN reason IN ('direct_callee', 'direct_caller', 'direct_reference', 'direct_import') THEN 'relationship'
+      WHEN reason IN ('impact_direct', 'impact_transitive') THEN 'impact' WHEN {FALLBACK_SQL} THEN 'fallback' ELSE reason END AS category FROM ev),
+  sc AS (SELECT *, greatest(1, anchor + relation + task + trust - away - doubt - fallback) AS value FROM pt)"""
+FOCUS_FILE, FOCUS_RESOURCE = "Brand#8/PROMO", "Brand#3"
+_sum = lambda c: f"sum(CASE WHEN n <= 12 THEN trunc({c} / den) ELSE 0 END)"
+SCORED_SQL = f"""rk AS (SELECT *, CASE WHEN n = 1 THEN 1.0 WHEN again = 1 THEN 5.0 ELSE 50.0 END AS den FROM (SELECT *, row_number() OVER (PARTITION BY candidate ORDER BY value DESC, reason, evidence_id) AS n,
+    row_number() OVER (PARTITION BY candidate, category ORDER BY value DESC, reason, evidence_id) AS again FROM sc)),
+  gr AS (SELECT candidate, list_distinct(list(reason)) AS reasons, min(distance) AS distance, count(*)::BIGINT AS n_evidence, {_sum("anchor")} + {_sum("relation")} + {_sum("task")} + {_sum("trust")} AS good,
+    least(sum(CASE WHEN n BETWEEN 2 AND 12 THEN least(trunc(value / den), 300) ELSE 0 END), 900) AS more, {_sum("away")} AS away, {_sum("doubt")} AS doubt, {_sum("fallback")} AS fallback FROM rk GROUP BY candidate),
+  cs AS (SELECT candidate, reasons, distance, n_evidence, p_brand || '/' || p_type AS file, greatest(0, least(10000, good + more + CASE WHEN list_contains(reasons, 'explicit_focus') THEN 2200 ELSE 0 END + CASE WHEN p_brand || '/' || p_type = '{FOCUS_FILE}' THEN 280 ELSE 0 END
+    + CASE WHEN p_brand = '{FOCUS_RESOURCE}' THEN 260 WHEN 'Brand#' || p_size % 9 = '{FOCUS_RESOURCE}' THEN 180 ELSE 0 END
+    - least(1800, away + CASE distance WHEN 2 THEN 300 WHEN 3 THEN 600 ELSE 0 END) - least(1800, doubt + CASE WHEN p_size % 9 = 0 THEN 260 ELSE 0 END) - least(900, fallback)))::BIGINT AS score
+    FROM gr JOIN part ON candidate = p_partkey)"""
 
 
 @query("evidence_scores", f"WITH {EVIDENCE_SQL} SELECT evidence_id, candidate, value::INT AS value FROM sc")
 def evidence_scores(spark, d):
-    return ranking.scored_evidence(evidence(spark, d), "localized_change").select("evidence_id", "candidate", F.col("value").cast("int").alias("value"))
+    return scored(spark, d).select("evidence_id", "candidate", F.col("value").cast("int").alias("value"))
 
 
 @query("candidate_scores", f"WITH {EVIDENCE_SQL}, {SCORED_SQL} SELECT candidate, score, n_evidence FROM cs")
 def candidate_scores(spark, d):
-    return ranking.candidate_scores(ranking.scored_evidence(evidence(spark, d), "localized_change"))
+    return candidates(spark, d).select("candidate", "score", "n_evidence")
+
+
+def scored(spark, d) -> DataFrame:
+    """Evidence of a change whose trace leads into its target."""
+    return ranking.scored_evidence(evidence(spark, d), "localized_change", "incoming")
 
 
 def candidates(spark, d) -> DataFrame:
-    e = evidence(spark, d)
-    scored = ranking.candidate_scores(ranking.scored_evidence(e, "localized_change"))
-    facts = e.groupBy("candidate").agg(F.array_sort(F.collect_set("reason")).alias("reasons"), F.min("distance").alias("distance"))
-    out = scored.join(facts, "candidate")
+    file = F.concat_ws("/", "p_brand", "p_type").alias("file")
+    targets = F.array(F.concat(F.lit("Brand#"), (F.col("p_size") % 9).cast("string"))).alias("targets")
+    facts = corpus.table(spark, d, "part").select(F.col("p_partkey").alias("candidate"), (F.col("p_size") % 9 != 0).alias("has_symbol"), file, F.array("p_brand").alias("resources"), targets)
+    out = ranking.candidate_scores(scored(spark, d), facts, FOCUS_FILE, FOCUS_RESOURCE).join(facts.select("candidate", "file"), "candidate")
     return out.withColumn("tier", ranking.tier(F.col("reasons"), F.col("distance"), F.col("n_evidence"), broad=False))
 
 
-TIER_SQL = """ft AS (SELECT candidate, list_distinct(list(reason)) AS reasons, min(distance) AS distance FROM ev GROUP BY candidate),
-  tr AS (SELECT cs.*, ft.reasons, ft.distance, CASE WHEN list_has_any(reasons, ['explicit_focus', 'exact_symbol_match', 'exact_semantic_match', 'framework_operation_match']) THEN 'primary' WHEN list_contains(reasons, 'weak_exact_match') THEN 'primary'
+TIER_SQL = """tr AS (SELECT *, CASE WHEN list_has_any(reasons, ['explicit_focus', 'exact_symbol_match', 'exact_semantic_match', 'framework_operation_match', 'weak_exact_match']) THEN 'primary'
     WHEN list_has_any(reasons, ['lexical_fallback', 'broad_entry_point']) AND n_evidence <= 2 THEN 'peripheral'
-    WHEN distance <= 1 OR list_has_any(reasons, ['direct_callee', 'direct_caller', 'direct_semantic', 'direct_reference', 'direct_import', 'export_provider', 'framework_provider', 'event_peer', 'callback_peer']) THEN 'supporting' ELSE 'peripheral' END AS tier
-    FROM cs JOIN ft USING (candidate))"""
+    WHEN distance <= 1 OR list_has_any(reasons, ['direct_callee', 'direct_caller', 'framework_provider', 'export_provider', 'event_peer', 'callback_peer']) THEN 'supporting' ELSE 'peripheral' END AS tier,
+    list_contains(reasons, 'explicit_focus') AS focus FROM cs)"""
 
 
 @query("candidate_tiers", f"WITH {EVIDENCE_SQL}, {SCORED_SQL}, {TIER_SQL} SELECT candidate, score, tier FROM tr")
@@ -134,14 +156,14 @@ def candidate_tiers(spark, d):
 RANK_SQL = "CASE tier WHEN 'primary' THEN 0 WHEN 'supporting' THEN 1 ELSE 2 END"
 
 
-@query("plan_context", f"WITH {EVIDENCE_SQL}, {SCORED_SQL}, {TIER_SQL} SELECT candidate, score, tier, row_number() OVER (ORDER BY {RANK_SQL}, score DESC, candidate)::INT AS place, true AS truncated FROM tr QUALIFY place <= 100")
+@query("plan_context", f"WITH {EVIDENCE_SQL}, {SCORED_SQL}, {TIER_SQL} SELECT candidate, score, tier, row_number() OVER (ORDER BY focus DESC, {RANK_SQL}, score DESC, file, candidate)::INT AS place, true AS truncated FROM tr QUALIFY place <= 100")
 def plan_context(spark, d):
+    """The first hundred candidates: explicit focus, tier, score, file, line (a part's number is its line and id)."""
     rank = F.when(F.col("tier") == "primary", 0).when(F.col("tier") == "supporting", 1).otherwise(2)
-    order = [rank, F.desc("score"), "candidate"]
-    best = candidates(spark, d).select("candidate", "score", "tier").orderBy(*order).limit(101)
-    w = Window.orderBy(*order)
-    best = best.withColumn("place", F.row_number().over(w)).withColumn("truncated", F.count(F.lit(1)).over(Window.partitionBy()) > 100)
-    return best.filter("place <= 100")
+    order = [F.array_contains("reasons", "explicit_focus").desc(), rank, F.desc("score"), "file", "candidate"]
+    best = candidates(spark, d).orderBy(*order).limit(101)
+    best = best.withColumn("place", F.row_number().over(Window.orderBy(*order))).withColumn("truncated", F.count(F.lit(1)).over(Window.partitionBy()) > 100)
+    return best.filter("place <= 100").select("candidate", "score", "tier", "place", "truncated")
 
 
 @query("seed_collection", """SELECT l_partkey AS anchor, min(l_linenumber)::INT AS priority, arg_max(l_orderkey, (l_quantity, -l_orderkey, -l_linenumber)) AS best, count(DISTINCT l_suppkey)::BIGINT AS alternates FROM lineitem GROUP BY l_partkey""")
@@ -195,10 +217,10 @@ def relevant_candidates(spark, d):
     return r.select("candidate", ranking.relevant(F.col("reasons"), F.lit("incoming")).alias("incoming"), ranking.relevant(F.col("reasons"), F.lit("outgoing")).alias("outgoing"))
 
 
-@query("limited_evidence", f"WITH {EVIDENCE_SQL} SELECT candidate, evidence_id FROM (SELECT candidate, evidence_id, row_number() OVER (PARTITION BY candidate ORDER BY value DESC, reason, distance, evidence_id) AS n FROM sc) WHERE n <= 5")
+@query("limited_evidence", f"WITH {EVIDENCE_SQL} SELECT candidate, evidence_id FROM (SELECT candidate, evidence_id, row_number() OVER (PARTITION BY candidate ORDER BY value DESC, reason, evidence_id) AS n FROM sc) WHERE n <= 5")
 def limited_evidence(spark, d):
-    w = Window.partitionBy("candidate").orderBy(F.desc("value"), "reason", "distance", "evidence_id")
-    e = ranking.scored_evidence(evidence(spark, d), "localized_change").withColumn("n", F.row_number().over(w))
+    w = Window.partitionBy("candidate").orderBy(F.desc("value"), "reason", "evidence_id")
+    e = scored(spark, d).withColumn("n", F.row_number().over(w))
     return e.filter("n <= 5").select("candidate", "evidence_id")
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factline import corpus
@@ -13,15 +15,21 @@ from factline.operators import search
 SCORE = """(CASE WHEN lower(name) = '{q}' THEN 20 WHEN lower(name) LIKE '%{q}%' THEN 10 ELSE 0 END + CASE WHEN lower(file_path) LIKE '%{q}%' THEN 4 ELSE 0 END
   + CASE WHEN lower(signature) LIKE '%{q}%' THEN 8 ELSE 0 END + CASE WHEN lower(summary) LIKE '%{q}%' THEN 5 ELSE 0 END {words})""".replace("{q}", "cold widget")
 SCORE = SCORE.replace("{words}", " ".join(
-    f"+ CASE WHEN lower({c}) LIKE '%{w}%' THEN {n} ELSE 0 END" for w in ("cold", "widget") for c, n in (("name", 5), ("file_path", 1), ("signature", 2), ("summary", 1))
-))
-TERMS = ("cold", "widget")
+    f"+ CASE WHEN lower({c}) LIKE '%{w}%' THEN {n} ELSE 0 END" for w in ("cold", "widget") for c, n in (("name", 5), ("file_path", 1), ("signature", 2), ("summary", 1), ("docstring", 1))
+) + " + 3 * (len(list_filter(keywords, lambda x: contains(lower(x), 'cold'))) + len(list_filter(keywords, lambda x: contains(lower(x), 'widget'))))")
 LENGTH = " + ".join(f"{w} * len(list_filter(string_split_regex(lower({c}), '[^0-9A-Za-z]+'), lambda x: x <> ''))" for c, w in search.COLUMN_WEIGHTS.items())
-TF = {t: " + ".join(f"{w} * len(list_filter(string_split_regex(lower({c}), '[^0-9A-Za-z]+'), lambda x: x = '{t}'))" for c, w in search.COLUMN_WEIGHTS.items()) for t in TERMS}
-BM25 = f"""bm AS (SELECT symbol_id, name, file_path, line, round({" + ".join(f"ln(1 + (n - df_{t} + 0.5) / (df_{t} + 0.5)) * tf_{t} * 2.2 / (tf_{t} + 1.2 * (0.25 + 0.75 * l / a))" for t in TERMS)}, 6) AS score
-  FROM (SELECT *, {TF["cold"]} AS tf_cold, {TF["widget"]} AS tf_widget, {LENGTH} AS l FROM symbols)
-  CROSS JOIN (SELECT count(*)::DOUBLE AS n, avg(l) AS a, count(*) FILTER (WHERE c > 0)::DOUBLE AS df_cold, count(*) FILTER (WHERE w > 0)::DOUBLE AS df_widget
-    FROM (SELECT ({LENGTH})::DOUBLE AS l, {TF["cold"]} AS c, {TF["widget"]} AS w FROM symbols)) WHERE tf_cold > 0 OR tf_widget > 0)"""
+
+
+def bm25_sql(terms: tuple[str, ...], test: str = "x = '{t}'") -> str:
+    """A common table expression ``bm``: the rows that hold a term, with their scores."""
+    tf = {t: " + ".join(f"{w} * len(list_filter(string_split_regex(lower({c}), '[^0-9A-Za-z]+'), lambda x: {test.format(t=t)}))" for c, w in search.COLUMN_WEIGHTS.items()) for t in terms}
+    score = " + ".join(f"ln(1 + (n - df_{t} + 0.5) / (df_{t} + 0.5)) * tf_{t} * 2.2 / (tf_{t} + 1.2 * (0.25 + 0.75 * l / a))" for t in terms)
+    return f"""counted AS (SELECT *, {", ".join(f"{tf[t]} AS tf_{t}" for t in terms)}, ({LENGTH})::DOUBLE AS l FROM symbols),
+      bm AS (SELECT symbol_id, name, file_path, line, round({score}, 6) AS score FROM counted
+      CROSS JOIN (SELECT count(*)::DOUBLE AS n, avg(l) AS a, {", ".join(f"count(*) FILTER (WHERE tf_{t} > 0)::DOUBLE AS df_{t}" for t in terms)} FROM counted) WHERE {" OR ".join(f"tf_{t} > 0" for t in terms)})"""
+
+
+BM25 = bm25_sql(("cold", "widget"))
 
 
 @query("weighted_search", f"SELECT symbol_id, score FROM (SELECT *, {SCORE} AS score FROM symbols) WHERE score > 0 ORDER BY score DESC, file_path, line, symbol_id LIMIT 20", "symbols")
@@ -34,9 +42,9 @@ def bm25_search(spark, d):
     return search.bm25(corpus.symbols(spark, d), "cold widget", 20).select("symbol_id", "score")
 
 
-@query("prefix_search", """SELECT symbol_id FROM symbols WHERE len(list_filter(string_split_regex(lower(name || ' ' || qualified_name || ' ' || signature || ' ' || summary || ' ' || file_path), '[^0-9A-Za-z]+'), lambda x: starts_with(x, 'widg'))) > 0""", "symbols")
+@query("prefix_search", f"WITH {bm25_sql(('widg',), "starts_with(x, '{t}')")} SELECT symbol_id, score FROM bm ORDER BY score DESC, file_path, line, symbol_id LIMIT 50", "symbols")
 def prefix_search(spark, d):
-    return search.bm25(corpus.symbols(spark, d), "widg", 2**31 - 2, prefix=True).select("symbol_id")
+    return search.bm25(corpus.symbols(spark, d), "widg", 50, prefix=True).select("symbol_id", "score")
 
 
 @query("fuzzy_search", """SELECT symbol_id, levenshtein(lower(name), 'cold widgt')::INT AS distance, round((2 - levenshtein(lower(name), 'cold widgt') + 1) / 3 * 5, 6) AS score
@@ -62,13 +70,17 @@ def layered_search(spark, d):
     return search.layered_search(corpus.symbols(spark, d), "cold widget", 500).select("symbol_id", "tier", "place")
 
 
-@query("substring_filter", "SELECT symbol_id FROM symbols WHERE lower(name) LIKE '%widget%' OR lower(signature) LIKE '%widget%' OR lower(file_path) LIKE '%widget%'", "symbols")
+SUBSTRING_COLUMNS = ("name", "qualified_name", "signature", "summary", "docstring", "file_path")
+
+
+@query("substring_filter", "SELECT symbol_id FROM symbols WHERE " + " OR ".join(f"lower({c}) LIKE '%widget%'" for c in SUBSTRING_COLUMNS) + " ORDER BY file_path, line, symbol_id LIMIT 256", "symbols")
 def substring_filter(spark, d):
-    has = lambda c: F.lower(c).contains("widget")
-    return corpus.symbols(spark, d).filter(has("name") | has("signature") | has("file_path")).select("symbol_id")
+    """The substring layer's rows before they are scored: the first 256 by place."""
+    held = reduce(lambda a, b: a | b, [F.coalesce(F.lower(c).contains("widget"), F.lit(False)) for c in SUBSTRING_COLUMNS])
+    return corpus.symbols(spark, d).filter(held).orderBy("file_path", "line", "symbol_id").limit(256).select("symbol_id")
 
 
-@query("text_search", r"""SELECT path, line_no::INT AS line_no, substr(trim(line), 1, 200) AS line FROM (SELECT path, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS line_no FROM files)
+@query("text_search", r"""SELECT path, line_no::INT AS line_no, left(trim(line), 200) AS line FROM (SELECT path, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS line_no FROM files)
     WHERE lower(line) LIKE '%licensed under%' ORDER BY path, line_no LIMIT 100""", "files")
 def text_search(spark, d):
     return search.text_search(corpus.files(spark, d), "licensed under", 100).select("path", "line_no", "line")
@@ -102,19 +114,41 @@ def resource_symbols(spark, d):
     return s.join(F.broadcast(owners), "file_path").select("symbol_id")
 
 
+BLOCK = 1000
+
+
 @query("benchmark_hits", "SELECT item_id, count(*)::BIGINT AS n FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY item_id")
 def benchmark_hits(spark, d):
-    """Documents that hold a benchmark text: a shared line of it is an equi-join, containment then decides."""
-    items = corpus.table(spark, d, "benchmark").select("item_id", F.col("text").alias("wanted"))
-    # words two to four of an item are whole words wherever it stands in a document: they find candidates by equality
-    head = lambda c: F.array_join(F.slice(F.split(c, r"\s+"), 2, 3), " ")
-    items = items.withColumn("key", head("wanted"))
     docs = corpus.table(spark, d, "documents").select("doc_id", "text")
-    w = F.split("text", r"\s+")
-    runs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 2, F.lit(1))), lambda i: F.array_join(F.slice(w, i, 3), " ")))
-    pairs = docs.select("doc_id", F.explode(runs).alias("key")).join(items.select("item_id", "key"), "key").select("doc_id", "item_id").distinct()
-    hits = docs.join(pairs, "doc_id").join(items.select("item_id", "wanted"), "item_id").filter(F.contains("text", "wanted"))
-    return hits.groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
+    items = corpus.table(spark, d, "benchmark").select("item_id", F.col("text").alias("wanted"))
+    return holding(docs, items).groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+def holding(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(doc_id, item_id) for every document that contains an item's text.
+
+    An item's inner words are whole words of any document that holds it, so a run of three of them, or one where there are
+    fewer, finds candidates by equality; containment then decides.  Items without an inner word are asked for directly, in
+    blocks of a thousand."""
+    n = F.size(F.split("wanted", r"\s+"))
+    items = items.withColumn("_kind", F.when(n >= 5, 3).when(n >= 3, 1).otherwise(0))
+    sizes = {r["_kind"]: r["count"] for r in items.groupBy("_kind").count().collect()}
+    words, out = F.split("text", r"\s+"), None
+    for length in (3, 1):
+        if not sizes.get(length):
+            continue
+        some = items.filter(F.col("_kind") == length).withColumn("key", F.array_join(F.slice(F.split("wanted", r"\s+"), 2, length), " "))
+        last = F.greatest(F.size(words) - (length - 1), F.lit(1))
+        runs = F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice(words, i, length), " ")))
+        pairs = docs.select("doc_id", F.explode(runs).alias("key")).join(some.select("item_id", "key"), "key").select("doc_id", "item_id").distinct()
+        hits = docs.join(pairs, "doc_id").join(some.select("item_id", "wanted"), "item_id").filter(F.contains("text", "wanted")).select("doc_id", "item_id")
+        out = hits if out is None else out.unionByName(hits)
+    blocks = -(-sizes.get(0, 0) // BLOCK)
+    for block in range(blocks):
+        some = items.filter((F.col("_kind") == 0) & (F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block))
+        hits = docs.join(F.broadcast(some), F.contains("text", "wanted")).select("doc_id", "item_id")
+        out = hits if out is None else out.unionByName(hits)
+    return docs.join(items, F.lit(False)).select("doc_id", "item_id") if out is None else out
 
 
 def _task_sql() -> str:
@@ -127,8 +161,10 @@ def _task_sql() -> str:
         shown = (lambda x: f"'{x}'") if quote else str
         return " ".join(f"WHEN regexp_matches(t, '{'|'.join(c[3])}') THEN {shown(c[k])}" for c in CLASSES) + f" ELSE {shown(other)} END"
 
-    broad = f"list_has_any(regexp_extract_all(t, '[A-Za-z_][A-Za-z0-9_.]*'), [{names(BROAD)}])"
-    terms = f"list_distinct(list_filter(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_.]*'), lambda x: length(x) >= 3 AND lower(x) NOT IN ({names(STOPWORDS)})))"
+    word = r"[A-Za-z_][A-Za-z0-9_:./\[\]-]*"
+    broad = f"list_has_any(regexp_extract_all(t, '{word}'), [{names(BROAD)}])"
+    held = r"""list_transform(regexp_extract_all(text, '"([^"]+)"|''([^'']+)''|`([^`]+)`'), lambda x: x[2:-2])"""
+    terms = f"list_distinct(list_concat({held}, list_filter(regexp_extract_all(text, '{word}'), lambda x: length(x) >= 3 AND lower(x) NOT IN ({names(STOPWORDS)}))))"
     return f"""SELECT conv_id, turn, CASE WHEN {broad} THEN 'broad_unknown' {rule(0, "broad_unknown", True)} AS task_class, CASE WHEN {broad} THEN '' {rule(1, "", True)} AS direction,
       CASE WHEN {broad} THEN 1 {rule(2, 1, False)} AS depth, least(32, len({terms}))::INT AS n_terms FROM (SELECT conv_id, turn, text, lower(text) AS t FROM conversations WHERE role = 'user')"""
 

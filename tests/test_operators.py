@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from factline import corpus
 from factline.functions import scalar, summaries
 from factline.operators import graph, joins, packing, ranking, relational, search
 from factline.sinks import tables
@@ -90,14 +91,37 @@ def edge_table(spark, pairs):
     return spark.createDataFrame([(f"{k}:{a}:{b}", a, b, k, False, 1.0) for a, b, k in pairs], "edge_id string, from_id string, to_id string, kind string, dynamic boolean, confidence double")
 
 
+def at(e):
+    return lambda ids, direction: e
+
+
 def test_cycles_end(spark):
     e = edge_table(spark, [("a", "b", "calls"), ("b", "a", "calls")])
-    assert values(graph.traverse(e, ["a"], 3), "edge_id", "depth") == [("calls:a:b", 1), ("calls:b:a", 2)]
+    assert values(graph.walk(at(e), ["a"], 3), "edge_id", "depth", "truncated") == [("calls:a:b", 1, False), ("calls:b:a", 2, False)]
+
+
+def test_a_call_outranks_references_within_the_bound(spark):
+    e = edge_table(spark, [("a", f"r{i}", "references") for i in range(9)] + [("a", "z", "calls"), ("z", "y", "calls")])
+    got = graph.walk(at(e), ["a"], 2, k=2, by_rank=True)
+    assert values(got, "edge_id", "truncated")[0] == ("calls:a:z", True) and got.count() == 2
+    assert values(graph.walk(at(e), ["a"], 1, k=2), "edge_id") == [("calls:a:z",), ("references:a:r0",)]
+
+
+def test_a_walk_both_ways_meets_an_edge_from_either_end(spark):
+    e = edge_table(spark, [("a", "b", "calls"), ("c", "a", "calls")])
+    assert values(graph.walk(at(e), ["a"], 2, "both"), "edge_id", "depth") == [("calls:a:b", 1), ("calls:a:b", 2), ("calls:c:a", 1), ("calls:c:a", 2)]
+    assert graph.walk(at(e), ["nowhere"], 2).count() == 0
+
+
+def test_seeds_share_the_budget(spark):
+    e = edge_table(spark, [(f"s{i}", f"t{i}-{j}", "calls") for i in range(4) for j in range(120)])
+    got = graph.expanded(at(e), [f"s{i}" for i in range(4)], 2, "outgoing").groupBy("seed").count()
+    assert values(got, "seed", "count") == [(0, 100), (1, 100), (2, 56)]
 
 
-def test_a_call_outranks_references(spark):
-    e = edge_table(spark, [("a", f"r{i}", "references") for i in range(9)] + [("a", "z", "calls")])
-    assert values(graph.ranked_levels(graph.traverse(e, ["a"], 1), 2), "edge_id")[0] == ("calls:a:z",)
+def test_endpoints_must_exist(spark):
+    found = corpus.edges_at(spark, "/root/testdata/sf0.001")(["o5"], "both")
+    assert found.count() > 1 and found.filter("from_id = 'o5' or to_id = 'o5'").count() == found.count()
 
 
 def test_fuzzy_thresholds(spark):
@@ -105,7 +129,27 @@ def test_fuzzy_thresholds(spark):
 
 
 def symbol_rows(spark, names):
-    return spark.createDataFrame([(f"s{i}", "f", n, n, "function", "py", i, i, n, "") for i, n in enumerate(names)], "symbol_id string, file_path string, name string, qualified_name string, kind string, language string, line int, end_line int, signature string, summary string")
+    return spark.createDataFrame([(f"s{i}", "f", n, n, "function", "py", i, i, n, "", [n, "lid"], None) for i, n in enumerate(names)], "symbol_id string, file_path string, name string, qualified_name string, kind string, language string, line int, end_line int, signature string, summary string, keywords array<string>, docstring string")
+
+
+def test_keywords_and_docstrings_count(spark):
+    s = symbol_rows(spark, ["x"]).withColumn("docstring", F.lit("A lid."))
+    assert values(search.substring_search(s, "lid", 5), "score") == [(4,)]
+
+
+def test_lines_are_cut_by_bytes(spark):
+    assert one(spark, search.first_bytes(F.lit("é" * 150), 200)) == "é" * 100
+    assert one(spark, search.first_bytes(F.lit("a" + "é" * 150), 200)) == "a" + "é" * 99
+    assert one(spark, search.first_bytes(F.lit("b" * 300), 200)) == "b" * 200
+
+
+def test_items_of_any_length_are_found(spark):
+    from factline.plans.search import holding
+
+    docs = spark.createDataFrame([(1, "one two three four fivefold six"), (2, "none of it"), (3, None)], "doc_id long, text string")
+    items = ["two three four five", "three four", "fold", "one two three four fivefold", "o three f", "seven eight", "two  three four"]
+    got = holding(docs, spark.createDataFrame(list(enumerate(items)), "item_id long, text string").withColumnRenamed("text", "wanted"))
+    assert values(got, "item_id", "doc_id") == [(0, 1), (1, 1), (2, 1), (3, 1), (4, 1)]
 
 
 def test_larger_k_keeps_the_smaller(spark):
@@ -129,11 +173,56 @@ def test_query_terms():
     assert search.query_terms('Foo:"bar"* (baz)^ {} ') == ["foobar", "baz"]
 
 
+EVIDENCE = "candidate string, evidence_id string, reason string, authority string, distance int, dynamic boolean"
+
+
 def test_discounts_of_evidence(spark):
     rows = [("c", "e1", "exact_symbol_match", "", 0, False), ("c", "e2", "direct_callee", "", 1, False), ("c", "e3", "direct_callee", "", 1, False)]
-    e = ranking.scored_evidence(spark.createDataFrame(rows, "candidate string, evidence_id string, reason string, authority string, distance int, dynamic boolean"))
+    e = ranking.scored_evidence(spark.createDataFrame(rows, EVIDENCE))
     assert values(e, "evidence_id", "value") == [("e1", 5500), ("e2", 3180), ("e3", 3180)]
-    assert values(ranking.candidate_scores(e), "score", "n_evidence") == [(5500 + 300 + 63, 3)]
+    # parts of the second in fifths, of the third in fiftieths, and 300 + 63 for corroboration
+    assert values(ranking.candidate_scores(e), "score", "n_evidence") == [(5500 + (540 + 140 - 44) + (54 + 14 - 4) + 363, 3)]
+
+
+def test_scores_of_verified_evidence(spark):
+    rows = [("c", "e1", "exact_symbol_match", "verified", 0, False), ("c", "e2", "direct_callee", "verified", 1, False)]
+    e = ranking.scored_evidence(spark.createDataFrame(rows, EVIDENCE), "localized_change")
+    assert values(ranking.candidate_scores(e), "score") == [(7054,)]
+    facts = spark.createDataFrame([("c", False, "f", ["r"], ["t"])], "candidate string, has_symbol boolean, file string, resources array<string>, targets array<string>")
+    assert values(ranking.candidate_scores(e, facts, "f", "t"), "score") == [(7054 + 280 + 180 - 260,)]
+
+
+def test_the_direction_of_a_trace_weighs(spark):
+    rows = [("c", "e1", "direct_callee", "", 1, False), ("c", "e2", "direct_caller", "", 1, False)]
+    e = spark.createDataFrame(rows, EVIDENCE)
+    value = lambda *a: [v for _, v in values(ranking.scored_evidence(e, "relationship_trace", *a), "evidence_id", "value")]
+    assert value() == [3240, 3240] and value("incoming") == [2880, 3240] and value("outgoing") == [3240, 2880] and value("outgoing", True) == [3240, 3240]
+
+
+def test_terms_and_quotes(spark):
+    from factline.plans import planning
+
+    text = F.lit("fix ox-core/server.lua `a'b` exports['qb-core']")
+    assert one(spark, planning.quoted(text)) == ["a'b", "qb-core"]
+    assert one(spark, planning.task_terms(text)) == ["a'b", "qb-core", "ox-core/server.lua", "exports["]
+
+
+@pytest.mark.parametrize(("reason", "distance", "tier"), [("direct_reference", 2, "peripheral"), ("direct_semantic", 1, "supporting"), ("direct_callee", 3, "supporting"), ("weak_exact_match", 2, "primary")])
+def test_tiers(spark, reason, distance, tier):
+    assert one(spark, ranking.tier(F.array(F.lit(reason)), F.lit(distance), F.lit(3), broad=False)) == tier
+
+
+@pytest.mark.parametrize(("kind", "out", "into"), [("derived_from", "same_symbol", "same_symbol"), ("provided_by", "framework_provider", "framework_provider"), ("calls", "direct_callee", "direct_caller"), ("framework_object_call", "framework_provider", "framework_provider"), ("handles", "direct_semantic", "direct_semantic")])
+def test_reasons_of_edges(spark, kind, out, into):
+    assert [one(spark, ranking.edge_reason(F.lit(kind), F.lit(x))) for x in (True, False)] == [out, into]
+
+
+def test_critical_supports_share_a_third(spark):
+    rows = [("q", 1912, c, 1, 1, s, t) for c, s, t in (("a", 900, 100), ("b", 800, 900))]
+    schema = "request string, budget long, candidate string, stage int, support int, score long, tokens long"
+    got = packing.reserves(spark.createDataFrame(rows, schema))
+    usable = (1912 - 256) // 3
+    assert values(got, "candidate", "allocation", "reserve") == [("a", 100, 100 + usable // 2), ("b", usable // 2, 100 + usable // 2)]
 
 
 def test_diversity():
@@ -142,8 +231,8 @@ def test_diversity():
 
 
 def test_packing_keeps_its_ceiling_and_grows_with_the_budget(spark):
-    rows = [("q", b, f"c{i}", i % 4, 100 + i * 7, 40 + i * 31) for b in (512,) for i in range(20)]
-    schema = "request string, budget long, candidate string, stage int, score long, tokens long"
+    rows = [("q", b, f"c{i}", i % 4, i % 3, 100 + i * 7, 40 + i * 31) for b in (512,) for i in range(20)]
+    schema = "request string, budget long, candidate string, stage int, support int, score long, tokens long"
     used = []
     for budget in (512, 2000, 8000):
         got = packing.pack(spark.createDataFrame([(r, budget, *x) for r, _, *x in rows], schema)).collect()
@@ -155,8 +244,8 @@ def test_packing_keeps_its_ceiling_and_grows_with_the_budget(spark):
 def test_packages_keep_their_serialised_ceiling(spark):
     import json
 
-    rows = [("q", b, f"c{i}", i % 4, 100 + i, 400, "\n".join(f"line {i} {j}" for j in range(150))) for b in (600,) for i in range(12)]
-    schema = "request string, budget long, candidate string, stage int, score long, tokens long, text string"
+    rows = [("q", b, f"c{i}", i % 4, i % 3, 100 + i, 400, "\n".join(f"line {i} {j}" for j in range(150))) for b in (600,) for i in range(12)]
+    schema = "request string, budget long, candidate string, stage int, support int, score long, tokens long, text string"
     shown = []
     for budget in (600, 3000, 20_000):
         r = packing.assemble(spark.createDataFrame([(q, budget, *x) for q, _, *x in rows], schema)).first()
