@@ -35,4 +35,4 @@ def query(name: str, sql: str | None = None, facts: str = "", recursive: bool =
 
 def load() -> None:
     """Import the modules that register queries."""
-    from factline.plans import facts, graphs, joins, metrics, packing, planning, search, service, windows  # noqa: F401
+    from factline.plans import facts, graphs, joins, metrics, packing, planning, search, service, upkeep, windows  # noqa: F401

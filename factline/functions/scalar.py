@@ -109,3 +109,29 @@ def smart_truncate(text: str, most: int) -> str:
         tail.append(line)
     omitted = len(lines) - len(head) - len(tail)
     return "\n".join([*head, f"... [{omitted} lines omitted] ...", *reversed(tail)])
+
+
+def with_context(content: Column, first: Column, last: Column, context: int) -> Column:
+    """Lines ``first`` to ``last`` (from 1) with ``context`` lines before and after."""
+    lines = F.split(content, "\n", -1)
+    begin = F.greatest(first - context, F.lit(1)).cast("int")
+    return F.array_join(F.slice(lines, begin, (F.least(last + context, F.size(lines)) - begin + 1).cast("int")), "\n")
+
+
+def numbered_lines(text: Column, count: int) -> list[Column]:
+    """Of a reply of lines like "2. words", the words for each number up to ``count``, 120 characters at most; of several
+    lines with one number the last counts, and a number that is missing gives an empty string."""
+    lines = F.transform(F.split(text, "\n"), lambda x: F.trim(x))
+
+    def of(k: int) -> Column:
+        number = lambda x: F.regexp_extract(x, r"^(\d{1,3})\.", 1).try_cast("int")
+        own = F.filter(lines, lambda x: (F.length(x) >= 3) & number(x).eqNullSafe(F.lit(k)))
+        found = F.regexp_replace(F.get(own, F.size(own) - 1), r"^\d+\.\s*", "")
+        return F.coalesce(F.substring(found, 1, 120), F.lit(""))
+
+    return [of(k) for k in range(1, count + 1)]
+
+
+def module_path(content: Column) -> Column:
+    """The path that a Go module file declares."""
+    return F.regexp_extract(content, r"(?m)^module\s+(\S+)", 1)

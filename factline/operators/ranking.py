@@ -104,6 +104,12 @@ def scored_evidence(evidence: DataFrame, task_class: str = "default", direction:
     return out.withColumn("value", F.greatest(total, F.lit(1)))
 
 
+def distinct_evidence(evidence: DataFrame, most: int = 256) -> DataFrame:
+    """Evidence of one identity (candidate, reason, authority, distance, dynamic) once, the first ``most`` in order."""
+    one = evidence.groupBy("candidate", "reason", "authority", "distance", "dynamic").agg(F.min("evidence_id").alias("evidence_id"))
+    return one.orderBy("evidence_id", "candidate", "reason").limit(most)
+
+
 def candidate_scores(scored: DataFrame, facts: DataFrame | None = None, focus_file: str = "", focus_resource: str = "", diverse: bool = False) -> DataFrame:
     """(candidate, score, n_evidence, reasons, distance) from scored evidence.
 

@@ -57,16 +57,17 @@ TRIGGER_SIDE = {"event_trigger": "", "server_event_trigger": "server", "client_e
 def event_edges(facts: DataFrame) -> DataFrame:
     """Edges from triggers to handlers of the same literal name: (edge_id, name, from_path, to_path, kind).
 
-    Facts: (path, resource_path, side, kind, name, dynamic).  Across sides the name must be registered for the network on
-    the receiving side; within a side handlers must fit the trigger's.  Dynamic names never match."""
+    Facts: (path, resource_path, side, kind, name, dynamic).  Across sides the name must be registered for the network by
+    any code that fits the receiving side; within a side handlers must fit the trigger's.  Dynamic names never match."""
     fixed = facts.filter("NOT dynamic AND name <> ''")
     t = fixed.filter(F.col("kind").isin(*TRIGGER_SIDE)).select("name", F.col("path").alias("from_path"), F.col("side").alias("from_side"), "kind")
     h = fixed.filter("kind = 'event_handler'").select("name", F.col("path").alias("to_path"), F.col("side").alias("to_side"))
-    registered = fixed.filter("kind = 'net_event_registration'").select("name", F.col("side").alias("to_side")).distinct().withColumn("registered", F.lit(True))
-    pairs = t.join(h, "name").join(registered, ["name", "to_side"], "left")
+    on = lambda side: F.bool_or(F.col("side").isin(side, "shared")).alias(f"on_{side}")
+    registered = fixed.filter("kind = 'net_event_registration'").groupBy("name").agg(on("server"), on("client"))
+    pairs = t.join(h, "name").join(registered, "name", "left")
     local = (F.col("kind") == "event_trigger") & sides_local(F.col("from_side"), F.col("to_side"))
-    remote = (F.col("kind") == "server_event_trigger") & F.col("to_side").isin("server", "shared") & F.col("registered")
-    remote |= (F.col("kind") == "client_event_trigger") & F.col("to_side").isin("client", "shared") & F.col("registered")
+    remote = (F.col("kind") == "server_event_trigger") & F.col("to_side").isin("server", "shared") & F.col("on_server")
+    remote |= (F.col("kind") == "client_event_trigger") & F.col("to_side").isin("client", "shared") & F.col("on_client")
     out = pairs.filter(local | remote).select("name", "from_path", "to_path", "kind").distinct()
     return out.withColumn("edge_id", stable_id("edge", F.col("kind"), F.col("name"), F.col("from_path"), F.col("to_path")))
 

@@ -146,14 +146,6 @@ def metadata_projection(spark, d):
     return e.select("id", F.coalesce(F.get_json_object("metadata", "$.operation"), F.get_json_object("metadata", "$.k"), F.lit("")).alias("operation"))
 
 
-@query("semantic_roles", """SELECT id, CASE WHEN kind IN ('click', 'view') THEN 'flow' WHEN kind IN ('purchase') THEN 'operation' WHEN kind = 'error' THEN 'status' WHEN analyzer = 'customer' THEN 'declaration' ELSE 'usage' END AS role
-    FROM entities""", "entities")
-def semantic_roles(spark, d):
-    k = F.col("kind")
-    role = F.when(k.isin("click", "view"), "flow").when(k == "purchase", "operation").when(k == "error", "status").when(F.col("analyzer") == "customer", "declaration").otherwise("usage")
-    return corpus.entities(spark, d).select("id", role.alias("role"))
-
-
 @query("current_seeds", "SELECT symbol_id FROM symbols WHERE file_path IN (SELECT file_path FROM symbols WHERE kind = 'promo') AND line IN (SELECT l_partkey FROM lineitem)", "symbols")
 def current_seeds(spark, d):
     s = corpus.symbols(spark, d)

@@ -137,13 +137,6 @@ def factory_calls(spark, d):
     return out.select(F.col("event_id").cast("long").alias("event_id"), F.col("factory").cast("long").alias("factory"))
 
 
-@query("proof_write_back", """SELECT id, coalesce(p.status, 'none') AS status FROM entities e LEFT JOIN (SELECT 'e' || event_id AS id, 'verified' AS status FROM events WHERE value > 50) p USING (id) WHERE e.analyzer = 'event'""", "entities")
-def proof_write_back(spark, d):
-    proof = corpus.table(spark, d, "events").filter("value > 50").select(F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("id"), F.lit("verified").alias("status"))
-    e = corpus.entities(spark, d).filter("analyzer = 'event'").select("id")
-    return e.join(proof, "id", "left").select("id", F.coalesce("status", F.lit("none")).alias("status"))
-
-
 @query("change_detection", """SELECT path, status FROM (SELECT coalesce(v1.path, v2.path) AS path, CASE WHEN v1.path IS NULL THEN 'added' WHEN v2.path IS NULL THEN 'deleted' WHEN v1.hash <> v2.hash THEN 'changed' END AS status
     FROM v1 FULL JOIN v2 ON v1.path = v2.path) WHERE status IS NOT NULL""", "files snapshots")
 def change_detection(spark, d):
@@ -169,8 +162,3 @@ def delete_prefix(spark, d):
 def orphans(spark, d):
     alive = corpus.table(spark, d, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey"))
     return corpus.table(spark, d, "orders").join(alive, "o_custkey", "left_anti").select("o_orderkey")
-
-
-@query("owner_guard", "SELECT analyzer, count(*)::BIGINT AS n, count(*) FILTER (WHERE id = '' OR kind = '')::BIGINT AS broken FROM entities GROUP BY analyzer", "entities")
-def owner_guard(spark, d):
-    return corpus.entities(spark, d).groupBy("analyzer").agg(F.count(F.lit(1)).alias("n"), F.count_if((F.col("id") == "") | (F.col("kind") == "")).alias("broken"))

@@ -115,12 +115,6 @@ def scored_results(spark, d):
     return r.select("task", "repeat", "budget", "tokens", saving.alias("saving"), (F.col("tokens") > F.col("baseline")).alias("over"))
 
 
-@query("safety_flags", "SELECT source AS repo, bool_or(contains(lower(text), 'idiot')) AS leak, count(*) FILTER (WHERE contains(text, '@'))::BIGINT AS n_marked FROM documents GROUP BY source")
-def safety_flags(spark, d):
-    g = corpus.table(spark, d, "documents").groupBy(F.col("source").alias("repo"))
-    return g.agg(F.bool_or(F.contains(F.lower("text"), F.lit("idiot"))).alias("leak"), F.count_if(F.contains("text", F.lit("@"))).alias("n_marked"))
-
-
 @query("fingerprints", "SELECT l_orderkey, sha256(string_agg(l_linenumber || ':' || l_partkey || ':' || l_suppkey, '|' ORDER BY l_linenumber, l_partkey, l_suppkey)) AS fingerprint FROM lineitem GROUP BY l_orderkey")
 def fingerprints(spark, d):
     item = F.struct("l_linenumber", "l_partkey", "l_suppkey", F.concat_ws(":", *[F.col(c).cast("string") for c in ("l_linenumber", "l_partkey", "l_suppkey")]).alias("s"))

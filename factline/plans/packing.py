@@ -82,12 +82,6 @@ def sufficiency(spark, d):
     return o.withColumns(flags).select("o_orderkey", packing.sufficiency({k: F.col(k) for k in SUFF}).alias("decision"))
 
 
-@query("required_candidates", "SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_returnflag IN ('A', 'R') AND l_linenumber <= 2")
-def required_candidates(spark, d):
-    l = corpus.table(spark, d, "lineitem").filter(F.col("l_returnflag").isin("A", "R") & (F.col("l_linenumber") <= 2))
-    return l.select("l_orderkey", "l_partkey").distinct()
-
-
 @query("cross_resource_coverage", "SELECT l_orderkey, bool_and(s_acctbal > 0) AS covered, count(DISTINCT l_suppkey)::BIGINT AS peers FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY l_orderkey")
 def cross_resource_coverage(spark, d):
     l, s = corpus.table(spark, d, "lineitem"), corpus.table(spark, d, "supplier")

@@ -179,11 +179,6 @@ def ambiguous_hints(spark, d):
     return corpus.symbols(spark, d).groupBy(F.col("name").alias("hint")).agg(n.alias("anchors"), (n > 1).alias("ambiguous"))
 
 
-@query("evidence_dedup", f"WITH {EVIDENCE_SQL} SELECT candidate, reason, authority, count(*)::BIGINT AS n FROM ev GROUP BY ALL")
-def evidence_dedup(spark, d):
-    return evidence(spark, d).groupBy("candidate", "reason", "authority").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("distance_penalties", "SELECT l_linenumber AS hops, CASE WHEN l_linenumber <= 0 THEN 0 WHEN l_linenumber = 1 THEN 220 ELSE 220 + 300 * (l_linenumber - 1) END AS penalty FROM (SELECT DISTINCT l_linenumber FROM lineitem)")
 def distance_penalties(spark, d):
     n = corpus.table(spark, d, "lineitem").select(F.col("l_linenumber").alias("hops")).distinct()
@@ -196,13 +191,6 @@ def task_profiles(spark, d):
     return spark.range(1).select(F.explode(rows).alias("r")).select("r.*")
 
 
-@query("index_health", """SELECT lang, CASE WHEN count(*) = 0 THEN 'unknown' WHEN count(*) FILTER (WHERE text = '') > 0 THEN 'incomplete' WHEN count(*) FILTER (WHERE n_chars < 30) > 0 THEN 'degraded' ELSE 'complete' END AS health FROM documents GROUP BY lang""")
-def index_health(spark, d):
-    g = corpus.table(spark, d, "documents").groupBy("lang")
-    health = F.when(F.count(F.lit(1)) == 0, "unknown").when(F.count_if(F.col("text") == "") > 0, "incomplete").when(F.count_if(F.col("n_chars") < 30) > 0, "degraded").otherwise("complete")
-    return g.agg(health.alias("health"))
-
-
 @query("edge_reasons", """SELECT edge_id, CASE kind WHEN 'calls' THEN 'direct_callee' WHEN 'references' THEN 'direct_reference' WHEN 'imports' THEN 'direct_import' ELSE 'direct_semantic' END AS out_reason,
     CASE kind WHEN 'calls' THEN 'direct_caller' WHEN 'references' THEN 'direct_reference' WHEN 'imports' THEN 'direct_import' ELSE 'direct_semantic' END AS in_reason FROM edges""", "edges")
 def edge_reasons(spark, d):

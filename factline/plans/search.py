@@ -95,18 +95,6 @@ def snippets(spark, d):
     return search.snippets(corpus.files(spark, d), "licensed", 2)
 
 
-@query("drift_check", "SELECT path, sha256(content) = sha256(CASE WHEN doc_id % 7 = 0 THEN content || '!' ELSE content END) AS verified FROM files", "files")
-def drift_check(spark, d):
-    now = F.when(F.col("doc_id") % 7 == 0, F.concat("content", F.lit("!"))).otherwise(F.col("content"))
-    return corpus.files(spark, d).select("path", (F.sha2("content", 256) == F.sha2(now, 256)).alias("verified"))
-
-
-@query("symbol_context", "SELECT path, array_to_string(string_split(content, chr(10))[2:4], chr(10)) AS source FROM files WHERE len(string_split(content, chr(10))) >= 4", "files")
-def symbol_context(spark, d):
-    parts = F.split("content", "\n", -1)
-    return corpus.files(spark, d).filter(F.size(parts) >= 4).select("path", F.array_join(F.slice(parts, 2, 3), "\n").alias("source"))
-
-
 @query("resource_symbols", """SELECT s.symbol_id FROM symbols s JOIN (SELECT DISTINCT file_path FROM symbols WHERE lower(file_path) LIKE '%brand#1%' ORDER BY file_path LIMIT 64) r ON s.file_path = r.file_path""", "symbols")
 def resource_symbols(spark, d):
     s = corpus.symbols(spark, d)

@@ -15,6 +15,7 @@ SITES = "path string, kind string, name string, target string, line int, dynamic
 SCRIPT_CALLS = {
     "RegisterNetEvent": "net_event_registration", "RegisterServerEvent": "net_event_registration",
     "AddEventHandler": "event_handler", "TriggerEvent": "event_trigger", "TriggerServerEvent": "server_event_trigger",
+    "TriggerLatentServerEvent": "server_event_trigger", "TriggerLatentClientEvent": "client_event_trigger",
     "TriggerClientEvent": "client_event_trigger", "RegisterCommand": "command", "RegisterNUICallback": "nui_callback",
     "lib.callback.register": "callback_definition", "lib.callback.await": "callback_call", "lib.callback": "callback_call",
 }
