@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factline import corpus
@@ -32,7 +32,7 @@ def bm25_sql(terms: tuple[str, ...], test: str = "x = '{t}'") -> str:
 BM25 = bm25_sql(("cold", "widget"))
 
 
-@query("weighted_search", f"SELECT symbol_id, score FROM (SELECT *, {SCORE} AS score FROM symbols) WHERE score > 0 ORDER BY score DESC, file_path, line, symbol_id LIMIT 20", "symbols")
+@query("weighted_search", f"SELECT symbol_id, score::INT AS score FROM (SELECT *, {SCORE} AS score FROM symbols) WHERE score > 0 ORDER BY score DESC, file_path, line, symbol_id LIMIT 20", "symbols")
 def weighted_search(spark, d):
     return search.substring_search(corpus.symbols(spark, d), "cold widget", 20).select("symbol_id", "score")
 
@@ -121,13 +121,18 @@ def holding(docs: DataFrame, items: DataFrame) -> DataFrame:
     n = F.size(F.split("wanted", r"\s+"))
     items = items.withColumn("_kind", F.when(n >= 5, 3).when(n >= 3, 1).otherwise(0))
     sizes = {r["_kind"]: r["count"] for r in items.groupBy("_kind").count().collect()}
-    words, out = F.split("text", r"\s+"), None
+    out: DataFrame | None = None
     for length in (3, 1):
         if not sizes.get(length):
             continue
         some = items.filter(F.col("_kind") == length).withColumn("key", F.array_join(F.slice(F.split("wanted", r"\s+"), 2, length), " "))
-        last = F.greatest(F.size(words) - (length - 1), F.lit(1))
-        runs = F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice(words, i, length), " ")))
+
+        def runs_of(w: Column, length: int = length) -> Column:
+            last = F.greatest(F.size(w) - (length - 1), F.lit(1))
+            return F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice(w, i, length), " "))
+
+        # an array of one array stands for a name: a text is split once, not once a run
+        runs = F.array_distinct(F.flatten(F.transform(F.array(F.split("text", r"\s+")), lambda w: runs_of(w))))
         pairs = docs.select("doc_id", F.explode(runs).alias("key")).join(some.select("item_id", "key"), "key").select("doc_id", "item_id").distinct()
         hits = docs.join(pairs, "doc_id").join(some.select("item_id", "wanted"), "item_id").filter(F.contains("text", "wanted")).select("doc_id", "item_id")
         out = hits if out is None else out.unionByName(hits)
