@@ -34,16 +34,26 @@ def page_links(spark, d):
     return p.select("page_id", F.size(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))).alias("n_links"), F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
 
 
-@query("extracted_symbols")
+@query(
+    "extracted_symbols",
+    """WITH p AS (SELECT p_partkey AS k, regexp_replace(p_name, '[^A-Za-z0-9]', '_', 'g') AS n, ['py', 'ts', 'go'][p_partkey % 3 + 1] AS e FROM part),
+    x AS (SELECT * FROM (VALUES ('py', 'class', 'C_', '', 1, 3, ''), ('py', 'method', 'C_', '.run', 2, 3, 'C_'), ('py', 'function', 'f_', '', 5, 6, ''), ('ts', 'class', 'C_', '', 1, 5, ''), ('ts', 'method', 'C_', '.run', 2, 4, 'C_'),
+      ('ts', 'function', 'f_', '', 6, 6, ''), ('go', 'type', 'C_', '', 1, 2, ''), ('go', 'method', '', 'run', 3, 3, ''), ('go', 'function', 'f_', '', 5, 5, '')) v(e, kind, before, after, line, end_line, holder)),
+    y AS (SELECT *, 'src/p' || k || '.' || e AS path, CASE WHEN before = '' THEN after ELSE before || n || after END AS q FROM p JOIN x USING (e))
+    SELECT path, path || '::' || q || '#' || kind AS symbol_id, kind, line, end_line, CASE WHEN holder = '' THEN '' ELSE path || '::' || holder || n || '#class' END AS parent FROM y""",
+)
 def extracted_symbols(spark, d):
-    """Symbols of Python sources made from parts: rows only."""
+    """Symbols of Python, TypeScript and Go sources made from parts."""
     from factline.sources.python_source import symbols_of
 
     p = corpus.table(spark, d, "part")
-    name = F.regexp_replace("p_name", " ", "_")
-    body = F.concat(F.lit("class "), F.initcap(name), F.lit(":\n    def run(self):\n        return "), F.col("p_size").cast("string"), F.lit("\n\ndef "), name, F.lit("():\n    pass\n"))
-    files = p.select(F.concat(F.lit("src/p"), F.col("p_partkey").cast("string"), F.lit(".py")).alias("path"), body.alias("content"))
-    return symbols_of(files).select("path", "symbol_id", "kind", "line")
+    name, size, kind = F.regexp_replace("p_name", "[^A-Za-z0-9]", "_"), F.col("p_size").cast("string"), F.col("p_partkey") % 3
+    python = F.concat(F.lit("class C_"), name, F.lit(":\n    def run(self):\n        return "), size, F.lit("\n\ndef f_"), name, F.lit("():\n    pass\n"))
+    script = F.concat(F.lit("class C_"), name, F.lit(" {\n  run() {\n    return "), size, F.lit("\n  }\n}\nfunction f_"), name, F.lit("() {}\n"))
+    go = F.concat(F.lit("type C_"), name, F.lit(" struct {\n}\nfunc (c *C_"), name, F.lit(") run() {}\n\nfunc f_"), name, F.lit("() {}\n"))
+    ending = F.when(kind == 0, ".py").when(kind == 1, ".ts").otherwise(".go")
+    files = p.select(F.concat(F.lit("src/p"), F.col("p_partkey").cast("string"), ending).alias("path"), F.when(kind == 0, python).when(kind == 1, script).otherwise(go).alias("content"))
+    return symbols_of(files).select("path", "symbol_id", "kind", "line", "end_line", "parent")
 
 
 @query("session_turns", "SELECT conv_id, count(*)::BIGINT AS turns, count(*) FILTER (WHERE role = 'user')::BIGINT AS asked, max(length(text)) AS longest FROM conversations GROUP BY conv_id")

@@ -1,89 +1,132 @@
-"""Symbols, imports and calls of source files: Python by its grammar, others by declarations."""
+"""Symbols of source files: Python by its grammar, other languages by their declarations."""
 
 from __future__ import annotations
 
 import ast
+import hashlib
 import re
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
 from factline.functions.scalar import LANGUAGES
+from factline.sources.declarations import declared
 
-SYMBOLS = "path string, symbol_id string, name string, qualified_name string, kind string, line int, end_line int, signature string, docstring string"
-#: Declarations of languages without a grammar here: kind and pattern, the name being the first group.
-DECLARATIONS = {
-    "go": [("method", r"^func\s+\([^)]*\)\s*(\w+)"), ("function", r"^func\s+(\w+)"), ("type", r"^type\s+(\w+)")],
-    "javascript": [("function", r"^(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*(\w+)"), ("class", r"^(?:export\s+)?(?:default\s+)?class\s+(\w+)"), ("function", r"^(?:export\s+)?(?:const|let|var)\s+(\w+)\s*=\s*(?:async\s*)?\(?[^=]*=>")],
-    "lua": [("function", r"^(?:local\s+)?function\s+([\w.:]+)"), ("function", r"^(?:local\s+)?([\w.]+)\s*=\s*function")],
-    "java": [("class", r"^\s*(?:public\s+|abstract\s+|final\s+)*(?:class|interface|enum)\s+(\w+)"), ("method", r"^\s+(?:public|private|protected)\s+[\w<>\[\], ]+\s+(\w+)\s*\(")],
-    "rust": [("function", r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:async\s+)?fn\s+(\w+)"), ("type", r"^\s*(?:pub\s+)?(?:struct|enum|trait)\s+(\w+)")],
-    "ruby": [("method", r"^\s*def\s+([\w.?!]+)"), ("class", r"^\s*(?:class|module)\s+(\w+)")],
-    "php": [("function", r"^\s*(?:public\s+|private\s+|protected\s+|static\s+)*function\s+(\w+)"), ("class", r"^\s*(?:final\s+|abstract\s+)?(?:class|interface|trait)\s+(\w+)")],
-    "swift": [("function", r"^\s*(?:\w+\s+)*func\s+(\w+)"), ("class", r"^\s*(?:\w+\s+)*(?:class|struct|enum|protocol)\s+(\w+)")],
-    "kotlin": [("function", r"^\s*(?:\w+\s+)*fun\s+(\w+)"), ("class", r"^\s*(?:data\s+|sealed\s+|open\s+)*(?:class|interface|object)\s+(\w+)")],
-    "c": [("function", r"^[A-Za-z_][\w\s*]*\s\*?(\w+)\s*\([^;]*\)\s*\{?$"), ("type", r"^(?:typedef\s+)?(?:struct|enum|union)\s+(\w+)")],
-}
-for _same, _as in (("typescript", "javascript"), ("tsx", "javascript"), ("cpp", "c")):
-    DECLARATIONS[_same] = DECLARATIONS[_as]
-CONSTANT = re.compile(r"^[A-Z][A-Z0-9]*(_[A-Z0-9]+)*$|^[A-Z]\w*_\w*$")
+SYMBOLS = (
+    "path string, symbol_id string, name string, qualified_name string, kind string, line int, end_line int, signature string, docstring string, "
+    "decorators array<string>, parent string, byte_offset long, byte_length long, content_hash string"
+)
+NAMES = [c.split()[0] for c in SYMBOLS.split(", ")]
+MOST_SIGNATURE = 100
 
 
-def _python(content: str) -> Iterator[tuple]:
-    try:
-        tree = ast.parse(content)
-    except (SyntaxError, ValueError):
-        return
-    lines = content.split("\n")
+def is_constant(name: str) -> bool:
+    """No lower-case letter, or an upper-case first one and an underscore."""
+    return bool(name) and (not any(c.isalpha() and not c.isupper() for c in name) or (len(name) > 1 and name[0].isupper() and "_" in name))
 
-    def walk(body: list, parent: str) -> Iterator[tuple]:
-        for node in body:
-            if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
-                name = f"{parent}.{node.name}" if parent else node.name
-                kind = "class" if isinstance(node, ast.ClassDef) else "method" if parent else "function"
-                signature = lines[node.lineno - 1].strip().rstrip(": ")
-                yield node.name, name, kind, node.lineno, node.end_lineno, signature, (ast.get_docstring(node) or "")
-                yield from walk(node.body, name)
-            elif isinstance(node, ast.Assign) and not parent:
-                for t in node.targets:
-                    if isinstance(t, ast.Name) and CONSTANT.match(t.id):
-                        yield t.id, t.id, "constant", node.lineno, node.end_lineno, lines[node.lineno - 1][:100], ""
 
-    yield from walk(tree.body, "")
+def _unquoted(text: str) -> str:
+    text = text.strip()
+    for q in ('"""', "'''", '"', "'"):
+        if text.startswith(q) and text.endswith(q) and len(text) >= 2 * len(q):
+            return text[len(q) : -len(q)].strip()
+    return text
 
 
-def _declared(content: str, language: str) -> Iterator[tuple]:
-    for n, line in enumerate(content.split("\n"), 1):
-        for kind, pattern in DECLARATIONS.get(language, ()):
-            if m := re.match(pattern, line):
-                yield m[1], m[1], kind, n, n, line.strip().rstrip("{ :\n\t"), ""
-                break
+def _python(content: str) -> Iterator[tuple]:
+    """Like ``declared``, but start and end are in bytes; a file that the grammar refuses gives none."""
+    try:
+        tree = ast.parse(content)
+    except (SyntaxError, ValueError, RecursionError):
+        return
+    raw = content.encode()
+    # the grammar counts lines at \n, \r\n and \r
+    starts = [0, *(m.end() for m in re.finditer(rb"\r\n|\r|\n", raw))]
+    count = -1
+
+    def at(line: int, column: int) -> int:
+        return starts[line - 1] + column
+
+    def text(a: int, b: int) -> str:
+        return raw[a:b].decode(errors="replace")
+
+    def walk(node: ast.AST, above: str, holder: int, in_class: bool) -> Iterator[tuple]:
+        nonlocal count
+        for n in ast.iter_child_nodes(node):
+            name, place, of_class = above, holder, in_class
+            if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
+                of_class = isinstance(n, ast.ClassDef)
+                name = f"{above}.{n.name}" if above else n.name
+                kind = "class" if of_class else "method" if in_class else "function"
+                first = n.body[0]
+                begins = min([at(first.lineno, first.col_offset), *(at(d.lineno, d.col_offset) - 1 for d in getattr(first, "decorator_list", ()))])
+                start, end = at(n.lineno, n.col_offset), at(n.end_lineno, n.end_col_offset)
+                strings = (s.value for s in n.body if isinstance(s, ast.Expr) and isinstance(s.value, ast.Constant) and isinstance(s.value.value, str))
+                doc = next((_unquoted(text(at(v.lineno, v.col_offset), at(v.end_lineno, v.end_col_offset))) for v in strings), "")
+                decorators = ["@" + text(at(d.lineno, d.col_offset), at(d.end_lineno, d.end_col_offset)) for d in n.decorator_list]
+                count += 1
+                place = count
+                yield n.name, name, kind, n.lineno, n.end_lineno, text(start, begins).strip().rstrip("{: \n\t"), doc, decorators, holder, start, end
+            elif isinstance(n, (ast.Assign, ast.AnnAssign)) and holder < 0:
+                for t in n.targets if isinstance(n, ast.Assign) else [n.target]:
+                    if isinstance(t, ast.Name) and is_constant(t.id):
+                        start, end = at(t.lineno, t.col_offset), at(n.end_lineno, n.end_col_offset)
+                        count += 1
+                        yield t.id, t.id, "constant", t.lineno, n.end_lineno, text(start, end)[:MOST_SIGNATURE].strip(), "", [], -1, start, end
+            yield from walk(n, name, place, of_class)
+
+    yield from walk(tree, "", -1, False)
 
 
 def extract(path: str, content: str | None, language: str) -> list[tuple]:
-    """Symbols of one file in document order; ids that repeat get ``~1``, ``~2``, ..."""
-    found = list(_python(content or "") if language == "python" else _declared(content or "", language))
+    """Symbols of one file in document order; ids that repeat get ``~1``, ``~2``, ...  A null text has none.
+
+    A function in a container is a method; the parent is the enclosing symbol's id before such an ordinal."""
+    content = content or ""
+    if language == "python":
+        found = list(_python(content))
+        place = list
+    else:
+        found = list(declared(content, language))
+        ahead = [0, *accumulate(len(line.encode()) for line in content.splitlines(keepends=True))] if not content.isascii() else None
+        chars = [0, *accumulate(len(line) for line in content.splitlines(keepends=True))]
+
+        def place(spans):
+            if ahead is None:
+                return list(spans)
+            out = []
+            for i in spans:
+                n = bisect_right(chars, i) - 1
+                out.append(ahead[n] + len(content[chars[n] : i].encode()))
+            return out
+
+    raw = content.encode()
     ids = [f"{path}::{s[1]}#{s[2]}" for s in found]
-    out, seen = [], {}
+    repeated = {i for i, n in Counter(ids).items() if n > 1}
+    out, seen = [], Counter()
     for s, i in zip(found, ids, strict=True):
-        if ids.count(i) > 1:
-            seen[i] = seen.get(i, 0) + 1
+        parent = ids[s[8]] if s[8] >= 0 else ""
+        if i in repeated:
+            seen[i] += 1
             i = f"{i}~{seen[i]}"
-        out.append((path, i, *s))
+        a, b = place(s[9:11])
+        out.append((path, i, *s[:8], parent, a, b - a, hashlib.sha256(raw[a:b]).hexdigest()))
     return out
 
 
 def symbols_of(files: DataFrame) -> DataFrame:
     """Symbols of (path, content) files, language by extension; files of other languages give none."""
-    names = [c.split()[0] for c in SYMBOLS.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for path, content in zip(b["path"], b["content"], strict=True):
-                m = re.search(r"\.[^./]*$", path)
+                m = re.search(r"\.[^./]*$", path or "")
                 rows += extract(path, content, LANGUAGES.get(m[0].lower() if m else "", ""))
-            yield pd.DataFrame(rows, columns=names)
+            yield pd.DataFrame(rows, columns=NAMES)
 
     return files.select("path", "content").mapInPandas(run, SYMBOLS)

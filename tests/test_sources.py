@@ -1,6 +1,8 @@
 import json
 
 from factline.operators import resolve
+import pytest
+
 from factline.sources import folder, manifest, python_source, sites
 from factline.streaming import events
 from pyspark.sql import functions as F
@@ -31,7 +33,53 @@ def test_python_symbols():
     code = '"""Doc."""\nLIMIT = 3\nclass A:\n    """An A."""\n    def f(self):\n        return 1\n    def f(self):\n        return 2\n\nasync def g():\n    """Does g."""\n'
     got = python_source.extract("m.py", code, "python")
     assert [(s[1], s[4]) for s in got] == [("m.py::LIMIT#constant", "constant"), ("m.py::A#class", "class"), ("m.py::A.f#method~1", "method"), ("m.py::A.f#method~2", "method"), ("m.py::g#function", "function")]
-    assert got[-1][-1] == "Does g." and python_source.extract("bad.py", "def (", "python") == []
+    assert field(got[-1], "docstring") == "Does g." and python_source.extract("bad.py", "def (", "python") == []
+
+
+def field(symbol, *names):
+    found = dict(zip(python_source.NAMES, symbol, strict=True))
+    return found[names[0]] if len(names) == 1 else tuple(found[n] for n in names)
+
+
+def test_python_symbols_nest_and_keep_their_bytes():
+    code = "if 1:\n    _MOST: int = 3\n    a_b = 4\n\n@é.wraps(x)\n@two\nasync def f(a,\n            b=1):  # é\n    x = 1\n    'Not first.'\n    def inner():\n        pass\n    class K:\n        def m(self): return 1\n"
+    got = python_source.extract("m.py", code, "python")
+    assert [field(s, "qualified_name", "kind", "parent") for s in got] == [
+        ("_MOST", "constant", ""), ("f", "function", ""), ("f.inner", "function", "m.py::f#function"), ("f.K", "class", "m.py::f#function"), ("f.K.m", "method", "m.py::f.K#class")
+    ]
+    assert field(got[1], "decorators", "docstring", "line") == (["@é.wraps(x)", "@two"], "Not first.", 7)
+    assert field(got[1], "signature").startswith("async def f(a,\n            b=1)")
+    for s in got:
+        a, n = field(s, "byte_offset", "byte_length")
+        assert code.encode()[a : a + n].decode().split("(")[0].split(":")[0].split()[-1] == field(s, "name")
+
+
+DECLARED = {
+    "go": ("// S holds é.\ntype S struct {\n\tn int // func Not() {\n}\n\nfunc (s *S) Close() error {\n\tif x := `}`; x != \"\" {\n\t}\n\treturn nil\n}\n", [("S", "type", 2, 4, "S holds é."), ("Close", "method", 6, 10, "")]),
+    "rust": ("#[derive(Debug)]\npub struct P;\nimpl<'a> P {\n    /// Runs.\n    pub async fn run(&'a self) -> [u8; 2] { let c = '}'; x }\n}\ntrait T {\n    fn must(&self);\n    fn may(&self) { }\n}\n", [("P", "type", 2, 2, ""), ("run", "function", 5, 5, "Runs."), ("T", "type", 7, 10, ""), ("T.may", "method", 9, 9, "")]),
+    "typescript": ("/** A store. */\nclass A<T> {\n  @log('x')\n  async save(a: number): Promise<void> {\n    if (a) { go(/}/) }\n  }\n}\nexport const f = (x: string): string => {\n  function g() {}\n  return `${x}}`\n}\nenum E { X }\ntype U = 'a' |\n  'b';\n", [("A", "class", 2, 7, "A store."), ("A.save", "method", 4, 6, ""), ("f", "function", 8, 11, ""), ("f.g", "function", 9, 9, ""), ("E", "type", 12, 12, ""), ("U", "type", 13, 14, "")]),
+    "java": ("interface Shape {\n  double area();\n}\nfinal class Box<T extends Shape> implements Shape {\n  private int n = size(2);\n  /* Makes one. */\n  Box(int n) { this.n = n; }\n  @Override public double area() {\n    if (n > 1) { return call(n); }\n    return 0;\n  }\n}\n", [("Shape", "type", 1, 3, ""), ("Shape.area", "method", 2, 2, ""), ("Box", "class", 4, 12, ""), ("Box.Box", "method", 7, 7, "Makes one."), ("Box.area", "method", 8, 11, "")]),
+    "php": ("<?php\n# Adds.\nfunction add($a) { return \"{$a}\"; }\nabstract class C {\n  abstract protected function must();\n  public static function may(): int { return 1; }\n}\n", [("add", "function", 3, 3, "# Adds."), ("C", "class", 4, 7, ""), ("C.must", "method", 5, 5, ""), ("C.may", "method", 6, 6, "")]),
+    "c": ("struct node *head;\nstruct node {\n  int n;\n};\nstatic int *find(struct node *n, int (*f)(int)) {\n  while (n) { f(1); }\n  return 0;\n}\n", [("node", "type", 2, 4, ""), ("*find(struct node *n, int (*f)(int))", "function", 5, 8, "")]),
+    "cpp": ("namespace a {\nclass B : public C {\n public:\n  // Gets.\n  int get() const { return 1; }\n};\n}\nint a::B::put(int x) {\n  return x;\n}\n", [("a", "type", 1, 7, ""), ("a.B", "class", 2, 6, ""), ("a.B.get() const", "method", 5, 5, "Gets."), ("a::B::put(int x)", "function", 8, 10, "")]),
+    "ruby": ("module M\n  class A\n    def self.make(x)\n      return 1 if x\n      x.each do |y|\n        puts \"end\"\n      end\n    end\n    def done? = true\n  end\nend\n", [("M", "type", 1, 11, ""), ("M.A", "class", 2, 10, ""), ("M.A.make", "method", 3, 8, ""), ("M.A.done?", "method", 9, 9, "")]),
+    "kotlin": ("// Keeps.\nobject Keep {\n  fun <T> String.of(x: T): Int = when (x) {\n    else -> 1\n  }\n  private suspend fun go() {\n    run { }\n  }\n}\nfun one() = 1\n", [("Keep", "class", 2, 9, "Keeps."), ("Keep.of", "method", 3, 5, ""), ("Keep.go", "method", 6, 8, ""), ("one", "function", 10, 10, "")]),
+    "swift": ("protocol P {\n  func must()\n}\nfinal class A: P {\n  /// Must.\n  public func must() {\n    let s = \"}\"\n  }\n}\n", [("P", "type", 1, 3, ""), ("A", "class", 4, 9, ""), ("A.must", "method", 6, 8, "Must.")]),
+    "lua": ("function M.open(a)\n  for i = 1, 2 do if a then x() elseif b then y() end end\n  repeat z() until a\n  local function inner() return function() end end\nend\n--[[ function no() ]]\nlocal function shut() end\n", [("M.open", "function", 1, 5, ""), ("M.open.inner", "function", 4, 4, ""), ("shut", "function", 7, 7, "--[[ function no() ]]")]),
+}
+
+
+@pytest.mark.parametrize("language", DECLARED)
+def test_declarations_nest(language):
+    code, want = DECLARED[language]
+    got = python_source.extract("f", code, language)
+    assert [field(s, "qualified_name", "kind", "line", "end_line", "docstring") for s in got] == want
+    assert python_source.extract("f", None, language) == [] and isinstance(python_source.extract("f", code[: len(code) // 2], language), list)
+
+
+def test_decorators_of_declarations():
+    assert field(python_source.extract("f", DECLARED["rust"][0], "rust")[0], "decorators") == ["#[derive(Debug)]"]
+    assert field(python_source.extract("f", DECLARED["typescript"][0], "typescript")[1], "decorators") == ["@log('x')"]
 
 
 def test_declarations():
