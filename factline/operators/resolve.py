@@ -13,11 +13,14 @@ SUFFIXES = ("", ".ts", ".tsx", ".js", ".jsx", ".mjs", ".lua", "/index.ts", "/ind
 
 
 def normalized(path: Column) -> Column:
-    """A path without ``.`` and with ``x/..`` taken out, up to four levels."""
-    out = F.regexp_replace(path, r"(?<=^|/)\./", "")
-    for _ in range(4):
-        out = F.regexp_replace(out, r"(^|/)(?!\.\./)[^/]+/\.\./", "$1")
-    return out
+    """A path without ``.``, with every ``x/..`` taken out; a ``..`` above the root stays."""
+
+    def step(kept: Column, part: Column) -> Column:
+        inside = (F.size(kept) > 0) & (F.get(kept, F.size(kept) - 1) != "..")
+        up = F.when(inside, F.slice(kept, 1, F.size(kept) - 1)).otherwise(F.concat(kept, F.array(part)))
+        return F.when(part.isin("", "."), kept).when(part == "..", up).otherwise(F.concat(kept, F.array(part)))
+
+    return F.array_join(F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step), "/")
 
 
 def import_files(sites: DataFrame, files: DataFrame) -> DataFrame:

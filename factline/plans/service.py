@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
+from typing import NamedTuple
 
 from pyspark.sql import functions as F
 
@@ -11,18 +12,30 @@ from factline.catalog import query
 
 #: Fixed value: operations of one batch.
 MOST_OPERATIONS = 10
+#: Rows that one operation of a batch returns.
+MOST_ROWS = 1000
 
 
-def batch(spark, sf_dir: str, names: list[str]) -> list[tuple[str, object]]:
+class Answer(NamedTuple):
+    """What one operation gave: rows and whether there are more, or its error."""
+
+    name: str
+    rows: list | None
+    truncated: bool
+    error: Exception | None
+
+
+def batch(spark, sf_dir: str, names: list[str]) -> list[Answer]:
     """Run up to ten named queries side by side; each gives its rows or its own error."""
     if len(names) > MOST_OPERATIONS:
         raise ValueError(f"at most {MOST_OPERATIONS} operations")
 
     def one(name: str):
         try:
-            return name, catalog.QUERIES[name](spark, sf_dir).limit(1000).collect()
+            rows = catalog.QUERIES[name](spark, sf_dir).limit(MOST_ROWS + 1).collect()
+            return Answer(name, rows[:MOST_ROWS], len(rows) > MOST_ROWS, None)
         except Exception as error:  # noqa: BLE001  reported with its operation
-            return name, error
+            return Answer(name, None, False, error)
 
     with ThreadPoolExecutor(len(names) or 1) as pool:
         return list(pool.map(one, names))

@@ -38,20 +38,36 @@ def replace_partition(df: DataFrame, path: str, *keys: str) -> None:
 
 
 def swap(spark: SparkSession, df: DataFrame, path: str) -> None:
-    """Write beside the old table and swap directories, so that a failed write leaves the old one."""
+    """Write beside the old table and swap directories: a failed write or swap leaves the old one."""
     fresh = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
-    df.write.parquet(fresh)
     jvm = spark._jvm
     new, old, spare = (jvm.org.apache.hadoop.fs.Path(x) for x in (fresh, path, fresh + ".old"))
     fs = new.getFileSystem(spark._jsc.hadoopConfiguration())
-    if fs.exists(old):
-        fs.rename(old, spare)
-    fs.rename(new, old)
+    try:
+        df.write.parquet(fresh)
+        if fs.exists(old) and not fs.rename(old, spare):
+            raise OSError(f"can't set aside {path}")
+        if not fs.rename(new, old):
+            raise OSError(f"can't put the new table at {path}")
+    except Exception:
+        if fs.exists(spare) and not fs.exists(old):
+            fs.rename(spare, old)
+        fs.delete(new, True)
+        raise
     fs.delete(spare, True)
 
 
 def markdown(df: DataFrame, most: int = 1000) -> str:
-    """A small report as a Markdown table."""
-    rows = df.limit(most).collect()
+    """A report as a Markdown table; a last line tells if there are more than ``most`` rows."""
+    rows = df.limit(most + 1).collect()
     head = "| " + " | ".join(df.columns) + " |\n|" + " --- |" * len(df.columns)
-    return "\n".join([head, *("| " + " | ".join(str(v) for v in r) + " |" for r in rows)]) + "\n"
+    cell = lambda v: str(v).replace("|", "\\|").replace("\n", " ")
+    more = [f"\nMore than {most} rows; these are the first."] if len(rows) > most else []
+    return "\n".join([head, *("| " + " | ".join(cell(v) for v in r) + " |" for r in rows[:most]), *more]) + "\n"
+
+
+def write_report(df: DataFrame, folder: str, most: int = 1000) -> None:
+    """All rows as JSON files below ``folder``/json, and the Markdown table beside them."""
+    df.write.mode("overwrite").json(f"{folder}/json")
+    text = df.sparkSession.createDataFrame([(markdown(df, most),)], "value string")
+    text.coalesce(1).write.mode("overwrite").text(f"{folder}/markdown")

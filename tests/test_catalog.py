@@ -56,10 +56,12 @@ def test_filters_and_columns_reach_the_scan(spark):
 def test_batch_equals_single_queries(spark):
     from factline.plans.service import batch
 
-    names = ["file_count", "kind_histogram", "no_such_query"]
-    got = dict(batch(spark, SMALL, names))
+    names = ["file_count", "kind_histogram", "no_such_query", "throttle_levels", "scored_results"]
+    got = {a.name: a for a in batch(spark, SMALL, names)}
     for n in names[:2]:
-        assert sorted(map(tuple, got[n])) == sorted(map(tuple, catalog.QUERIES[n](spark, SMALL).collect()))
-    assert isinstance(got["no_such_query"], KeyError)
+        assert not got[n].truncated and sorted(map(tuple, got[n].rows)) == sorted(map(tuple, catalog.QUERIES[n](spark, SMALL).collect()))
+    assert isinstance(got["no_such_query"].error, KeyError)
+    assert len(got["throttle_levels"].rows) == 1000 and not got["throttle_levels"].truncated  # exactly as many
+    assert len(got["scored_results"].rows) == 1000 and got["scored_results"].truncated
     with pytest.raises(ValueError):
         batch(spark, SMALL, ["file_count"] * 11)

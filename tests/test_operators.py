@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from factline import corpus
 from factline.functions import scalar, summaries
-from factline.operators import graph, joins, packing, ranking, relational, search
+from factline.operators import evaluation, graph, joins, packing, ranking, relational, resolve, search
 from factline.sinks import tables
 from factline.sources import predicates
 
@@ -309,3 +309,59 @@ def test_summaries(spark):
     assert pick("Opens it. And more.", "def f()") == "Opens it."
     assert pick("", "def f()") == "def f()" and pick("", "") == "function f"
     assert one(spark, summaries.clean_comment(F.lit("/** Opens.\n * Closes. */"))) == "Opens.\nCloses."
+
+
+def test_paths_are_normalized_at_any_depth(spark):
+    cases = {"a/./b": "a/b", "a/b/c/d/e/f/../../../../../x": "a/x", "../a/../b": "../b", "a/../../b": "../b", "/a//b/": "a/b", "": ""}
+    assert {k: one(spark, resolve.normalized(F.lit(k))) for k in cases} == cases
+
+
+def test_a_failed_swap_leaves_the_old_table(spark, tmp_path):
+    path = str(tmp_path / "t")
+    tables.swap(spark, spark.range(3), path)
+    with pytest.raises(Exception):
+        tables.swap(spark, spark.range(9).select(F.raise_error(F.lit("no")).cast("long").alias("id")), path)
+    assert spark.read.parquet(path).count() == 3 and [p.name for p in tmp_path.iterdir()] == ["t"]
+    tables.swap(spark, spark.range(4), path)
+    assert spark.read.parquet(path).count() == 4
+
+
+def test_reports_tell_what_they_leave_out(spark, tmp_path):
+    df = spark.range(5).withColumn("t", F.lit("a|b"))
+    assert "More than" not in tables.markdown(df) and "More than 4 rows" in tables.markdown(df, 4)
+    tables.write_report(df, str(tmp_path), 4)
+    assert spark.read.json(str(tmp_path / "json")).count() == 5
+
+
+RUN = dict(task="t", category="c", tier="s", mode="phase7", budget=100, repeat=1, required_total=2, required_found=2, tokens=40, baseline=100, scoped_baseline=0, reads=1, rounds=1, ms=5, status="sufficient", precision=0.5, top5=1.0, top10=1.0, fabricated=False, leaked=False, varies=False, error="")
+RUN["class"] = "supported_deterministic"
+
+
+def run_table(spark, *changes):
+    kinds = {int: "long", str: "string", float: "double", bool: "boolean"}
+    return spark.createDataFrame([tuple((RUN | c).values()) for c in changes], ", ".join(f"`{k}` {kinds[type(v)]}" for k, v in RUN.items()))
+
+
+def test_reports_of_runs(spark):
+    runs = run_table(spark, {}, {"budget": 200, "required_found": 1, "tokens": 60}, {"repeat": 2, "error": "timeout"}, {"repeat": 2, "tokens": 130, "precision": None}, {"mode": "phase7_no_early_stop", "tokens": 55, "reads": 0})
+    got = evaluation.report(runs).first()
+    assert (got["results"], got["tasks"], got["passed_retrieval"], got["false_sufficiency"], got["runtime_errors"], got["budget_violations"], got["empty_retrieval"]) == (4, 1, 1, 1, 2, 1, 1)
+    assert (got["false_sufficiency_max_budget"], got["false_sufficiency_supported"], got["early_stop_tokens"], got["early_stop_reads"]) == (1, 1, 15, 0)
+    assert (got["median_saving"], got["median_supported_saving"], got["median_scoped_saving"]) == (0.5, 0.4, 0.0)
+    gates = evaluation.gates(runs).first()
+    assert not gates["false_sufficiency_zero"] and gates["panoramic_baseline_zero"] and not gates["supported_recall_at_least_95"]
+    assert [tuple(r) for r in evaluation.acceptance(runs).collect()] == [("supported_deterministic", 1, 0)]
+
+
+def test_reports_of_nothing_and_of_other_modes(spark):
+    nothing = run_table(spark, {}).limit(0)
+    got = evaluation.report(nothing).first()
+    assert (got["results"], got["median_recall"], got["early_stop_tokens"]) == (0, 0.0, 0)
+    assert not evaluation.gates(nothing).first()["false_sufficiency_below_5"] and evaluation.summaries(nothing).count() == 0
+    assert evaluation.report(run_table(spark, {"mode": "manual"}, {"mode": "primitive"})).first()["results"] == 2
+
+
+def test_kinds_without_needs_have_full_recall(spark):
+    need = spark.createDataFrame([("a", "file", 1), ("a", "file", 2)], "task string, kind string, item int")
+    got = evaluation.kind_recall(need, need.filter("item = 1").select("task", "item"), spark.createDataFrame([("a",), ("b",)], "task string"), ("file", "symbol"))
+    assert values(got, "task", "kind", "recall") == [("a", "file", 0.5), ("a", "symbol", 1.0), ("b", "file", 1.0), ("b", "symbol", 1.0)]
