@@ -67,3 +67,19 @@ def scope() -> Iterator[list[DataFrame]]:
         for spark, path in _SCOPES.pop():
             if path not in kept:
                 _delete(spark, path)
+
+
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Settings of the session while the tables within are written; those before come back."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
