@@ -43,6 +43,14 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def _bytes_of(texts: pa.LargeStringArray) -> list[bytes]:
+    """As ``to_pylist`` of them as bytes, in a quarter of its time."""
+    _, offsets, raw = texts.buffers()
+    edges = np.frombuffer(offsets, dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1].tolist() if len(texts) else [0]
+    joined = raw.to_pybytes() if raw is not None else b""
+    return [joined[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+
+
 class Grams:
     """The n-grams of a block's documents by hash.  Words are A-Z lower-cased."""
 
@@ -51,7 +59,7 @@ class Grams:
 
         lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.large_string()).combine_chunks()))
         found = lists.flatten().dictionary_encode()
-        words = found.dictionary.cast(pa.large_binary()).to_pylist()
+        words = _bytes_of(found.dictionary)
         ids = found.indices.to_numpy(zero_copy_only=False)
         edges = lists.offsets.to_numpy() - lists.offsets[0].as_py()
         del lists, found
@@ -75,7 +83,7 @@ class Grams:
                 gram += token
                 gram += np.uint64(k)
                 gram = _mixed(gram)
-                yield k, 1 + (k - 1) * len(token), gram[self.place >= k]
+                yield k, 1 + (k - 1) * (len(token) + 1), gram[self.place >= k]  # ``words`` may hold the blank, too
 
 
 def explode(first: int, last: int, ranges: int) -> Callable[[pa.Table], pa.Table]:
@@ -119,11 +127,11 @@ def _scores(order: int, held_out: bool) -> Callable[[pa.Table, pa.Table], pa.Tab
         block = Grams(docs.column("text"))
         slot, total = found.column("slot").to_numpy(), found.column("total").to_numpy()
         everything = total[slot == 0].sum()  # summed, as it may be missing
-        everything = np.repeat(np.maximum(everything - (block.sizes if held_out else 0), 1.0), block.sizes)
+        everything = np.maximum(everything - block.sizes if held_out else np.full(len(block.sizes), everything), 1.0)
         doc = np.repeat(np.arange(len(block.sizes)), block.sizes)
-        context, longest = everything, np.minimum(order, block.place)
+        context, longest = np.repeat(everything, block.sizes), np.minimum(order, block.place)
         # the longest n-gram seen elsewhere decides; each step back costs a factor
-        score = np.log(0.5) - np.log(everything) + (longest - 1) * np.log(BACKOFF)
+        score = np.repeat(np.log(0.5) - np.log(everything), block.sizes) + (longest - 1) * np.log(BACKOFF)
         for k, start, gram in block.orders(order):
             ends = np.flatnonzero(block.place >= k)
             if k == 1:
@@ -141,7 +149,8 @@ def _scores(order: int, held_out: bool) -> Callable[[pa.Table, pa.Table], pa.Tab
             if held_out:
                 _, pair, own = np.unique(of * len(block.sizes) + doc[ends], return_inverse=True, return_counts=True)
                 others = others - own[pair]
-                ends, others = ends[others > 0], others[others > 0]
+            seen = (others > 0) & (context[ends] > 0)
+            ends, others = ends[seen], others[seen]
             score[ends] = np.log(others) - np.log(context[ends]) + (longest[ends] - k) * np.log(BACKOFF)
             context = np.zeros(len(score))  # of the next order: the n-gram that ends a word earlier
             context[ends[ends + 1 < len(score)] + 1] = others[ends + 1 < len(score)]
@@ -174,7 +183,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order: in
     With ``held_out`` a document's own n-grams don't count for it, so a passage found nowhere else backs off; a word
     found nowhere else counts a half.  A null or empty text has no words and a null score; repeated rows score alike and
     count as separate documents, as do rows with one id and different texts; an empty table gives an empty one.  All
-    n-grams count.  A very long text is exploded whole.
+    n-grams count.  A very long text is exploded whole, and rows of one id and text lie in one block, however many.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc"), whole(text).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text")).cast("long")).first()[0] or 0
