@@ -37,7 +37,7 @@ def components(edges: DataFrame) -> DataFrame:
     edges = cut(edges, "links")
     before, state = None, _state(edges)
     while state != before and state[0]:
-        last, edges = edges, cut(_small_star(_large_star(edges)), "links")
+        last, edges = edges, cut(_small_star(_large_star(edges)), "links", 2 * state[0])
         discard(last)
         before, state = state, _state(edges)
     leaves = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -365,7 +365,7 @@ def _grouped(docs: DataFrame, doc_id: str, text: str, shingle: int, least: float
     marked = docs.select(docs[f"`{doc_id}`"].cast("long").alias("doc_id"), F.xxhash64(whole(body)).alias("row"), sets(body, shingle).alias("s")).select("doc_id", "row", "s.*")
     marked = cut(marked, "fingerprints")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")).alias("first")
-    nodes = cut(marked.groupBy("node").agg(first, F.first("size").alias("size"), F.first("p").alias("p"), F.first("keys").alias("keys")), "distinct-sets")
+    nodes = cut(marked.groupBy("node").agg(first, F.first("size").alias("size"), F.first("p").alias("p"), F.first("keys").alias("keys")), "distinct-sets", marked.count())
     loose = components(compared(nodes.select("node", "p", "keys"), F.col("keys"), SET_RADIUS))
     loose = cut(nodes.select("node", "size", F.col("first.doc_id").alias("_id"), F.col("first.row").alias("_row")).join(loose, "node"), "candidates")
     sums = loose.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("shingles"))

@@ -16,6 +16,11 @@ _OWN: dict[str, str] = {}
 #: Where tables that ``cut`` made lie, and those made within each open ``scope``.
 _PLACES: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 _SCOPES: list[list[tuple[SparkSession, str]]] = []
+#: Narrow rows in a file, where their number is known beforehand.
+FILE_ROWS = 1 << 17
+#: Where the shared folder is a local or mounted one, tables are written without checksum files: without its native
+#: library Hadoop launches ``chmod`` for each of those too, and a launch counts as large as its executor until it runs.
+PLAIN = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,11 +36,15 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN[app]
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends there, and a lost executor costs a reread."""
+def cut(df: DataFrame, name: str, most: int | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: lineage ends there, and a lost executor costs a reread.
+
+    Where ``df`` is known to have ``most`` rows or fewer, all narrow, they go to as few files as keep every core busy."""
     spark = df.sparkSession
+    if most is not None:
+        df = df.coalesce(max(spark.sparkContext.defaultParallelism, -(-most // FILE_ROWS)))
     path = f"{shared_dir(spark).rstrip('/')}/factline/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").option("parquet.block.size", 32 << 20).parquet(path)
+    df.write.options(**PLAIN).option("compression", "zstd").option("parquet.block.size", 32 << 20).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     _PLACES[out] = path
     for made in _SCOPES[-1:]:

@@ -46,3 +46,12 @@ def test_cut_keeps_rows_and_schema(spark):
     back = storage.cut(df, "t")
     assert back.schema == df.schema and sorted(map(tuple, back.collect())) == [(1, None), (2, "x")]
     assert storage.shared_dir(spark).split("://")[-1] in back.inputFiles()[0]
+
+
+def test_known_rows_go_to_few_files_without_checksum_files(spark):
+    df = spark.range(0, 400, 1, 40).toDF("u")
+    back = storage.cut(df, "t", 400)
+    files = [x.removeprefix("file://") for x in back.inputFiles()]
+    assert sorted(r.u for r in back.collect()) == list(range(400))
+    assert len(files) <= spark.sparkContext.defaultParallelism
+    assert not [x for x in os.listdir(os.path.dirname(files[0])) if x.endswith(".crc")]
