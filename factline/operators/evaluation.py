@@ -2,15 +2,20 @@
 
 A run is a row (task, category, class, tier, mode, budget, repeat, required_total, required_found, tokens, baseline,
 scoped_baseline, reads, rounds, ms, status, precision, top5, top10, fabricated, leaked, varies, error); no error is ''.
-Medians and percentiles interpolate on n - 1 and are exact: their buffers grow with the distinct values of a group, which is
-fit for evaluation tables.  A mean or median of nothing is 0.
+Medians and percentiles interpolate on n - 1 and are exact, by rounds of counting.  A mean or median of nothing is 0.  Reports,
+summaries and gates run at once and come back as a table of their few rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factline.operators.quantiles import kept, summarised
+
 #: The mode under test, the one that goes on after a sufficient package, and the two baselines.
 MAIN, CONTINUED, PANORAMIC, SCOPED = "phase7", "phase7_no_early_stop", "panoramic", "scoped_panoramic"
 SUPPORTED, DIAGNOSTIC, ADVERSARIAL = "supported_deterministic", "diagnostic_open_ended", "adversarial_safety"
@@ -53,18 +58,29 @@ def at_most(runs: DataFrame) -> DataFrame:
     return runs.withColumn("_most", most).withColumn("top", valid & (F.col("budget") == F.col("_most"))).drop("_most")
 
 
-def main_phase(runs: DataFrame) -> DataFrame:
-    """Runs of the mode under test, or all where there are none."""
-    any_main = runs.agg(F.coalesce(F.bool_or(F.col("mode") == MAIN), F.lit(False)).alias("_any"))
-    return runs.crossJoin(F.broadcast(any_main)).filter((F.col("mode") == MAIN) | ~F.col("_any")).drop("_any")
-
-
 def middle(value: Column, at: float = 0.5) -> Column:
     return F.round(F.coalesce(F.percentile(value, at), F.lit(0.0)), 6)
 
 
-def mean(value: Column) -> Column:
-    return F.round(F.coalesce(F.avg(value), F.lit(0.0)), 6)
+def rounded(name: str) -> Column:
+    """A mean or percentile, 0 of nothing."""
+    return F.round(F.coalesce(F.col(name), F.lit(0.0)), 6).alias(name)
+
+
+#: What a report reads of scored runs with ``top``.
+REPORTED = """task mode category class budget repeat required_total required_found tokens reads rounds ms status precision top5 top10 fabricated leaked varies error recall saving scoped_saving
+    false_sufficiency false_insufficiency top""".split()
+
+
+@contextmanager
+def main_phase(runs: DataFrame, columns: list[str]) -> Iterator[DataFrame]:
+    """Scored runs with ``top`` of the mode under test, or of all where there are none, kept meanwhile."""
+    with kept(at_most(scored(runs.filter(F.col("mode") == MAIN))).select(*columns)) as main:
+        if not main.isEmpty():
+            yield main
+            return
+    with kept(at_most(scored(runs)).select(*columns)) as every:
+        yield every
 
 
 def report(runs: DataFrame) -> DataFrame:
@@ -85,33 +101,37 @@ def report(runs: DataFrame) -> DataFrame:
         "false_sufficiency_max_budget": c("false_sufficiency") & c("top"),
         **{f"false_sufficiency_{k.split('_')[0]}": c("false_sufficiency") & c("top") & (c("class") == k) for k in (SUPPORTED, DIAGNOSTIC, ADVERSARIAL)},
     }
-    medians = {"recall": c("recall"), "top5_recall": c("top5"), "top10_recall": c("top10"), "precision": c("precision"), "tokens": c("tokens"), "saving": c("saving"), "scoped_saving": c("scoped_saving"), "reads": c("reads"), "rounds": c("rounds"), "ms": c("ms")}
-    medians |= {"supported_saving": F.when(eligible, c("saving")), "supported_scoped_saving": F.when(eligible, c("scoped_saving"))}
-    found = at_most(main_phase(scored(runs))).agg(
-        F.count(F.lit(1)).alias("results"),
-        F.count_distinct("task").alias("tasks"),
-        *[F.count_if(v).alias(k) for k, v in counts.items()],
-        *[middle(v).alias(f"median_{k}") for k, v in medians.items()],
-        mean(c("recall")).alias("mean_recall"),
-        mean(c("saving")).alias("mean_saving"),
-        *[middle(c("saving"), p / 100).alias(f"p{p}_saving") for p in (25, 75, 90)],
-        middle(c("ms"), 0.95).alias("p95_ms"),
+    values = {"recall": c("recall"), "top5_recall": c("top5"), "top10_recall": c("top10"), "precision": c("precision"), "tokens": c("tokens"), "saving": c("saving"), "scoped_saving": c("scoped_saving"), "reads": c("reads"), "rounds": c("rounds"), "ms": c("ms")}
+    values |= {"supported_saving": F.when(eligible, c("saving")), "supported_scoped_saving": F.when(eligible, c("scoped_saving"))}
+    points = {f"median_{k}": (k, 0.5) for k in values} | {f"p{p}_saving": ("saving", p / 100) for p in (25, 75, 90)} | {"p95_ms": ("ms", 0.95)}
+    means = {"mean_recall": F.avg("recall"), "mean_saving": F.avg("saving")}
+    with main_phase(runs, REPORTED) as main:
+        row = summarised(main, [], {"results": F.count(F.lit(1)), **{k: F.count_if(v) for k, v in counts.items()}, **means}, values, points)
+        # apart from the rest, so that what goes to a task's reducer is its name alone
+        tasks = main.select("task").dropna().distinct().count()
+        what = ["tokens", "reads", "rounds"]
+        stops = stopped(main.filter(c("mode") == MAIN), runs.filter(c("mode") == CONTINUED)).agg(*[F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in what]).first()
+    medians = [k for k in points if k.startswith("median_")]
+    return row.select(
+        "results",
+        F.lit(tasks).cast("long").alias("tasks"),
+        *counts,
+        *[rounded(k) for k in [*medians, *means, *[k for k in points if k not in medians]]],
+        *[F.lit(stops[k]).cast("long").alias(f"early_stop_{k}") for k in what],
     )
-    stops = early_stops(runs).agg(*[F.coalesce(F.sum(k), F.lit(0)).alias(f"early_stop_{k}") for k in ("tokens", "reads", "rounds")])
-    return found.crossJoin(F.broadcast(stops))
 
 
 def early_stops(runs: DataFrame) -> DataFrame:
     """(category, task, budget, repeat, tokens, reads, rounds): what a run saves against the one that goes on, never below 0.
 
     Of repeated runs of one key the largest counts."""
-    keys, what = ["task", "budget", "repeat"], ["tokens", "reads", "rounds"]
+    return stopped(*[runs.filter(F.col("mode") == mode) for mode in (MAIN, CONTINUED)])
 
-    def of(mode: str, name: str) -> DataFrame:
-        return runs.filter(F.col("mode") == mode).groupBy(*keys).agg(F.max(F.struct(*what, "category")).alias(name))
 
-    pairs = of(MAIN, "a").join(of(CONTINUED, "b"), keys)
-    return pairs.select("a.category", *keys, *[F.greatest(F.col(f"b.{k}") - F.col(f"a.{k}"), F.lit(0)).alias(k) for k in what])
+def stopped(main: DataFrame, continued: DataFrame) -> DataFrame:
+    keys, what = ["task", "budget", "repeat"], ["tokens", "reads", "rounds"]
+    a, b = (df.groupBy(*keys).agg(F.max(F.struct(*what, "category")).alias(name)) for df, name in ((main, "a"), (continued, "b")))
+    return a.join(b, keys).select("a.category", *keys, *[F.greatest(F.col(f"b.{k}") - F.col(f"a.{k}"), F.lit(0)).alias(k) for k in what])
 
 
 def summaries(runs: DataFrame) -> DataFrame:
