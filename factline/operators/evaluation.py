@@ -58,10 +58,6 @@ def at_most(runs: DataFrame) -> DataFrame:
     return runs.withColumn("_most", most).withColumn("top", valid & (F.col("budget") == F.col("_most"))).drop("_most")
 
 
-def middle(value: Column, at: float = 0.5) -> Column:
-    return F.round(F.coalesce(F.percentile(value, at), F.lit(0.0)), 6)
-
-
 def rounded(name: str) -> Column:
     """A mean or percentile, 0 of nothing."""
     return F.round(F.coalesce(F.col(name), F.lit(0.0)), 6).alias(name)
@@ -106,15 +102,13 @@ def report(runs: DataFrame) -> DataFrame:
     points = {f"median_{k}": (k, 0.5) for k in values} | {f"p{p}_saving": ("saving", p / 100) for p in (25, 75, 90)} | {"p95_ms": ("ms", 0.95)}
     means = {"mean_recall": F.avg("recall"), "mean_saving": F.avg("saving")}
     with main_phase(runs, REPORTED) as main:
-        row = summarised(main, [], {"results": F.count(F.lit(1)), **{k: F.count_if(v) for k, v in counts.items()}, **means}, values, points)
-        # apart from the rest, so that what goes to a task's reducer is its name alone
-        tasks = main.select("task").dropna().distinct().count()
+        row = summarised(main, [], {"results": F.count(F.lit(1)), **{k: F.count_if(v) for k, v in counts.items()}, **means}, values, points, {"tasks": "task"})
         what = ["tokens", "reads", "rounds"]
         stops = stopped(main.filter(c("mode") == MAIN), runs.filter(c("mode") == CONTINUED)).agg(*[F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in what]).first()
     medians = [k for k in points if k.startswith("median_")]
     return row.select(
         "results",
-        F.lit(tasks).cast("long").alias("tasks"),
+        "tasks",
         *counts,
         *[rounded(k) for k in [*medians, *means, *[k for k in points if k not in medians]]],
         *[F.lit(stops[k]).cast("long").alias(f"early_stop_{k}") for k in what],
@@ -136,16 +130,14 @@ def stopped(main: DataFrame, continued: DataFrame) -> DataFrame:
 
 def summaries(runs: DataFrame) -> DataFrame:
     """(kind, name, results, tasks, ...): all modes; categories and tiers of the mode under test."""
-    s, c = scored(runs), F.col
+    c = F.col
+    values = ("recall", "saving", "scoped_saving")
+    counts = {"results": F.count(F.lit(1)), "false_sufficiency": F.count_if("false_sufficiency"), "provider_errors": F.count_if("fabricated")}
     parts = F.array(*[F.struct(F.lit(k).alias("kind"), c(k).alias("name")) for k in ("mode", "category", "tier")])
-    rows = s.withColumn("g", F.explode(parts)).filter((c("g.kind") == "mode") | (c("mode") == MAIN))
-    return rows.groupBy("g.kind", "g.name").agg(
-        F.count(F.lit(1)).alias("results"),
-        F.count_distinct("task").alias("tasks"),
-        F.count_if("false_sufficiency").alias("false_sufficiency"),
-        F.count_if("fabricated").alias("provider_errors"),
-        *[middle(c(k)).alias(f"median_{k}") for k in ("recall", "saving", "scoped_saving")],
-    )
+    with kept(scored(runs).select("mode", "category", "tier", "task", "fabricated", "false_sufficiency", *values)) as s:
+        rows = s.withColumn("g", F.explode(parts)).filter((c("g.kind") == "mode") | (c("mode") == MAIN)).select("g.kind", "g.name", "task", "fabricated", "false_sufficiency", *values)
+        found = summarised(rows, ["kind", "name"], counts, {k: c(k) for k in values}, {f"median_{k}": (k, 0.5) for k in values}, {"tasks": "task"})
+    return found.select("kind", "name", "results", "tasks", "false_sufficiency", "provider_errors", *[rounded(f"median_{k}") for k in values])
 
 
 def gates(runs: DataFrame) -> DataFrame:

@@ -51,3 +51,11 @@ def test_a_report_has_no_buffer_of_all_values(spark, monkeypatch):
     assert (got["results"], got["tasks"]) == (300, 300)
     assert got["median_tokens"] == 449.5 and got["p90_saving"] == round(1 - 90.7 / 1009, 6)
     assert len(spark.sparkContext._jsc.getPersistentRDDs()) == before
+
+
+def test_summaries_have_no_buffer_of_all_values(spark, monkeypatch):
+    monkeypatch.setattr(F, "percentile", refused)
+    runs = run_table(spark, *[{"task": f"t{i % 7}", "mode": ("phase7", "manual")[i % 2], "tier": None, "tokens": i, "baseline": 1009} for i in range(301)])
+    got = {(r["kind"], r["name"]): (r["results"], r["tasks"], r["median_saving"]) for r in evaluation.summaries(runs).collect()}
+    main = (151, 7, round(1 - 150 / 1009, 6))
+    assert got == {("mode", "phase7"): main, ("category", "c"): main, ("tier", None): main, ("mode", "manual"): (150, 7, main[2])}
