@@ -5,6 +5,7 @@ from __future__ import annotations
 from concurrent.futures import ThreadPoolExecutor
 from typing import NamedTuple
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factline import catalog, corpus
@@ -41,6 +42,11 @@ def batch(spark, sf_dir: str, names: list[str]) -> list[Answer]:
         return list(pool.map(one, names))
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows dealt out evenly, over as many tasks as a shuffle has; no merging of small ones, since bytes don't tell the work."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 @query("page_links", """SELECT page_id, len(regexp_extract_all(html, '<a href="([^"]*)"', 1))::INT AS n_links, coalesce(regexp_extract(html, '<title>([^<]*)</title>', 1), '') AS title FROM pages""")
 def page_links(spark, d):
     p = corpus.table(spark, d, "pages")
@@ -59,7 +65,8 @@ def extracted_symbols(spark, d):
     """Symbols of Python, TypeScript and Go sources made from parts."""
     from factline.sources.python_source import symbols_of
 
-    p = corpus.table(spark, d, "part")
+    # few bytes a part but much work: a file of some MB would be one task
+    p = corpus.table(spark, d, "part").select("p_partkey", "p_name", "p_size").transform(spread)
     name, size, kind = F.regexp_replace("p_name", "[^A-Za-z0-9]", "_"), F.col("p_size").cast("string"), F.col("p_partkey") % 3
     python = F.concat(F.lit("class C_"), name, F.lit(":\n    def run(self):\n        return "), size, F.lit("\n\ndef f_"), name, F.lit("():\n    pass\n"))
     script = F.concat(F.lit("class C_"), name, F.lit(" {\n  run() {\n    return "), size, F.lit("\n  }\n}\nfunction f_"), name, F.lit("() {}\n"))
