@@ -79,11 +79,10 @@ def main_phase(runs: DataFrame, columns: list[str]) -> Iterator[DataFrame]:
         yield every
 
 
-def report(runs: DataFrame) -> DataFrame:
-    """One row over the runs of the mode under test, with what early stops save against the mode that goes on."""
+def report_counts() -> dict[str, Column]:
+    """What a report counts, by name."""
     c = F.col
-    eligible = c("top") & (c("class") == SUPPORTED)
-    counts = {
+    return {
         "passed_retrieval": (c("required_found") == c("required_total")) & (c("error") == ""),
         **{s: c("status") == s for s in ("sufficient", "blocked", "indeterminate")},
         "false_sufficiency": c("false_sufficiency"),
@@ -97,6 +96,13 @@ def report(runs: DataFrame) -> DataFrame:
         "false_sufficiency_max_budget": c("false_sufficiency") & c("top"),
         **{f"false_sufficiency_{k.split('_')[0]}": c("false_sufficiency") & c("top") & (c("class") == k) for k in (SUPPORTED, DIAGNOSTIC, ADVERSARIAL)},
     }
+
+
+def report(runs: DataFrame) -> DataFrame:
+    """One row over the runs of the mode under test, with what early stops save against the mode that goes on."""
+    c = F.col
+    eligible = c("top") & (c("class") == SUPPORTED)
+    counts = report_counts()
     values = {"recall": c("recall"), "top5_recall": c("top5"), "top10_recall": c("top10"), "precision": c("precision"), "tokens": c("tokens"), "saving": c("saving"), "scoped_saving": c("scoped_saving"), "reads": c("reads"), "rounds": c("rounds"), "ms": c("ms")}
     values |= {"supported_saving": F.when(eligible, c("saving")), "supported_scoped_saving": F.when(eligible, c("scoped_saving"))}
     points = {f"median_{k}": (k, 0.5) for k in values} | {f"p{p}_saving": ("saving", p / 100) for p in (25, 75, 90)} | {"p95_ms": ("ms", 0.95)}
@@ -140,23 +146,32 @@ def summaries(runs: DataFrame) -> DataFrame:
     return found.select("kind", "name", "results", "tasks", "false_sufficiency", "provider_errors", *[rounded(f"median_{k}") for k in values])
 
 
+#: What gates read of scored runs with ``top``.
+GATED = "mode class budget tokens error fabricated leaked varies recall saving false_sufficiency top".split()
+
+
 def gates(runs: DataFrame) -> DataFrame:
     """One row of checks that a report must pass; without supported tasks the share of false sufficiency doesn't pass."""
     c = F.col
-    s = scored(runs)
     panoramic = (c("mode") == PANORAMIC) & ((c("tokens") != c("baseline")) | (c("saving") != 0))
     scoped = (c("mode") == SCOPED) & ((c("tokens") != c("scoped_baseline")) | (c("scoped_saving") != 0))
-    baselines = s.agg(F.count_if(panoramic).alias("panoramic"), F.count_if(scoped).alias("scoped"))
-    eligible = at_most(s.filter(c("mode") == MAIN)).filter(c("top") & (c("class") == SUPPORTED))
-    supported = eligible.agg(F.count(F.lit(1)).alias("n"), F.count_if("false_sufficiency").alias("wrong"), F.coalesce(F.avg("recall"), F.lit(0.0)).alias("recall_of_supported"))
-    row = report(runs).crossJoin(F.broadcast(baselines)).crossJoin(F.broadcast(supported))
-    zero = {"provider_fabrication_zero": "provider_fabrication", "cross_repo_leakage_zero": "cross_repo_leaks", "budget_violations_zero": "budget_violations", "false_sufficiency_zero": "false_sufficiency", "runtime_errors_zero": "runtime_errors", "panoramic_baseline_zero": "panoramic", "scoped_baseline_zero": "scoped"}
+    of_baselines = scored(runs.filter(c("mode").isin(PANORAMIC, SCOPED)))
+    differ = of_baselines.agg(F.count_if(panoramic).alias("panoramic"), F.count_if(scoped).alias("scoped")).first()
+    eligible = c("top") & (c("class") == SUPPORTED)
+    supported = eligible & (c("mode") == MAIN)
+    zero = {"provider_fabrication_zero": "provider_fabrication", "cross_repo_leakage_zero": "cross_repo_leaks", "budget_violations_zero": "budget_violations", "false_sufficiency_zero": "false_sufficiency", "runtime_errors_zero": "runtime_errors"}
+    counts = report_counts()
+    aggregates = {k: F.count_if(counts[k]) for k in (*zero.values(), "nondeterministic")}
+    aggregates |= {"n": F.count_if(supported), "wrong": F.count_if(supported & c("false_sufficiency")), "recall_of_supported": F.avg(F.when(supported, c("recall")))}
+    with main_phase(runs, GATED) as main:
+        row = summarised(main, [], aggregates, {"saving": F.when(eligible, c("saving"))}, {"median_supported_saving": ("saving", 0.5)})
     return row.select(
         *[(c(v) == 0).alias(k) for k, v in zero.items()],
+        *[F.lit(differ[k] == 0).alias(f"{k}_baseline_zero") for k in ("panoramic", "scoped")],
         c("nondeterministic").alias("determinism_failures"),
-        (c("recall_of_supported") >= 0.95).alias("supported_recall_at_least_95"),
+        (F.coalesce("recall_of_supported", F.lit(0.0)) >= 0.95).alias("supported_recall_at_least_95"),
         F.when(c("n") == 0, False).otherwise(c("wrong") / c("n") < 0.05).alias("false_sufficiency_below_5"),
-        (c("median_supported_saving") >= 0.5).alias("token_reduction_at_least_50"),
+        (rounded("median_supported_saving") >= 0.5).alias("token_reduction_at_least_50"),
     )
 
 

@@ -59,3 +59,17 @@ def test_summaries_have_no_buffer_of_all_values(spark, monkeypatch):
     got = {(r["kind"], r["name"]): (r["results"], r["tasks"], r["median_saving"]) for r in evaluation.summaries(runs).collect()}
     main = (151, 7, round(1 - 150 / 1009, 6))
     assert got == {("mode", "phase7"): main, ("category", "c"): main, ("tier", None): main, ("mode", "manual"): (150, 7, main[2])}
+
+
+def test_gates_sort_and_buffer_no_more_than_the_mode_under_test(spark, monkeypatch):
+    monkeypatch.setattr(F, "percentile", refused)
+    seen = []
+    at_most = evaluation.at_most
+    monkeypatch.setattr(evaluation, "at_most", lambda runs: at_most(seen.append(runs) or runs))
+    runs = run_table(spark, *[{"task": f"t{i}", "tokens": 10 + i % 3} for i in range(60)], {"mode": "panoramic", "tokens": 40, "baseline": 41}, {"mode": "scoped_panoramic", "tokens": 40, "scoped_baseline": 40})
+    got = evaluation.gates(runs).first()
+    assert not got["panoramic_baseline_zero"] and got["scoped_baseline_zero"]
+    assert got["supported_recall_at_least_95"] and got["false_sufficiency_below_5"] and got["token_reduction_at_least_50"]
+    assert [df.count() for df in seen] == [60]
+    none = evaluation.gates(run_table(spark, {"mode": "manual"}, {"mode": "panoramic", "tokens": 40, "baseline": 40})).first()
+    assert none["panoramic_baseline_zero"] and not none["token_reduction_at_least_50"] and not none["supported_recall_at_least_95"] and not none["false_sufficiency_below_5"]
